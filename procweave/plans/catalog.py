@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from procweave.plans import base, segmentation  # noqa: F401
+from procweave.plans import base, search, segmentation  # noqa: F401
 
 
 def queries() -> dict[str, base.Query]:
