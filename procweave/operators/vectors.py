@@ -165,9 +165,9 @@ def name_index(entities: DataFrame) -> DataFrame:
         .groupBy("token", "entity_id").agg(F.count(F.lit(1)).alias("tf"))
     )
     frequency = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    # One row, joined by a constant key.
+    # A global aggregate is one row, so it can always be broadcast.
     total = entities.agg(F.count(F.lit(1)).alias("n")).withColumn("__one", F.lit(1))
-    return postings.join(frequency.withColumn("__one", F.lit(1)).join(total, "__one").drop("__one"), "token")
+    return postings.join(frequency.withColumn("__one", F.lit(1)).join(F.broadcast(total), "__one").drop("__one"), "token")
 
 
 def search_names(queries: DataFrame, index: DataFrame, limit: int = fixed.NAME_CANDIDATES) -> DataFrame:

@@ -85,7 +85,7 @@ def c3(spark, sf_dir):
 
 @query("c4_ann_join")
 def c4(spark, sf_dir):
-    return vectors.ann_join(_vectors(spark, sf_dir, "id"), 0.6, bands=48, bits=8)
+    return vectors.ann_join(_vectors(spark, sf_dir, "id"), 0.4, bands=48, bits=6)
 
 
 # Word postings of documents and the ranked hits of every benchmark passage.
