@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procweave.functions import fixed
@@ -147,10 +147,10 @@ def _trim_marks(value: Column) -> Column:
 def gateway_subject(text: Column | str) -> Column:
     """What a branch asks about: the words before the question marker, else the text without noise words."""
     s = squeeze(or_blank(text))
-    found = []
-    for pattern in fixed.GATEWAY_SUBJECT_PATTERNS:
-        subject = _trim_marks(squeeze(F.regexp_extract(s, pattern, 1)))
-        found.append(F.when(subject != "", subject))
+    found = [
+        F.nullif(_trim_marks(squeeze(F.regexp_extract(s, pattern, 1))), F.lit(""))
+        for pattern in fixed.GATEWAY_SUBJECT_PATTERNS
+    ]
     rest = s
     for word in fixed.GATEWAY_NOISE_WORDS:
         rest = F.replace(rest, F.lit(word), F.lit(" "))
@@ -163,28 +163,36 @@ def is_placeholder_gateway(name: Column | str) -> Column:
     return (key == "") | key.rlike(rf"^({words})$") | (key.rlike(rf"^({words})") & key.rlike(r"\d"))
 
 
-def gateway_name(name: Column | str, description: Column | str, number: Column) -> Column:
-    """Name from the described subject, else a real name, else the name's subject, else numbered."""
-    clean = squeeze(or_blank(name))
-    by_description, by_name = gateway_subject(description), gateway_subject(clean)
+def with_gateway_name(df: DataFrame, out: str, name: Column, description: Column, number: Column) -> DataFrame:
+    """Name from the described subject, else a real name, else the name's subject, else numbered.
+
+    The parts are columns of their own, so that each is worked out once per row.
+    """
+    staged = (
+        df.withColumn("__clean", squeeze(or_blank(name))).withColumn("__by_text", gateway_subject(description))
+        .withColumn("__by_name", gateway_subject("__clean")).withColumn("__number", number.cast("string"))
+    )
     suffix = F.lit(fixed.GATEWAY_NAME_SUFFIX)
-    return (
-        F.when(by_description != "", F.concat(by_description, suffix))
-        .when((clean != "") & ~is_placeholder_gateway(clean), clean)
-        .when(by_name != "", F.concat(by_name, suffix))
-        .otherwise(F.concat(F.lit(fixed.GATEWAY_DEFAULT_NAME), number.cast("string")))
+    chosen = (
+        F.when(F.col("__by_text") != "", F.concat("__by_text", suffix))
+        .when((F.col("__clean") != "") & ~is_placeholder_gateway("__clean"), F.col("__clean"))
+        .when(F.col("__by_name") != "", F.concat("__by_name", suffix))
+        .otherwise(F.concat(F.lit(fixed.GATEWAY_DEFAULT_NAME), F.col("__number")))
     )
+    # A one-element explode keeps later filters on the name from repeating the whole expression.
+    kept = [c for c in df.columns if c != out]
+    return staged.select(*kept, F.explode(F.array(chosen)).alias(out))
 
 
-def branch_conditions(name: Column | str, description: Column | str) -> tuple[Column, Column]:
+def with_branch_conditions(df: DataFrame, yes: str, no: str, name: Column, description: Column) -> DataFrame:
     """Condition texts of the yes and no side of a two-way branch."""
-    subject = F.coalesce(
-        F.when(gateway_subject(description) != "", gateway_subject(description)),
-        F.when(gateway_subject(name) != "", gateway_subject(name)),
-    )
+    staged = df.withColumn("__by_text", gateway_subject(description)).withColumn("__by_name", gateway_subject(name))
+    subject = F.when(F.col("__by_text") != "", F.col("__by_text")).when(F.col("__by_name") != "", F.col("__by_name"))
+    staged = staged.withColumn("__subject", subject)
     return (
-        F.coalesce(F.concat(subject, F.lit(fixed.TRUE_SUFFIX)), F.lit(fixed.TRUE_DEFAULT)),
-        F.coalesce(F.concat(subject, F.lit(fixed.FALSE_SUFFIX)), F.lit(fixed.FALSE_DEFAULT)),
+        staged.withColumn(yes, F.coalesce(F.concat("__subject", F.lit(fixed.TRUE_SUFFIX)), F.lit(fixed.TRUE_DEFAULT)))
+        .withColumn(no, F.coalesce(F.concat("__subject", F.lit(fixed.FALSE_SUFFIX)), F.lit(fixed.FALSE_DEFAULT)))
+        .drop("__by_text", "__by_name", "__subject")
     )
 
 
