@@ -84,11 +84,9 @@ def jaccard_counts(left: Column, right: Column, shared: Column) -> Column:
     )
 
 
-def name_similarity(left: Column | str, right: Column | str) -> Column:
-    """Jaccard of the character sets of two names; 0 when one is empty."""
-    chars = lambda c: F.array_distinct(F.filter(F.split(col(c), ""), lambda x: x != ""))
-    a, b = chars(left), chars(right)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(jaccard(a, b))
+def char_set(name: Column | str) -> Column:
+    """Distinct characters of a name; two names are alike by the Jaccard of these sets."""
+    return F.array_distinct(F.filter(F.split(col(name), ""), lambda x: x != ""))
 
 
 def core_words(name: Column | str) -> Column:

@@ -51,11 +51,13 @@ def sql_tokens(x: str) -> str:
     )
 
 
-def sql_grams(x: str, n: int = 3) -> str:
+def sql_grams(x: str) -> str:
+    """Distinct trigrams; characters are split once, since substring walks a long text from its start."""
     c = sql_compact(x)
+    ch = f"string_split({c}, '')"
     return (
-        f"CASE WHEN {c} = '' THEN []::VARCHAR[] WHEN length({c}) < {n} THEN [{c}] "
-        f"ELSE list_distinct(list_transform(range(1, length({c}) - {n - 2}), lambda i: substring({c}, i, {n}))) END"
+        f"CASE WHEN {c} = '' THEN []::VARCHAR[] WHEN length({c}) < 3 THEN [{c}] "
+        f"ELSE list_distinct(list_transform(list_zip({ch}, {ch}[2:], {ch}[3:]), lambda z: z[1] || z[2] || z[3])) END"
     )
 
 
