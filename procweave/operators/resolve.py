@@ -137,11 +137,13 @@ def similarity(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Scores of signature pairs held in structs ``a`` and ``b``; the raises and the penalty apply in
     this order, and the last raise can undo the penalty."""
     of = lambda side, f: F.col(f"{side}.{f}")
-    sims = pairs.select(
-        "*", *[jaccard(of(a, f), of(b, f)).alias(n) for f, n in (("task_tokens", "task_sim"), ("role_tokens", "role_sim"), ("desc_tokens", "desc_sim"), ("narrative", "narrative_sim"))],
+    parts = F.struct(
+        *[jaccard(of(a, f), of(b, f)).alias(n) for f, n in (("task_tokens", "task_sim"), ("role_tokens", "role_sim"), ("desc_tokens", "desc_sim"), ("narrative", "narrative_sim"))],
         F.when((of(a, "name_norm") != "") & (of(a, "name_norm") == of(b, "name_norm")), 1.0).otherwise(0.0).alias("name_sim"),
         F.arrays_overlap(of(a, "keys"), of(b, "keys")).alias("key_shared"),
     )
+    # A one-element inline keeps later filters on the scores from repeating the set operations.
+    sims = pairs.select("*", F.inline(F.array(parts)))
     sims = sims.withColumn("key_conflict", (F.size(of(a, "keys")) > 0) & (F.size(of(b, "keys")) > 0) & ~F.col("key_shared"))
     c = F.col
     score = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from procweave.plans import base, extraction, graph_queries, resolution, search, segmentation  # noqa: F401
+from procweave.plans import base, extraction, graph_queries, resolution, search, segmentation, storage  # noqa: F401
 
 
 def queries() -> dict[str, base.Query]:

@@ -369,9 +369,9 @@ def e20(spark, sf_dir):
 
 @query(
     "e21_merge_exact_names",
-    """WITH n AS (SELECT doc_id, split_part(text, chr(10), 1) AS name, source FROM documents), d AS (SELECT name, source, min(doc_id) AS at FROM n GROUP BY ALL),
-       f AS (SELECT d.*, EXISTS (SELECT 1 FROM d x WHERE x.name = d.name AND x.at < d.at AND contains(x.source, d.source)) AS held FROM d)
-       SELECT md5(name) AS name_hash, min(at) AS doc_id, string_agg(source, chr(10) ORDER BY at) FILTER (NOT held) AS description FROM f GROUP BY name""",
+    """WITH n AS (SELECT doc_id, split_part(text, chr(10), 1) AS name, source FROM documents), d AS (SELECT name, source, min(doc_id) AS seen FROM n GROUP BY ALL),
+       f AS (SELECT d.*, EXISTS (SELECT 1 FROM d x WHERE x.name = d.name AND x.seen < d.seen AND contains(x.source, d.source)) AS held FROM d)
+       SELECT md5(name) AS name_hash, min(seen) AS doc_id, string_agg(source, chr(10) ORDER BY seen) FILTER (WHERE NOT held) AS description FROM f GROUP BY name""",
 )
 def e21(spark, sf_dir):
     merged = r.merge_exact_names(_named_docs(spark, sf_dir), "doc_id", "doc_id")
