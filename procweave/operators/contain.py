@@ -40,15 +40,18 @@ def anchors(names: DataFrame) -> DataFrame:
 
 
 def contained_in(texts: DataFrame, names: DataFrame, shortest: int = 1, small: int = SMALL_NAMES) -> DataFrame:
-    """Pairs (text_id, name_id) where the keyword of the name occurs in the text.
+    """Pairs (text_id, name_id, keyword) where the keyword of the name occurs in the text.
 
-    ``texts`` is (text_id, text), ``names`` is (name_id, keyword); ``shortest`` is a lower bound on
-    keyword length that the caller knows. Case is left to the caller.
+    ``texts`` is (text_id, text), ``names`` is (name_id, keyword); keywords shorter than ``shortest``
+    never match. Case is left to the caller.
     """
     named = names.where(F.length("keyword") >= shortest)
+    # One small job over the names: how many there are decides the join, how short they get decides
+    # which gram lengths the texts must offer.
+    count, least = named.agg(F.count(F.lit(1)), F.min(F.length("keyword"))).first()
     filed = anchors(named)
-    grams = texts.select("text_id", "text", F.explode(_all_grams(F.col("text"), shortest)).alias("gram"))
-    if filed.limit(small + 1).count() <= small:
+    grams = texts.select("text_id", "text", F.explode(_all_grams(F.col("text"), max(1, least or 3))).alias("gram"))
+    if count <= small:
         hits = grams.join(F.broadcast(filed), "gram").where(F.contains("text", "keyword")).select("text_id", "keyword")
     else:
         # Texts stay out of the gram shuffle and come back only for the candidates.
