@@ -208,7 +208,8 @@ def candidate_pairs(sigs: DataFrame) -> DataFrame:
     keys = union_all(
         [
             _prefix_tokens(full, "task_tokens", _MIN_TASK, "task"),
-            _prefix_tokens(full, "narrative", _MIN_NARRATIVE, "narrative"),
+            # Without roles on both sides the sparse case also joins a process with tasks to one without.
+            _prefix_tokens(sigs, "narrative", _MIN_NARRATIVE, "narrative"),
             _prefix_tokens(bare, "desc_tokens", _MIN_BARE, "bare_desc"),
             _prefix_tokens(bare, "narrative", _MIN_BARE, "bare_narrative"),
         ]
@@ -244,9 +245,10 @@ def accepted_edges(sigs: DataFrame) -> DataFrame:
     holders = sigs.select("proc_id", F.explode("keys").alias("key"))
     hubs = holders.groupBy("key").agg(F.min("proc_id").alias("hub"))
     by_key = holders.join(hubs, "key").where("hub <> proc_id").select(F.col("hub").alias("a"), F.col("proc_id").alias("b"))
-    # Empty tasks and an empty description make 0.70 on their own, unless keys conflict.
-    hollow = sigs.where((F.size("task_tokens") == 0) & (F.size("desc_tokens") == 0) & (F.size("keys") == 0) & (F.size("narrative") > 0))
-    centre = hollow.agg(F.min("proc_id").alias("a")).withColumn("__one", F.lit(1))
+    # Empty tasks and an empty description make 0.70 on their own unless keys conflict, so all of
+    # these join one that has no key.
+    hollow = sigs.where((F.size("task_tokens") == 0) & (F.size("desc_tokens") == 0) & (F.size("role_tokens") == 0) & (F.size("narrative") > 0))
+    centre = hollow.where(F.size("keys") == 0).agg(F.min("proc_id").alias("a")).withColumn("__one", F.lit(1))
     # A global aggregate is one row, so it can always be broadcast.
     empties = hollow.select(F.col("proc_id").alias("b"), F.lit(1).alias("__one")).join(F.broadcast(centre), "__one").where("a <> b").select("a", "b")
     found = accepted_pairs(reps).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
