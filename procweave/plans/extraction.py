@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from procweave.functions.text import clean_condition, reusable_skill, strip, with_gateway_name
 from procweave.operators import candidates as c
 from procweave.plans.base import query, sql_norm, sql_squeeze, sql_strip
-from procweave.plans.readings import table
+from procweave.plans.readings import spread, table
 from procweave.session import settle
 
 
 def payload_sections(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     L = F.filter(F.transform(F.split("text", "\n"), strip), lambda x: x != "")
     # A one-element explode keeps the line list from being worked out anew wherever it is used.
     docs = docs.select("doc_id", "text", "lang", "source", F.explode(F.array(L)).alias("L")).withColumn("n", F.size("L"))

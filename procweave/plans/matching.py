@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from procweave.functions.text import human_required, skill_key, skill_name_from_markdown
 from procweave.operators import match as m
 from procweave.plans.base import query, sql_norm
-from procweave.plans.readings import table
+from procweave.plans.readings import spread, table
 
 # Regions, nations and their suppliers and customers are an organisation; suppliers are agents.
 
@@ -149,7 +149,7 @@ j AS (SELECT left_id, skill, contains(st, lt) OR contains(lt, st) AS held, len(l
 
 def _texts(spark, sf_dir):
     left = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("left_id"), "text")
-    return left, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("skill"), "text")
+    return left, spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("skill"), "text"))
 
 
 @query("i9_skill_score_activity", f"WITH {_SKILL_SETS} SELECT left_id, skill, round(CASE WHEN held THEN 0.95 ELSE least(0.9, common::DOUBLE / nl) END, 6) AS score FROM j WHERE held OR common > 0")

@@ -10,11 +10,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan that gives fewer tasks than there are cores, dealt out over all of them.
+
+    Tables of many files or row groups have more tasks than cores and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents: one row per document with its pages; form feeds separate pages."""
     from procweave.operators.segment import with_pages
 
-    return with_pages(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return with_pages(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text")
 
 
 def dialogue_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from procweave.functions import text as t
 from procweave.operators import resolve as r
 from procweave.operators.graph import union_all
 from procweave.plans.base import query, sql_compact, sql_grams, sql_norm, sql_strip, sql_tokens
-from procweave.plans.readings import table
+from procweave.plans.readings import spread, table
 from procweave.session import settle
 
 _KEYS = [r"\b[A-Z]{1,8}_[A-Z]{1,8}_[A-Z0-9]{2,}\b", r"\b[A-Z]{1,8}_BP_[A-Z0-9]{2,}\b", r"\bBP_[A-Z0-9]{2,}\b"]
@@ -19,7 +19,7 @@ def _sql_keys(x: str) -> str:
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
 def _set_hash(name):

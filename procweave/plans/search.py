@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from procweave.operators import vectors
 from procweave.plans.base import query
-from procweave.plans.readings import table
+from procweave.plans.readings import spread, table
 
 _LETTERS = list(string.ascii_lowercase)
 
@@ -106,7 +106,7 @@ hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
     f"WITH {_HITS} SELECT query_id, entity_id, score, CAST(rank AS INTEGER) AS rank FROM hits WHERE rank <= 10",
 )
 def c5(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entity_id"), "text")
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entity_id"), "text"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return vectors.search_names(asked, vectors.name_index(docs))
 
@@ -124,7 +124,7 @@ resolved AS (SELECT item_id AS new_id, entity_id AS match_id, score,
 
 
 def _resolved(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entity_id"), "text")
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entity_id"), "text"))
     new = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("entity_id"), "text")
     with_profile = lambda d: d.withColumn("embedding", letter_profile(F.col("text")))
     return vectors.resolve(with_profile(new), with_profile(docs))

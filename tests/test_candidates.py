@@ -75,3 +75,21 @@ def test_gateway_names(spark):
     df = spark.createDataFrame(rows, "name string, description string, n int")
     named = text.with_gateway_name(df, "out", df.name, df.description, df.n)
     assert [r.out for r in named.collect()] == ["금액이 큰지 여부 판단", "의사결정 분기 3", "Real name", "승인 여부 판단"]
+
+
+def test_procedure_steps_equal_plain_python(spark):
+    import re
+
+    def plain(t):
+        if not t:
+            return ["작업을 수행합니다."]
+        for pattern in (r"\d+[.)\s]+(.+?)(?=\d+[.)\s]|$)", r"[-•]\s*(.+?)(?=[-•]|$)"):
+            found = re.findall(pattern, t)
+            if found:
+                return [s.strip() for s in found if s.strip()]
+        steps = [s.strip() for s in re.split(r"[.。]\s*", t) if s.strip() and len(s) > 5]
+        return steps[:10] or [t[:200] + "..." if len(t) > 200 else t]
+
+    texts = ["1. open it 2) close it", "- one thing - other", "First thing here. Second。 Third thing too", "short", "", "x" * 250]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(text.procedure_steps("t")).collect()] == [plain(t) for t in texts]
