@@ -109,11 +109,11 @@ SKILL_PURPOSE_SUFFIX = " 태스크를 수행합니다."
 SKILL_DEFAULT_STEP = "작업을 수행합니다."
 SKILL_EXCEPTIONS = ["오류 발생 시 재시도", "실패 시 상위 보고"]
 
-# Form field tags.
+# Form field tags, as patterns; the last is the field of any model editor.
 FORM_TAGS = [
     "text-field", "select-field", "checkbox-field", "radio-field", "file-field", "label-field",
     "boolean-field", "textarea-field", "user-select-field", "report-field", "slide-field",
-    "bpmn-uengine-field",
+    r"bpmn-\w+-field",
 ]
 MAX_INPUTS = 60
 

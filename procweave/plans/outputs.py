@@ -21,13 +21,13 @@ def _stored_models(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
     tid = F.concat(F.lit("T"), F.col("turn"))
-    details = F.concat(F.lit("<bpmn:extensionElements><uengine:properties><uengine:json>"), F.to_json(F.struct(F.lit("formHandler:x").alias("tool"), F.col("role").alias("description"))), F.lit("</uengine:json></uengine:properties></bpmn:extensionElements>"))
+    details = F.concat(F.lit("<bpmn:extensionElements><ext:properties><ext:json>"), F.to_json(F.struct(F.lit("formHandler:x").alias("tool"), F.col("role").alias("description"))), F.lit("</ext:json></ext:properties></bpmn:extensionElements>"))
     task = F.concat(F.lit('<bpmn:userTask id="'), tid, F.lit('" name="'), esc(F.substring_index("text", "\n", 1)), F.lit('">'), F.when(F.col("role") == "assistant", details).otherwise(""), F.lit("</bpmn:userTask>"))
     flow = F.concat(F.lit('<bpmn:sequenceFlow id="F'), F.col("turn"), F.lit('" sourceRef="'), tid, F.lit('" targetRef="T'), F.col("turn") + 1, F.lit('"/>'))
     lane = F.concat(F.lit('<bpmn:lane name="'), F.col("role"), F.lit('"><bpmn:flowNodeRef>'), tid, F.lit("</bpmn:flowNodeRef></bpmn:lane>"))
     parts = turns.groupBy(F.col("conv_id").alias("proc_id")).agg(*[F.array_join(F.array_sort(F.collect_list(c)), "").alias(n) for n, c in (("l", lane), ("t", task), ("f", flow))])
     xml = F.concat(
-        F.lit('<bpmn:definitions xmlns:bpmn="http://m" xmlns:uengine="http://u"><bpmn:process id="P"><bpmn:laneSet>'), "l", F.lit('</bpmn:laneSet><bpmn:startEvent id="S"/>'), "t",
+        F.lit('<bpmn:definitions xmlns:bpmn="http://m" xmlns:ext="http://u"><bpmn:process id="P"><bpmn:laneSet>'), "l", F.lit('</bpmn:laneSet><bpmn:startEvent id="S"/>'), "t",
         F.lit('<bpmn:exclusiveGateway id="G" name="g"/>'), "f", F.lit("</bpmn:process></bpmn:definitions>"),
     )
     return parts.select("proc_id", xml.alias("xml"))
