@@ -41,11 +41,15 @@ def benchmark_windows(bench: DataFrame, item_col: str = "item_id", text_col: str
     )
 
 
-def _filed(docs: DataFrame, wins: DataFrame, text_col: str) -> DataFrame:
-    """Windows with the anchor word (the rarest in all documents) and its place in the window."""
+def _filed(docs: DataFrame, wins: DataFrame, text_col: str, few: bool) -> DataFrame:
+    """Windows with the anchor word (the rarest in all documents) and its place in the window.
+
+    ``few``: the vocabulary is small enough to broadcast; else words are counted before they are joined.
+    """
     vocabulary = wins.select(F.explode(F.array_distinct(F.expr("transform(win, w -> lower(w))"))).alias("word")).distinct()
     seen = docs.select(F.explode(F.expr(_words(text_col))).alias("raw")).select(F.lower("raw").alias("word"))
-    counts = seen.join(vocabulary, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    counted = lambda words: words.groupBy("word").agg(F.count("*").alias("n"))
+    counts = counted(seen.join(F.broadcast(vocabulary), "word", "left_semi")) if few else counted(seen).join(vocabulary, "word", "left_semi")
     ranked = (
         wins.select(F.monotonically_increasing_id().alias("win_id"), "win", "size", "items")
         .select("*", F.posexplode("win").alias("off", "w"))
@@ -69,7 +73,9 @@ def find_hits(
     are found by a join; up to ``max_broadcast`` windows are broadcast, more are joined by a shuffle.
     """
     source = numbered(docs, F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    filed = settle(_filed(source, settle(benchmark_windows(bench, item_col, bench_text_col, n)), "text"))
+    wins = settle(benchmark_windows(bench, item_col, bench_text_col, n))
+    few = len(wins.select("size").limit(max_broadcast + 1).collect()) <= max_broadcast
+    filed = settle(_filed(source, wins, "text", few))
     anchors = [r[0] for r in filed.select("anchor").distinct().limit(max_set + 1).collect()]
     reach = n - 1
     around = f"""struct(i AS pos, greatest(i - {reach}, 0) AS first,
@@ -86,7 +92,6 @@ def find_hits(
         base = split.select("rid", "id", "n_words")
         near = split.select("rid", F.explode(F.expr(f"transform({every}, i -> {around})")).alias("c")).select("rid", "c.*")
     near = near.withColumn("anchor", F.lower(F.expr("ctx[pos - first]")))
-    few = len(filed.select("win_id").limit(max_broadcast + 1).collect()) <= max_broadcast
     hits = near.join(F.broadcast(filed) if few else filed, "anchor").filter(
         "pos >= off AND slice(ctx, pos - first - off + 1, size) = win"
     )

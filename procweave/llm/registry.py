@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from procweave.llm import decontaminate
+from procweave.llm import decontaminate, substring_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
-    }
+    functions = [
+        suffix_dedup.op4_suffix_array_dedup,
+        decontaminate.op6_benchmark_decontamination,
+        substring_dedup.op8_substring_dedup,
+    ]
+    return {f.__name__: f for f in functions}
 
 
 def oracles() -> dict[str, str]:
-    return {"op6_benchmark_decontamination": decontaminate.SQL}
+    return {
+        "op6_benchmark_decontamination": decontaminate.SQL,
+        "op8_substring_dedup": substring_dedup.SQL,
+    }
