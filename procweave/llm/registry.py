@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from procweave.llm import decontaminate, substring_dedup, suffix_dedup
+from procweave.llm import decontaminate, near_dedup, substring_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         suffix_dedup.op4_suffix_array_dedup,
         decontaminate.op6_benchmark_decontamination,
         substring_dedup.op8_substring_dedup,
+        near_dedup.op10_minhash_near_dedup,
     ]
     return {f.__name__: f for f in functions}
 
@@ -22,4 +23,5 @@ def oracles() -> dict[str, str]:
     return {
         "op6_benchmark_decontamination": decontaminate.SQL,
         "op8_substring_dedup": substring_dedup.SQL,
+        "op10_minhash_near_dedup": near_dedup.SQL,
     }
