@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from procweave.llm import decontaminate, near_dedup, substring_dedup, suffix_dedup
+from procweave.llm import decontaminate, near_dedup, pack, shard, substring_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     functions = [
+        shard.op1_hypergeometric_sharding,
+        pack.op2_best_fit_packing,
         suffix_dedup.op4_suffix_array_dedup,
         decontaminate.op6_benchmark_decontamination,
         substring_dedup.op8_substring_dedup,
