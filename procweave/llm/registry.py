@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from procweave.llm import decontaminate, near_dedup, pack, shard, substring_dedup, suffix_dedup
+from procweave.llm import decontaminate, language, near_dedup, pack, shard, substring_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         suffix_dedup.op4_suffix_array_dedup,
         decontaminate.op6_benchmark_decontamination,
         substring_dedup.op8_substring_dedup,
+        language.op9_language_id,
         near_dedup.op10_minhash_near_dedup,
     ]
     return {f.__name__: f for f in functions}
