@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from procweave.llm import decontaminate, language, near_dedup, pack, shard, substring_dedup, suffix_dedup
+from procweave.llm import decontaminate, language, near_dedup, pack, shard, substring_dedup, suffix_dedup, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         shard.op1_hypergeometric_sharding,
         pack.op2_best_fit_packing,
         suffix_dedup.op4_suffix_array_dedup,
+        topk.op5_exact_top_k,
         decontaminate.op6_benchmark_decontamination,
         substring_dedup.op8_substring_dedup,
         language.op9_language_id,
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracles() -> dict[str, str]:
     return {
+        "op5_exact_top_k": topk.SQL,
         "op6_benchmark_decontamination": decontaminate.SQL,
         "op8_substring_dedup": substring_dedup.SQL,
         "op10_minhash_near_dedup": near_dedup.SQL,

@@ -22,7 +22,7 @@ from procweave.llm.common import settle
 BASE, MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Symbols handled at once; a longer text is cut into overlapping slices.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 
