@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from procweave.llm import decontaminate, language, near_dedup, pack, shard, substring_dedup, suffix_dedup, topk
+from procweave.llm import decontaminate, language, language_model, near_dedup, pack, shard, substring_dedup, suffix_dedup, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     functions = [
         shard.op1_hypergeometric_sharding,
         pack.op2_best_fit_packing,
+        language_model.op3_maxent_lm_scoring,
         suffix_dedup.op4_suffix_array_dedup,
         topk.op5_exact_top_k,
         decontaminate.op6_benchmark_decontamination,
