@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from procweave.llm import decontaminate, language, language_model, near_dedup, pack, shard, substring_dedup, suffix_dedup, topk
+from procweave.llm import decontaminate, language, language_model, licence, near_dedup, pack, shard, substring_dedup, suffix_dedup, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         suffix_dedup.op4_suffix_array_dedup,
         topk.op5_exact_top_k,
         decontaminate.op6_benchmark_decontamination,
+        licence.op7_license_scan,
         substring_dedup.op8_substring_dedup,
         language.op9_language_id,
         near_dedup.op10_minhash_near_dedup,
