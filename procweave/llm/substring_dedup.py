@@ -51,7 +51,7 @@ def dedup_words(docs: DataFrame, width: int = 20, gram: int | None = None, id_co
     base = source.select("rid", F.col("id").alias(id_col), F.expr(f"array_remove(split(text, '{SPACES}'), '')").alias("ws")).select(
         "rid", id_col, F.size("ws").cast("long").alias("n_words"), F.sha2(F.array_join("ws", " "), 256).alias("whole"), *([F.array_join("ws", " ").alias("all")] if keep_text else [])
     )
-    text = [F.when(F.col("sha").isNull(), F.col("all")).otherwise(F.decode("kept", "utf-8")).alias("kept_text")] if keep_text else []
+    text = [F.when(F.col("sha").isNull(), F.col("all")).otherwise(F.col("kept")).alias("kept_text")] if keep_text else []
     return base.join(gone, "rid", "left").select(
         "rid", id_col, "n_words", F.coalesce("removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("sha", "whole").alias("kept_sha256"), *text
     )

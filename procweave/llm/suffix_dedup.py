@@ -73,12 +73,12 @@ def dedup_bytes(docs: DataFrame, width: int = 200, gram: int | None = None, keep
 def dedup_texts(docs: DataFrame, width: int = 200, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs``, all columns, with repeated byte strings cut out of the text.
 
-    Untouched texts, nulls included, stay as they are. Bytes of a character that was cut in two are replaced by U+FFFD.
+    Untouched texts, nulls included, stay as they are. What is left of a character that was cut in two goes as well.
     """
     source = _prepared(docs, id_col, text_col)
     gone = remove_repeats(source, False, width, max(1, width * 8 // 25), partial(judge, width=width, keep_first=keep_first), keep_first, keep_text=True)
     left = docs.withColumn("__rid", F.monotonically_increasing_id())
-    out = left.join(gone.select("rid", F.decode("kept", "utf-8").alias("__kept")), left["__rid"] == F.col("rid"), "left")
+    out = left.join(gone.select("rid", F.col("kept").alias("__kept")), left["__rid"] == F.col("rid"), "left")
     return out.withColumn(text_col, F.when(F.col("rid").isNull(), F.col(text_col)).otherwise(F.col("__kept"))).select(docs.columns)
 
 

@@ -345,7 +345,7 @@ def repeated_spans(texts: DataFrame, words: bool, width: int, judge: Judge, keep
     return found.groupBy("rid").agg(F.collect_list(F.struct("p", "n")).alias("more"))
 
 
-CLEANED = "rid long, removed long, runs long, sha string, kept binary"
+CLEANED = "rid long, removed long, runs long, sha string, kept string"
 
 
 def clean(texts: DataFrame, found: DataFrame, words: bool, width: int, keep_text: bool) -> DataFrame:
@@ -361,9 +361,9 @@ def clean(texts: DataFrame, found: DataFrame, words: bool, width: int, keep_text
                 edges = [0, *gone.reshape(-1).tolist(), len(data)]
                 parts = [data[a:b] for a, b in zip(edges[::2], edges[1::2])]
                 kept = b" ".join(w for part in parts for w in part) if words else b"".join(parts)
-                for name, v in zip(out, (rid, int((gone[:, 1] - gone[:, 0]).sum()), len(gone), hashlib.sha256(kept).hexdigest(), kept if keep_text else None)):
+                for name, v in zip(out, (rid, int((gone[:, 1] - gone[:, 0]).sum()), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None)):
                     out[name].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], names=list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=list(out))
 
     rows = texts.select("rid", F.col("text").cast("binary").alias("text"), "spans").join(found, "rid", "left")
     return rows.mapInArrow(cut, CLEANED)
