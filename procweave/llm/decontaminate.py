@@ -130,19 +130,19 @@ def report(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", **options)
 def drop_contaminated(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
     """Rows of ``docs``, all columns, that no benchmark window occurs in."""
     _, hits = find_hits(docs, bench, **options)
-    bad = hits.select("rid").distinct()
+    bad = hits.select(F.col("rid").alias("__hit")).distinct()
     marked = docs.withColumn("__rid", F.monotonically_increasing_id())
-    return marked.join(bad, marked["__rid"] == bad["rid"], "left_anti").drop("__rid")
+    return marked.join(bad, F.col("__rid") == F.col("__hit"), "left_anti").drop("__rid")
 
 
 def cut_spans(docs: DataFrame, bench: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """Rows of ``docs`` whose hit words are taken out; words of a touched text are joined by one space."""
     _, hits = find_hits(docs, bench, text_col=text_col, **options)
-    spans = hits.groupBy("rid").agg(F.collect_set(F.struct("start", "size")).alias("__spans"))
+    spans = hits.groupBy(F.col("rid").alias("__hit")).agg(F.collect_set(F.struct("start", "size")).alias("__spans"))
     marked = docs.withColumn("__rid", F.monotonically_increasing_id())
     words = _words(text_col)
     kept = f"array_join(filter({words}, (w, i) -> NOT exists(__spans, s -> i >= s.start AND i < s.start + s.size)), ' ')"
-    out = marked.join(spans, marked["__rid"] == spans["rid"], "left")
+    out = marked.join(spans, F.col("__rid") == F.col("__hit"), "left")
     return out.withColumn(text_col, F.expr(f"CASE WHEN __spans IS NULL THEN `{text_col}` ELSE {kept} END")).select(docs.columns)
 
 

@@ -78,8 +78,8 @@ def dedup_texts(docs: DataFrame, width: int = 200, keep_first: bool = True, id_c
     source = _prepared(docs, id_col, text_col)
     gone = remove_repeats(source, False, width, max(1, width * 8 // 25), partial(judge, width=width, keep_first=keep_first), keep_first, keep_text=True)
     left = docs.withColumn("__rid", F.monotonically_increasing_id())
-    out = left.join(gone.select("rid", F.col("kept").alias("__kept")), left["__rid"] == F.col("rid"), "left")
-    return out.withColumn(text_col, F.when(F.col("rid").isNull(), F.col(text_col)).otherwise(F.col("__kept"))).select(docs.columns)
+    out = left.join(gone.select(F.col("rid").alias("__cut"), F.col("kept").alias("__kept")), F.col("__rid") == F.col("__cut"), "left")
+    return out.withColumn(text_col, F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(F.col("__kept"))).select(docs.columns)
 
 
 def op4_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
