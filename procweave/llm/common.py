@@ -33,5 +33,13 @@ def numbered(df: DataFrame, *columns, rid: str = "rid") -> DataFrame:
     return df.select(F.monotonically_increasing_id().alias(rid), *columns)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def blocks_for(rows: int, per_block: int) -> int:
     return max(1, math.ceil(rows / per_block))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from procweave.llm.common import LOWER, UPPER, numbered, settle
+from procweave.llm.common import LOWER, UPPER, fresh, numbered, settle
 
 #: Fixed: what separates words, for texts in which A-Z are not yet lower-cased, and for those in which they are.
 RAW_SEPARATORS = r"[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
@@ -130,20 +130,20 @@ def report(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", **options)
 def drop_contaminated(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
     """Rows of ``docs``, all columns, that no benchmark window occurs in."""
     _, hits = find_hits(docs, bench, **options)
-    bad = hits.select(F.col("rid").alias("__hit")).distinct()
-    marked = docs.withColumn("__rid", F.monotonically_increasing_id())
-    return marked.join(bad, F.col("__rid") == F.col("__hit"), "left_anti").drop("__rid")
+    row, hit = fresh(docs, "row"), fresh(docs, "hit")
+    bad = hits.select(F.col("rid").alias(hit)).distinct()
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(bad, F.col(row) == F.col(hit), "left_anti").drop(row)
 
 
 def cut_spans(docs: DataFrame, bench: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """Rows of ``docs`` whose hit words are taken out; words of a touched text are joined by one space."""
     _, hits = find_hits(docs, bench, text_col=text_col, **options)
-    spans = hits.groupBy(F.col("rid").alias("__hit")).agg(F.collect_set(F.struct("start", "size")).alias("__spans"))
-    marked = docs.withColumn("__rid", F.monotonically_increasing_id())
+    row, hit, cut = fresh(docs, "row"), fresh(docs, "hit"), fresh(docs, "cut")
+    spans = hits.groupBy(F.col("rid").alias(hit)).agg(F.collect_set(F.struct("start", "size")).alias(cut))
     words = _words(text_col)
-    kept = f"array_join(filter({words}, (w, i) -> NOT exists(__spans, s -> i >= s.start AND i < s.start + s.size)), ' ')"
-    out = marked.join(spans, F.col("__rid") == F.col("__hit"), "left")
-    return out.withColumn(text_col, F.expr(f"CASE WHEN __spans IS NULL THEN `{text_col}` ELSE {kept} END")).select(docs.columns)
+    kept = f"array_join(filter({words}, (w, i) -> NOT exists(`{cut}`, s -> i >= s.start AND i < s.start + s.size)), ' ')"
+    out = docs.withColumn(row, F.monotonically_increasing_id()).join(spans, F.col(row) == F.col(hit), "left")
+    return out.withColumn(text_col, F.expr(f"CASE WHEN `{cut}` IS NULL THEN `{text_col}` ELSE {kept} END")).select(docs.columns)
 
 
 SQL = f"""

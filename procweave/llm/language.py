@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from procweave.llm.common import table
+from procweave.llm.common import fresh, table
 
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 16
 LETTER = np.zeros(256, bool)
@@ -143,11 +143,12 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", rows_
     Columns of ``docs`` with these names are replaced; every other column is kept. Of equal scores the first language in order wins.
     """
     docs = docs.drop("lang_pred", "score")
+    bytes_name, letters_name = fresh(docs, "bytes"), fresh(docs, "letters")
 
     def scan(batches):
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("__text"))
-            lettered = batch.column(batch.schema.get_field_index("__lettered")).to_numpy(zero_copy_only=False)
+            texts = batch.column(batch.schema.get_field_index(bytes_name))
+            lettered = batch.column(batch.schema.get_field_index(letters_name)).to_numpy(zero_copy_only=False)
             names, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             todo = np.flatnonzero(lettered) if model else []
             held, size = [], 0
@@ -165,10 +166,10 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", rows_
                     for j, k, p in zip(held, top, mean[np.arange(len(top)), top]):
                         names[j], scores[j] = model.languages[k], min(1.0, float(p))
                     held, size = [], 0
-            keep = [i for i, n in enumerate(batch.schema.names) if n not in ("__text", "__lettered")]
+            keep = [i for i, n in enumerate(batch.schema.names) if n not in (bytes_name, letters_name)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(names), pa.array(scores)], names=[*(batch.schema.names[i] for i in keep), "lang_pred", "score"])
 
-    ready = docs.withColumn("__text", F.col(text_col).cast("binary")).withColumn("__lettered", has_letter(text_col))
+    ready = docs.withColumn(bytes_name, F.col(text_col).cast("binary")).withColumn(letters_name, has_letter(text_col))
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return ready.mapInArrow(scan, schema)
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from procweave.llm.common import blocks_for, table
+from procweave.llm.common import blocks_for, fresh, table
 
 #: Populations from which numpy draws; larger ones are drawn by rejection.
 NUMPY_LIMIT = 10**9 - 1
@@ -79,6 +79,7 @@ def shard(df: DataFrame, shards: int = 40, seed: int = 0, block_rows: int = 100_
     when read again (a scan, or a settled table); a partition that does not is an error.
     """
     df = df.drop("shard", "slot")
+    block_name, place_name = fresh(df, "block"), fresh(df, "place")
     counted = {r["p"]: r["count"] for r in df.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()}
     total = sum(counted.values())
     sizes = [counted.get(p, 0) for p in range(max(counted, default=0) + 1)]
@@ -101,15 +102,15 @@ def shard(df: DataFrame, shards: int = 40, seed: int = 0, block_rows: int = 100_
             if at + batch.num_rows > rows:
                 raise RuntimeError("the input gave other rows than when it was counted; settle it first")
             place = np.arange(at, at + batch.num_rows, dtype=np.int64) + (part << 40)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(target[at : at + batch.num_rows]), pa.array(place)], names=[*batch.schema.names, "__block", "__place"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(target[at : at + batch.num_rows]), pa.array(place)], names=[*batch.schema.names, block_name, place_name])
             at += batch.num_rows
         if at != rows:
             raise RuntimeError("the input gave other rows than when it was counted; settle it first")
 
-    dealt = df.mapInArrow(deal, T.StructType([*df.schema.fields, T.StructField("__block", T.IntegerType()), T.StructField("__place", T.LongType())]))
-    order = Window.partitionBy("__block").orderBy(F.xxhash64(F.lit(seed), "__place"), "__place")
-    at = lambda values, kind: F.element_at(F.array(*map(F.lit, values)), F.col("__block") + 1).cast(kind) if len(values) > 1 else F.lit(values[0]).cast(kind)
-    return dealt.withColumn("slot", (F.row_number().over(order) - 1 + at(starts, "long")).cast("long")).withColumn("shard", at(owners, "int")).drop("__block", "__place")
+    dealt = df.mapInArrow(deal, T.StructType([*df.schema.fields, T.StructField(block_name, T.IntegerType()), T.StructField(place_name, T.LongType())]))
+    order = Window.partitionBy(block_name).orderBy(F.xxhash64(F.lit(seed), place_name), place_name)
+    at = lambda values, kind: F.element_at(F.array(*map(F.lit, values)), F.col(block_name) + 1).cast(kind) if len(values) > 1 else F.lit(values[0]).cast(kind)
+    return dealt.withColumn("slot", (F.row_number().over(order) - 1 + at(starts, "long")).cast("long")).withColumn("shard", at(owners, "int")).drop(block_name, place_name)
 
 
 def op1_hypergeometric_sharding(spark, sf_dir: str) -> DataFrame:

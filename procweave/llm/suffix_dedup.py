@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procweave.llm.common import numbered, table
+from procweave.llm.common import fresh, numbered, table
 from procweave.llm.windows import HOT, grow_ranks, remove_repeats, whole_windows
 
 LAST = 2**63 - 1
@@ -77,9 +77,10 @@ def dedup_texts(docs: DataFrame, width: int = 200, keep_first: bool = True, id_c
     """
     source = _prepared(docs, id_col, text_col)
     gone = remove_repeats(source, False, width, max(1, width * 8 // 25), partial(judge, width=width, keep_first=keep_first), keep_first, keep_text=True)
-    left = docs.withColumn("__rid", F.monotonically_increasing_id())
-    out = left.join(gone.select(F.col("rid").alias("__cut"), F.col("kept").alias("__kept")), F.col("__rid") == F.col("__cut"), "left")
-    return out.withColumn(text_col, F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(F.col("__kept"))).select(docs.columns)
+    row, cut, kept = fresh(docs, "row"), fresh(docs, "cut"), fresh(docs, "kept")
+    left = docs.withColumn(row, F.monotonically_increasing_id())
+    out = left.join(gone.select(F.col("rid").alias(cut), F.col("kept").alias(kept)), F.col(row) == F.col(cut), "left")
+    return out.withColumn(text_col, F.when(F.col(cut).isNull(), F.col(text_col)).otherwise(F.col(kept))).select(docs.columns)
 
 
 def op4_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

@@ -56,6 +56,8 @@ def best_of(queries: np.ndarray, query_rows: np.ndarray, vectors: np.ndarray, ro
         if not len(asked):
             continue
         scores = queries[asked] @ vectors[part].T
+        if not exact:
+            scores = np.minimum(np.maximum(scores, -LONG - 1), LONG)
         shown = np.where(live[asked], scores, -np.inf)
         if exact and len(part) > k:
             shown[shown < np.partition(shown, len(part) - k, axis=1)[:, len(part) - k][:, None]] = -np.inf
@@ -69,7 +71,7 @@ def best_of(queries: np.ndarray, query_rows: np.ndarray, vectors: np.ndarray, ro
         if exact:
             last = rank[rank < k] == k - 1
             floor[found[0][last]] = found[2][last]
-    whole = found[2].astype(np.int64) if exact else np.array([max(-LONG - 1, min(LONG, v)) for v in found[2]], np.int64)
+    whole = found[2].astype(np.int64)
     return found[0], found[1], whole
 
 

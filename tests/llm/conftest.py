@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import types as T
 
 #: Columns whose names operators use inside.
-CLASHING = ["rid", "ord", "id", "key", "m", "k", "p", "n", "shard", "slot", "text_crc32", "lang_pred", "score", "bin_id", "spans", "near", "__block"]
+CLASHING = ["rid", "ord", "id", "key", "m", "k", "p", "n", "shard", "slot", "text_crc32", "lang_pred", "score", "bin_id", "spans", "near", "block", "place", "row", "cut", "kept", "copy", "hit", "bytes", "letters"]
 DOCUMENT = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())]
     + [T.StructField(c, T.StringType()) for c in CLASHING]
