@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from procweave.llm.common import numbered, settle, table
+from procweave.llm.common import fresh, numbered, settle, table
 from procweave.llm.windows import BASE, MIX, Prints, mix, symbols
 from procweave.operators.resolve import connected_components
 
@@ -147,7 +147,9 @@ def candidates(rows: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` whose full sets (node, s) have a similarity of 0.75 or more."""
-    both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    # Sets are large and pairs may be few: one plan at every size, whose hot keys adaptive execution splits.
+    left, right = (sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")).hint("merge") for c in ("a", "b"))
+    both = pairs.select("a", "b").join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.filter(100 * shared >= 75 * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
@@ -160,7 +162,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(shingles.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("rid").slice(at, len(texts)), lists], names=["node", "s"])
 
-    return docs.select("rid", "text").join(nodes.select(F.col("node").alias("rid")), "rid").mapInArrow(scan, "node long, s array<long>")
+    return docs.select("rid", "text").join(nodes.select(F.col("node").alias("rid")).hint("merge"), "rid").mapInArrow(scan, "node long, s array<long>")
 
 
 def links(docs: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
@@ -214,9 +216,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_co
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs``, all columns, that are the first of their group; documents without words all stay."""
-    gone = near_duplicates(docs, **options).filter("NOT first").select(F.col("rid").alias("__gone"))
-    left = docs.withColumn("__rid", F.monotonically_increasing_id())
-    return left.join(gone, left["__rid"] == F.col("__gone"), "left_anti").select(docs.columns)
+    row, copy = fresh(docs, "row"), fresh(docs, "copy")
+    gone = near_duplicates(docs, **options).filter("NOT first").select(F.col("rid").alias(copy))
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, F.col(row) == F.col(copy), "left_anti").select(docs.columns)
 
 
 def op10_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
