@@ -28,6 +28,8 @@ from procweave.session import settle
 
 NODE = ["proc_id", "pos", "element_type", "id", "name", "type", "role", "source", "description", "instruction"]
 SEQ = ["proc_id", "pos", "id", "name", "source", "target", "condition"]
+#: Positions of the kinds of nodes lie this far apart, and derived flows come after all stored ones.
+GROUP_SPAN, LATE = 1 << 44, 1 << 60
 
 
 def _none() -> Column:
@@ -53,7 +55,7 @@ def join_elements(nodes: DataFrame, seqs: DataFrame) -> DataFrame:
 
 def runtime_types(nodes: DataFrame) -> DataFrame:
     """Nodes with the type names of the runtime form: first letter in lower case, activities as user tasks."""
-    lower_first = F.concat(F.lower(F.substring("type", 1, 1)), F.substring("type", 2, 1000))
+    lower_first = F.concat(F.lower(F.substring("type", 1, 1)), F.expr("substring(type, 2)"))
     return nodes.withColumn("type", F.when(F.col("element_type") == "Activity", "userTask").otherwise(lower_first))
 
 
@@ -331,11 +333,11 @@ def elements_from_entities(processes: DataFrame, tasks: DataFrame, roles: DataFr
     f = first_per_key(f.withColumn("condition", strip(or_blank("condition"))), ["proc_id", "source", "target", "condition"], ["pos"])
     few = p.join(f.groupBy("proc_id").agg(F.count(F.lit(1)).alias("n")), "proc_id", "left").where(F.coalesce("n", F.lit(0)) <= 1).select("proc_id")
     chain = scan(nodes.select("proc_id", "id", "at", F.col("at.g").alias("g"), F.col("at.n").alias("n")), ["proc_id"], ["g", "n"], lead={"next_id": "id"}).where("next_id IS NOT NULL")
-    chain = chain.join(few, "proc_id", "left_semi").select("proc_id", F.col("g") * 1_000_000 + F.col("n").cast("long") + F.lit(1_000_000_000), F.col("id").alias("source"), F.col("next_id").alias("target"), F.lit("").alias("condition")).toDF("proc_id", "pos", "source", "target", "condition")
+    chain = chain.join(few, "proc_id", "left_semi").select("proc_id", F.lit(LATE) + F.col("g") * GROUP_SPAN + F.col("n").cast("long"), F.col("id").alias("source"), F.col("next_id").alias("target"), F.lit("").alias("condition")).toDF("proc_id", "pos", "source", "target", "condition")
     chain = chain.join(f.select("proc_id", "source", "target", "condition"), ["proc_id", "source", "target", "condition"], "left_anti")
     s = f.select("proc_id", F.col("pos").cast("long").alias("pos"), "source", "target", "condition").unionByName(chain.select("proc_id", "pos", "source", "target", "condition"))
     seqs = s.select("proc_id", "pos", F.concat_ws("_", F.lit("seq"), "source", "target").alias("id"), F.col("condition").alias("name"), "source", "target", "condition")
-    flat = nodes.select("proc_id", (F.col("at.g") * 1_000_000 + F.col("at.n")).cast("long").alias("pos"), "element_type", "id", "name", "type", "role", F.lit("").alias("source"), "description", "instruction")
+    flat = nodes.select("proc_id", (F.col("at.g") * GROUP_SPAN + F.col("at.n")).cast("long").alias("pos"), "element_type", "id", "name", "type", "role", F.lit("").alias("source"), "description", "instruction")
     return join_elements(flat, seqs)
 
 
@@ -413,7 +415,7 @@ def gateway_decisions(nodes: DataFrame, seqs: DataFrame) -> tuple[DataFrame, Dat
     numbered = scan(seqs, ["proc_id", "source"], ["pos", "id"], number="n").withColumnRenamed("source", "gateway_id").where(~blank("condition"))
     target = nodes.select("proc_id", F.col("id").alias("target"), F.col("name").alias("__tname"))
     rules = numbered.join(decisions.select("proc_id", "gateway_id", "decision_id"), ["proc_id", "gateway_id"]).join(target, ["proc_id", "target"], "left").select(
-        "proc_id", F.concat(F.lit("dmn_rule_"), F.substring("decision_id", 14, 1000), F.lit("_"), F.col("n").cast("string")).alias("rule_id"), "decision_id",
+        "proc_id", F.concat(F.lit("dmn_rule_"), F.expr("substring(decision_id, 14)"), F.lit("_"), F.col("n").cast("string")).alias("rule_id"), "decision_id",
         strip("condition").alias("when"), F.concat(F.coalesce(null_if_blank(strip("__tname")), "target"), F.lit(fixed.RULE_THEN_SUFFIX)).alias("then"), "target",
     )
     return decisions, rules
@@ -454,7 +456,7 @@ def enrich_defaults(nodes: DataFrame, seqs: DataFrame, strict: bool = True) -> t
 
 def ordered_flow_list(tasks: DataFrame, flows: DataFrame, start_id: str = "start", end_id: str = "end") -> DataFrame:
     """Flows of each process as drawn: start to first task, stored flows, gaps in task order, last task
-    to the end unless it leads to an event. Ids are stable and the first per id counts."""
+    to the end unless it leads to an event. The first flow of each source and target counts; ids are stable."""
     t = scan(tasks.select("proc_id", "task_id", "order"), ["proc_id"], ["order", "task_id"], number="n", lead={"next_id": "task_id"})
     first = t.where("n = 1").select("proc_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("at"), F.lit(start_id).alias("source"), F.col("task_id").alias("target"), _none().alias("condition"))
     stored = flows.select("proc_id", F.lit(1).alias("rank"), F.col("pos").cast("long").alias("at"), F.col("from_id").alias("source"), F.col("to_id").alias("target"), F.col("condition"))
@@ -467,8 +469,8 @@ def ordered_flow_list(tasks: DataFrame, flows: DataFrame, start_id: str = "start
         "proc_id", F.lit(3).alias("rank"), F.lit(0).cast("long").alias("at"), F.col("task_id").alias("source"), F.lit(end_id).alias("target"), _none().alias("condition")
     )
     rows = union_all([first, stored, gaps, last])
-    fid = F.substring(F.regexp_replace(F.concat_ws("_", F.lit("SequenceFlow"), "source", "target"), r"[^0-9A-Za-z_-]", "_"), 1, 240)
-    return first_per_key(rows.withColumn("flow_id", fid), ["proc_id", "flow_id"], ["rank", "at", "source", "target"])
+    fid = F.regexp_replace(F.concat_ws("_", F.lit("SequenceFlow"), "source", "target"), r"[^0-9A-Za-z_-]", "_")
+    return first_per_key(rows.withColumn("flow_id", fid), ["proc_id", "source", "target"], ["rank", "at"])
 
 
 def incoming_outgoing(flows: DataFrame) -> DataFrame:

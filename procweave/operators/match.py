@@ -22,11 +22,11 @@ NAME_FIELDS = ["username", "role", "alias"]
 PROFILE_FIELDS = ["username", "role", "alias", "description", "goal", "persona"]
 
 
-def flatten_org(org: DataFrame, max_depth: int = 100) -> tuple[DataFrame, DataFrame]:
+def flatten_org(org: DataFrame, max_depth: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Teams by normalised name, and distinct (team_id, member_id) of members under their nearest team.
 
     ``org`` is the adjacency (node_id, parent_id, is_team, name). Each round settles the nodes one
-    level further down.
+    level further down, until none is left. A loop is an error, as is a ``max_depth`` that is not enough.
     """
     teams = org.where("is_team").select(compact("name").alias("key"), F.col("node_id").alias("team_id"), "name")
     named = first_per_key(teams.where("key <> ''"), ["key"], ["team_id"])
@@ -35,12 +35,17 @@ def flatten_org(org: DataFrame, max_depth: int = 100) -> tuple[DataFrame, DataFr
     roots = o.join(parents, "parent_id", "left_anti")
     frontier = settle(roots.select("node_id", F.when(F.col("is_team"), F.col("node_id")).alias("team_id"), "is_team"))
     found = [frontier]
-    for _ in range(max_depth):
+    bound = max_depth or o.count() + 1
+    for _ in range(bound):
         down = o.join(frontier.select(F.col("node_id").alias("parent_id"), F.col("team_id").alias("__above")), "parent_id")
         frontier = settle(down.select("node_id", F.when(F.col("is_team"), F.col("node_id")).otherwise(F.col("__above")).alias("team_id"), "is_team"))
         if frontier.isEmpty():
             break
         found.append(frontier)
+    else:
+        raise RuntimeError(f"the organisation goes deeper than {bound} levels or holds a loop")
+    if not o.join(union_all(found).select("node_id"), "node_id", "left_anti").isEmpty():
+        raise RuntimeError("the organisation holds a loop that no root leads to")
     members = union_all(found).where("NOT is_team AND team_id IS NOT NULL").select("team_id", F.col("node_id").alias("member_id")).distinct()
     return named, members
 

@@ -7,6 +7,7 @@ over the cluster. Every list query works on all entities at once; pass a filtere
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -376,10 +377,11 @@ def model_listing(models: DataFrame) -> DataFrame:
 # Paths -------------------------------------------------------------------------------------------
 
 
-def flow_chains(edges: DataFrame, limit: int = 5, max_length: int = 100) -> DataFrame:
+def flow_chains(edges: DataFrame, limit: int = 5, max_length: int | None = None) -> DataFrame:
     """Longest simple paths along (proc_id, source, target) edges from nodes nothing leads to.
 
-    Paths grow one step per round and stop at a node they hold already. ``limit`` is the report size.
+    Paths grow one step per round and stop at a node they hold already, so the rounds end by themselves; a
+    ``max_length`` that is not enough raises. ``limit`` is the report size.
     """
     e = settle(edges.select("proc_id", "source", "target").distinct())
     starts = e.select("proc_id", F.col("source").alias("node")).distinct().join(
@@ -387,13 +389,15 @@ def flow_chains(edges: DataFrame, limit: int = 5, max_length: int = 100) -> Data
     )
     frontier = settle(starts.select("proc_id", "node", F.array("node").alias("path")))
     found = []
-    for _ in range(max_length):
+    for length in count(1):
         grown = frontier.join(e, (frontier.proc_id == e.proc_id) & (frontier.node == e.source)).where(
             ~F.array_contains("path", F.col("target"))
         ).select(frontier.proc_id, F.col("target").alias("node"), F.array_append("path", F.col("target")).alias("path"))
         grown = settle(grown)
         if grown.isEmpty():
             break
+        if max_length and length > max_length:
+            raise RuntimeError(f"there are paths of more than {max_length} steps")
         # Only the best of each round can enter the report, so that is all that is kept of it.
         found.append(grown.select("proc_id", "path", (F.size("path") - 1).alias("length")).orderBy("proc_id", "path").limit(limit))
         frontier = grown
@@ -403,23 +407,29 @@ def flow_chains(edges: DataFrame, limit: int = 5, max_length: int = 100) -> Data
     return ranked.select("proc_id", F.concat_ws(" -> ", "path").alias("chain"), "length")
 
 
-def reachable(edges: DataFrame, max_rounds: int = 5000) -> DataFrame:
+def reachable(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Transitive closure of (proc_id, source, target) edges, self-loops left out: (proc_id, source, target).
 
-    Semi-naive: each round extends only the pairs found in the round before.
+    Paths double: each round joins the pairs found in the round before with all known ones on both sides, so rounds
+    grow with the logarithm of the longest path. Rounds are kept as separate tables. A ``max_rounds`` that is not enough raises.
     """
-    e = settle(edges.where("source <> target").select("proc_id", "source", "target").distinct())
-    known = e
-    frontier = e
-    step = e.select("proc_id", F.col("source").alias("target"), F.col("target").alias("__next"))
-    for _ in range(max_rounds):
-        grown = frontier.join(step, ["proc_id", "target"]).select("proc_id", "source", F.col("__next").alias("target")).distinct()
-        fresh = settle(grown.join(known, ["proc_id", "source", "target"], "left_anti"))
+    pair = ["proc_id", "source", "target"]
+    fresh = settle(edges.where("source <> target").select(*pair).distinct())
+    rounds = [fresh]
+
+    def meet(a: DataFrame, b: DataFrame) -> DataFrame:
+        step = b.select("proc_id", F.col("source").alias("target"), F.col("target").alias("__next"))
+        return a.join(step, ["proc_id", "target"]).select("proc_id", "source", F.col("__next").alias("target"))
+
+    for number in count(1):
+        known = union_all(rounds)
+        grown = meet(fresh, known).unionByName(meet(known, fresh)).distinct()
+        fresh = settle(grown.join(known, pair, "left_anti"))
         if fresh.isEmpty():
             return known
-        known = settle(known.unionByName(fresh))
-        frontier = fresh
-    return known
+        if max_rounds and number >= max_rounds:
+            raise RuntimeError(f"the closure is not complete after {max_rounds} rounds")
+        rounds.append(fresh)
 
 
 def predecessors(activities: DataFrame, sequences: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -443,21 +453,52 @@ def predecessors(activities: DataFrame, sequences: DataFrame) -> tuple[DataFrame
     return pairs, fallback
 
 
-def flow_layers(edges: DataFrame, max_rounds: int = 5000) -> DataFrame:
+def without_loops(e: DataFrame) -> DataFrame:
+    """Edges (proc_id, source, target) that close no loop.
+
+    Inside a strongly connected part nodes stand in order of their distance from where the part is entered (from its smallest
+    node if nothing enters it), then of id; edges that go back in that order are left out.
+    """
+    pair = ["proc_id", "source", "target"]
+    closure = settle(reachable(e))
+    mutual = settle(closure.join(closure.select("proc_id", F.col("target").alias("source"), F.col("source").alias("target")), pair, "left_semi").where("source <> target"))
+    part = settle(mutual.groupBy("proc_id", F.col("source").alias("id")).agg(F.least(F.min("target"), F.first("source")).alias("part")))
+    of = lambda name: part.select("proc_id", F.col("id").alias(name), F.col("part").alias(f"{name}_part"))
+    marked = settle(e.join(of("source"), ["proc_id", "source"], "left").join(of("target"), ["proc_id", "target"], "left"))
+    inner = F.coalesce(F.col("source_part") == F.col("target_part"), F.lit(False))
+    entered = marked.where(F.col("target_part").isNotNull() & ~inner).select("proc_id", F.col("target").alias("id"), F.col("target_part").alias("part")).distinct()
+    closed = part.select("proc_id", "part").distinct().join(entered, ["proc_id", "part"], "left_anti").select("proc_id", F.col("part").alias("id"), "part")
+    inside = settle(marked.where(inner).select(*pair))
+    frontier = settle(entered.unionByName(closed).select("proc_id", "id", F.lit(0).alias("far")))
+    reached = [frontier]
+    for far in count(1):
+        step = frontier.select("proc_id", F.col("id").alias("source")).join(inside, ["proc_id", "source"]).select("proc_id", F.col("target").alias("id")).distinct()
+        frontier = settle(step.join(union_all(reached).select("proc_id", "id"), ["proc_id", "id"], "left_anti").withColumn("far", F.lit(far)))
+        if frontier.isEmpty():
+            break
+        reached.append(frontier)
+    place = settle(union_all(reached))
+    at = lambda name: place.select("proc_id", F.col("id").alias(name), F.col("far").alias(f"{name}_far"))
+    forward = inside.join(at("source"), ["proc_id", "source"]).join(at("target"), ["proc_id", "target"]).where(F.struct("source_far", "source") < F.struct("target_far", "target"))
+    return marked.where(~inner).select(*pair).unionByName(forward.select(*pair))
+
+
+def flow_layers(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Layer of each node: 0 without predecessors, else one more than its highest predecessor.
 
-    Edges inside a cycle are left out first, so the rest has a longest path.
+    Edges that close a loop are left out first (``without_loops``), so the rest has a longest path. A ``max_rounds`` that is not
+    enough raises.
     """
     e = settle(edges.where("source <> target").select("proc_id", "source", "target").distinct())
     nodes = e.select("proc_id", F.col("source").alias("id")).unionByName(e.select("proc_id", F.col("target").alias("id"))).distinct()
-    closure = reachable(e)
-    back = closure.select("proc_id", F.col("target").alias("source"), F.col("source").alias("target"))
-    acyclic = settle(e.join(back, ["proc_id", "source", "target"], "left_anti"))
+    acyclic = settle(without_loops(e))
     # Nodes leave level by level: those that no remaining edge leads to are one layer.
     layers = None
     frontier = settle(nodes.join(acyclic.select("proc_id", F.col("target").alias("id")), ["proc_id", "id"], "left_anti").withColumn("layer", F.lit(0)))
     layers = frontier
-    for _ in range(max_rounds):
+    for number in count(1):
+        if max_rounds and number > max_rounds:
+            raise RuntimeError(f"there are more than {max_rounds} layers")
         reached = frontier.select("proc_id", F.col("id").alias("source"), "layer").join(acyclic, ["proc_id", "source"])
         raised = settle(reached.groupBy("proc_id", F.col("target").alias("id")).agg((F.max("layer") + 1).cast("int").alias("layer")))
         if raised.isEmpty():

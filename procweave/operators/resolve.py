@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -245,14 +246,31 @@ def accepted_edges(sigs: DataFrame) -> DataFrame:
     holders = sigs.select("proc_id", F.explode("keys").alias("key"))
     hubs = holders.groupBy("key").agg(F.min("proc_id").alias("hub"))
     by_key = holders.join(hubs, "key").where("hub <> proc_id").select(F.col("hub").alias("a"), F.col("proc_id").alias("b"))
-    # Empty tasks and an empty description make 0.70 on their own unless keys conflict, so all of
-    # these join one that has no key.
-    hollow = sigs.where((F.size("task_tokens") == 0) & (F.size("desc_tokens") == 0) & (F.size("role_tokens") == 0) & (F.size("narrative") > 0))
-    centre = hollow.where(F.size("keys") == 0).agg(F.min("proc_id").alias("a")).withColumn("__one", F.lit(1))
-    # A global aggregate is one row, so it can always be broadcast.
-    empties = hollow.select(F.col("proc_id").alias("b"), F.lit(1).alias("__one")).join(F.broadcast(centre), "__one").where("a <> b").select("a", "b")
+    # Equal in having no task tokens, roles and description makes 0.70 on its own; having tasks without
+    # tokens makes 0.90.
+    empty = lambda f: F.size(f) == 0
+    alike_by_lack = [empty("task_tokens") & empty("desc_tokens") & empty("role_tokens"), empty("task_tokens") & (F.col("n_tasks") > 0)]
     found = accepted_pairs(reps).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    return union_all([found, stars, by_key, empties]).distinct()
+    return union_all([found, stars, by_key, *(_lacking(sigs.where(c)) for c in alike_by_lack)]).distinct()
+
+
+def _lacking(sigs: DataFrame) -> DataFrame:
+    """Stars over processes whose shared lack of a set decides that they are equal, unless their keys conflict or neither
+    has any content.
+
+    A member without keys and with content links to all; without such a one, a member with content links to all
+    without keys, and one without keys to all with content.
+    """
+    content, keyless = (F.size("role_tokens") + F.size("narrative")) > 0, F.size("keys") == 0
+    rows = sigs.select("proc_id", content.alias("content"), keyless.alias("keyless"), F.lit(1).alias("__one"))
+    first = lambda cond: F.min(F.when(cond, F.col("proc_id")))
+    # A global aggregate is one row, so it can always be broadcast.
+    centres = rows.agg(first(F.col("content") & F.col("keyless")).alias("both"), first(F.col("content")).alias("told"), first(F.col("keyless")).alias("free")).withColumn("__one", F.lit(1))
+    chosen = F.array(
+        F.col("both"), F.when(F.col("both").isNull() & F.col("keyless"), F.col("told")), F.when(F.col("both").isNull() & F.col("content"), F.col("free"))
+    )
+    joined = rows.join(F.broadcast(centres), "__one").select(F.explode(chosen).alias("a"), F.col("proc_id").alias("b"))
+    return joined.where("a IS NOT NULL AND a <> b")
 
 
 # Clusters -------------------------------------------------------------------------------------------
@@ -365,17 +383,21 @@ def task_pairs(classes: DataFrame) -> DataFrame:
     return found.select(*GROUP, pick("a_id", "b_id").alias("a_id"), pick("ao", "bo").alias("ao"), pick("b_id", "a_id").alias("b_id"), pick("bo", "ao").alias("bo")).distinct()
 
 
-def merge_tasks_greedy(classes: DataFrame, pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def merge_tasks_greedy(classes: DataFrame, pairs: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(task_id, leader_id): in order, each free task absorbs its free neighbours; not transitive.
 
     A task without an earlier undecided or leading neighbour leads; neighbours of a leader are
     absorbed. Repeating this gives the sequential result: a task joins its first leading neighbour.
+    Every round decides at least the first open task of each group, so the rounds end by themselves;
+    a ``max_rounds`` that is not enough raises.
     """
     nodes = classes.where("task_id = class_id").select("class_id")
     p = settle(pairs.select("a_id", "ao", "b_id"))
     undecided = settle(nodes)
     leaders, follows = None, None
-    for _ in range(max_rounds):
+    for number in count(1):
+        if max_rounds and number > max_rounds:
+            raise RuntimeError(f"tasks are still undecided after {max_rounds} rounds")
         live = p.join(undecided.select(F.col("class_id").alias("a_id")), "a_id", "left_semi").join(undecided.select(F.col("class_id").alias("b_id")), "b_id", "left_semi")
         lead = settle(undecided.join(live.select(F.col("b_id").alias("class_id")), "class_id", "left_anti"))
         absorbed = settle(
@@ -505,7 +527,7 @@ def conflicts(resolved: DataFrame, kind: str) -> DataFrame:
 
 
 def merge_processes(tables: Mapping[str, DataFrame], evidence: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Resolve duplicate processes of one run and carry the new ids to every table that refers to them."""
+    """Resolve duplicate processes of one run and carry the new ids to every table that refers to them, evidence included."""
     sigs = settle(process_signatures(tables["process"], tables["task"], tables["task_role"], tables["role"], tables["flow"], evidence))
     merged, mapping = representatives(tables["process"], connected_components(accepted_edges(sigs)), sigs)
     out = dict(tables)
@@ -513,5 +535,7 @@ def merge_processes(tables: Mapping[str, DataFrame], evidence: DataFrame | None
     for name in ("task", "gateway", "event"):
         if name in out:
             out[name] = remap_ids(out[name], mapping, "process_id")
+    if "evidence" in out:
+        out["evidence"] = remap_ids(out["evidence"], mapping, "entity_id").distinct()
     out["alias"] = aliases(tables["process"], mapping, "proc_id", "process")
     return out

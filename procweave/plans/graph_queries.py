@@ -299,34 +299,6 @@ def g17(spark, sf_dir):
     return q.review_progress(_questions(spark, sf_dir))
 
 
-def _task_edges(spark, sf_dir):
-    """Edges from a user's earlier task to each task first seen after it: an acyclic reading of the log."""
-    g = flow_graph(spark, sf_dir)
-    place = g["task"].select("task_id", "order", "process_id")
-    e = g["edges"].where("rel = 'NEXT' AND src_type = 'task' AND dst_type = 'task'").select(F.col("src_id").alias("source"), F.col("dst_id").alias("target"))
-    a = place.select(F.col("task_id").alias("source"), F.col("order").alias("a"), F.col("process_id").alias("proc_id"))
-    b = place.select(F.col("task_id").alias("target"), F.col("order").alias("b"))
-    return e.join(a, "source").join(b, "target").where("a < b").select("proc_id", "source", "target")
-
-
-_FORWARD = """
-fe AS (SELECT a.process_id AS proc_id, src_id AS source, dst_id AS target FROM nxt JOIN task a ON a.task_id = src_id JOIN task b ON b.task_id = dst_id
-       WHERE src_type = 'task' AND dst_type = 'task' AND a."order" < b."order")
-"""
-
-
-@query(
-    "g18_flow_chains",
-    f"""WITH RECURSIVE {SQL_FLOW}, {_FORWARD},
-        p AS (SELECT DISTINCT proc_id, source AS node, [source] AS path FROM fe WHERE source NOT IN (SELECT target FROM fe)
-              UNION ALL SELECT p.proc_id, target, list_append(path, target) FROM p JOIN fe ON fe.proc_id = p.proc_id AND fe.source = p.node WHERE NOT list_contains(path, target))
-        SELECT proc_id, array_to_string(path, ' -> ') AS chain, CAST(len(path) - 1 AS INTEGER) AS length FROM p WHERE len(path) > 1
-        ORDER BY length DESC, proc_id, path LIMIT 5""",
-)
-def g18(spark, sf_dir):
-    return q.flow_chains(_task_edges(spark, sf_dir), 5)
-
-
 _CLOSURE = """
 r AS (SELECT proc_id, source, target FROM ce UNION SELECT r.proc_id, r.source, ce.target FROM r JOIN ce ON ce.proc_id = r.proc_id AND ce.source = r.target)
 """
@@ -336,11 +308,39 @@ ce AS (SELECT DISTINCT a.process_id AS proc_id, src_id AS source, dst_id AS targ
 """
 
 
+_ACYCLIC = """
+part AS (SELECT a.proc_id, a.source AS id, least(min(a.target), a.source) AS part FROM r a
+         JOIN r b ON a.proc_id = b.proc_id AND a.source = b.target AND a.target = b.source WHERE a.source <> a.target GROUP BY a.proc_id, a.source),
+e AS (SELECT ce.*, s.part AS sp, t.part AS tp, coalesce(s.part = t.part, false) AS inside FROM ce
+      LEFT JOIN part s ON s.proc_id = ce.proc_id AND s.id = source LEFT JOIN part t ON t.proc_id = ce.proc_id AND t.id = target),
+entry AS (SELECT DISTINCT proc_id, target AS id, tp AS part FROM e WHERE tp IS NOT NULL AND NOT inside),
+d AS (SELECT proc_id, id, 0 AS far FROM entry
+      UNION ALL SELECT DISTINCT proc_id, part, 0 FROM part WHERE (proc_id, part) NOT IN (SELECT proc_id, part FROM entry)),
+w AS (SELECT * FROM d UNION SELECT w.proc_id, target, far + 1 FROM w JOIN e ON inside AND e.proc_id = w.proc_id AND source = w.id
+      WHERE far < (SELECT max(n) FROM (SELECT count(*) AS n FROM part GROUP BY proc_id, part))),
+place AS (SELECT proc_id, id, min(far) AS far FROM w GROUP BY ALL),
+fe AS (SELECT e.proc_id, source, target FROM e LEFT JOIN place a ON a.proc_id = e.proc_id AND a.id = source LEFT JOIN place b ON b.proc_id = e.proc_id AND b.id = target
+       WHERE NOT inside OR a.far < b.far OR (a.far = b.far AND source < target))
+"""
+
+
 def _log_edges(spark, sf_dir):
     e = flow_next_edges(spark, sf_dir).select(F.col("src_id").alias("source"), F.col("dst_id").alias("target")).distinct()
     return e.select(F.substring_index("source", ":", 1).alias("proc_id"), "source", "target")
 
 
+@query(
+    "g18_flow_chains",
+    f"""WITH RECURSIVE {SQL_FLOW}, {_ALL_EDGES}, {_CLOSURE}, {_ACYCLIC},
+        p AS (SELECT DISTINCT proc_id, source AS node, [source] AS path FROM fe WHERE (proc_id, source) NOT IN (SELECT proc_id, target FROM fe)
+              UNION ALL SELECT p.proc_id, target, list_append(path, target) FROM p JOIN fe ON fe.proc_id = p.proc_id AND fe.source = p.node)
+        SELECT proc_id, array_to_string(path, ' -> ') AS chain, CAST(len(path) - 1 AS INTEGER) AS length FROM p WHERE len(path) > 1
+        ORDER BY length DESC, proc_id, path LIMIT 5""",
+)
+def g18(spark, sf_dir):
+    return q.flow_chains(q.without_loops(_log_edges(spark, sf_dir).where("source <> target").distinct()), 5)
+
+
 @query(
     "g19_predecessors",
     f"WITH RECURSIVE {SQL_FLOW}, {_ALL_EDGES}, {_CLOSURE} SELECT proc_id, target AS id, source AS predecessor FROM r WHERE source <> target",
@@ -362,13 +362,14 @@ def g19_fallback(spark, sf_dir):
 
 @query(
     "g20_flow_layers",
-    f"""WITH RECURSIVE {SQL_FLOW}, {_FORWARD},
-        l AS (SELECT DISTINCT proc_id, source AS id, 0 AS layer FROM fe WHERE source NOT IN (SELECT target FROM fe)
+    f"""WITH RECURSIVE {SQL_FLOW}, {_ALL_EDGES}, {_CLOSURE},
+        {_ACYCLIC},
+        l AS (SELECT DISTINCT proc_id, source AS id, 0 AS layer FROM ce WHERE (proc_id, source) NOT IN (SELECT proc_id, target FROM fe)
               UNION SELECT l.proc_id, fe.target, l.layer + 1 FROM l JOIN fe ON fe.proc_id = l.proc_id AND fe.source = l.id)
         SELECT proc_id, id, max(layer) AS layer FROM l GROUP BY ALL""",
 )
 def g20(spark, sf_dir):
-    return q.flow_layers(_task_edges(spark, sf_dir))
+    return q.flow_layers(_log_edges(spark, sf_dir))
 
 
 @query(

@@ -1,7 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from procweave import schemas
-from procweave.operators import flows, graph
+from procweave.operators import flows, graph, match
 from procweave.operators import queries as q
 
 
@@ -23,11 +24,38 @@ def test_layers_skip_cycles_and_closure_is_transitive(spark):
     closure = {(r.source, r.target) for r in q.reachable(e).collect()}
     assert all((a, d) in closure for a, b in closure for c, d in closure if b == c)
     layers = {r.id: r.layer for r in q.flow_layers(e).collect()}
-    assert layers == {"a": 0, "e": 0, "b": 1, "c": 0, "d": 1}
+    assert layers == {"a": 0, "e": 0, "b": 1, "c": 2, "d": 3}
+    loop = spark.createDataFrame([("p", a, b) for a, b in [("start", "A"), ("A", "B"), ("B", "A"), ("B", "end")]] + [("q", "y", "x"), ("q", "x", "y"), ("q", "y", "z")], "proc_id string, source string, target string")
+    assert {(r.proc_id, r.id): r.layer for r in q.flow_layers(loop).collect()} == {("p", "start"): 0, ("p", "A"): 1, ("p", "B"): 2, ("p", "end"): 3, ("q", "x"): 0, ("q", "y"): 1, ("q", "z"): 2}
     chains = [r.chain for r in q.flow_chains(e, 2).collect()]
     assert chains[0] == "a -> b -> c -> d"
 
 
+def test_rounds_go_to_the_end_or_raise(spark):
+    n = 130
+    e = spark.createDataFrame([("p", f"n{i:03d}", f"n{i + 1:03d}") for i in range(n)], "proc_id string, source string, target string")
+    assert q.reachable(e).count() == n * (n + 1) // 2
+    assert q.flow_chains(e, 1).first().length == n
+    short = e.where("source < 'n012'")
+    assert q.flow_layers(short).agg(F.max("layer")).first()[0] == 12
+    org = spark.createDataFrame([("t", None, True, "T")] + [(f"d{i}", f"d{i - 1}" if i else "t", False, "x") for i in range(8)], "node_id string, parent_id string, is_team boolean, name string")
+    assert match.flatten_org(org)[1].count() == 8
+    for call in (lambda: q.reachable(e, 2), lambda: q.flow_chains(e, 1, 3), lambda: q.flow_layers(short, 3), lambda: match.flatten_org(org, 2)):
+        with pytest.raises(RuntimeError):
+            call()
+    for extra in ([("x", "y", False, ""), ("y", "x", False, "")], [("d0", "d7", False, "")]):
+        with pytest.raises(RuntimeError):
+            match.flatten_org(org.union(spark.createDataFrame(extra, org.schema)))
+
+
+def test_long_ids_stay_apart(spark):
+    a, b, c = "a" * 300, "b" * 300, "c" * 300
+    tasks = spark.createDataFrame([("p", a, 1)], "proc_id string, task_id string, order int")
+    stored = spark.createDataFrame([("p", 1, a, b, "event", ""), ("p", 2, a, c, "event", "")], "proc_id string, pos long, from_id string, to_id string, to_type string, condition string")
+    listed = flows.ordered_flow_list(tasks, stored)
+    assert {(r.source, r.target) for r in listed.collect()} == {("start", a), (a, b), (a, c)} and listed.select("flow_id").distinct().count() == 3
+
+
 def test_predecessors_fall_back_to_list_order(spark):
     acts = spark.createDataFrame([("p", "a", 0), ("p", "b", 1), ("q", "x", 0), ("q", "y", 1)], "proc_id string, id string, pos int")
     seqs = spark.createDataFrame([("p", "a", "gw"), ("p", "gw", "b")], "proc_id string, source string, target string")
