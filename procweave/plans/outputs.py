@@ -137,7 +137,7 @@ def k7_run(spark, sf_dir):
 
     patterns = [("process", r"^[A-Z]\w+ and ", 0.7), ("task", r"^(The|De|El|Der|Le)\b", 0.6), ("role", r"\b(der|ent)\b", 0.6), ("event", r"\d", 0.7)]
     make = lambda text: candidates.default_payload(candidates.pattern_candidates(text, patterns))
-    return k.run_summary(document_graph(corpus(spark, sf_dir), make, resolve_processes=False))
+    return k.run_summary(document_graph(corpus(spark, sf_dir), make))
 
 
 @query(
@@ -215,7 +215,13 @@ def m2_stream(spark, sf_dir):
     return spark.read.parquet(f"{base}/out")
 
 
-@query("m3_replay_then_tail", "SELECT CAST(user_id AS VARCHAR) AS job_id, event_id AS seq, event_type AS status, 'run' AS step FROM events WHERE user_id = (SELECT min(user_id) FROM events) UNION ALL SELECT CAST(user_id AS VARCHAR), NULL, 'error', 'final' FROM events WHERE user_id = (SELECT min(user_id) FROM events) AND event_type = 'error' GROUP BY user_id")
+@query(
+    "m3_replay_then_tail",
+    """WITH e AS (SELECT *, CAST(event_type = 'error' AS INTEGER) AS over, sum(CAST(event_type = 'error' AS INTEGER)) OVER (ORDER BY ts, event_id) AS n
+                  FROM events WHERE user_id = (SELECT min(user_id) FROM events))
+       SELECT CAST(user_id AS VARCHAR) AS job_id, event_id AS seq, event_type AS status, 'run' AS step FROM e WHERE n - over = 0
+       UNION ALL SELECT CAST(user_id AS VARCHAR), NULL, 'error', 'final' FROM e WHERE over = 1 GROUP BY user_id""",
+)
 def m3(spark, sf_dir):
     base = f"{shared_dir(spark).rstrip('/')}/replay-{uuid.uuid4().hex}"
     job = str(table(spark, sf_dir, "events").agg(F.min("user_id")).first()[0])

@@ -5,11 +5,13 @@ Every streaming job has a batch twin that gives the same rows on bounded input.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from procweave.functions import fixed
@@ -54,25 +56,28 @@ def emit_on_change(events: DataFrame, silence: str = "1 hour") -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        last, ended, high = (None, False, 0)
-        if state.exists:
-            status, st, progress, message, ended, high = state.get
-            last = (status, st, progress, message)
         parts = [b for b in batches if len(b)]
         if not parts:
             return
         rows = pd.concat(parts).sort_values(["ts", "seq"])
-        keep = []
-        for i, now in enumerate(zip(*[rows[c] for c in STATE])):
-            now = (now[0], now[1], int(now[2]), now[3])
-            if not ended and now != last:
-                keep.append(i)
-            last = now
-            ended = ended or now[0] in fixed.TERMINAL_STATUSES
+        now = rows[STATE].astype({"progress": "Int64"}).astype(object)
+        now = now.where(now.notna(), None)
+        before, ended, high = now.shift(1), False, 0
+        fresh = pd.Series(False, index=rows.index)
+        if state.exists:
+            *last, ended, high = state.get
+            before.iloc[0] = last
+        else:
+            fresh.iloc[0] = True
+        # A missing value equals a missing one, as in the batch form.
+        same = ((now == before) | (now.isna() & before.isna())).all(axis=1)
+        over = rows["status"].isin(fixed.TERMINAL_STATUSES)
+        open_before = (over.cumsum() - over == 0) & (not ended)
         high = max(high, int(rows["ts"].max().timestamp() * 1000))
-        state.update((*last, bool(ended), high))
+        status, st, progress, message = now.iloc[-1]
+        state.update((status, st, None if progress is None else int(progress), message, bool(ended or over.any()), high))
         state.setTimeoutTimestamp(max(high + ms, state.getCurrentWatermarkMs() + 1))
-        yield rows.iloc[keep][columns]
+        yield rows[(fresh | ~same) & open_before][columns]
 
     schema = "status string, step string, progress int, message string, ended boolean, high long"
     return (
@@ -81,19 +86,40 @@ def emit_on_change(events: DataFrame, silence: str = "1 hour") -> DataFrame:
     )
 
 
+def _up_to_end(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Rows of a job in event order up to its first terminal status, then one marker, then nothing."""
+    parts = [b for b in batches if len(b)]
+    if state.exists or not parts:
+        return
+    rows = pd.concat(parts).sort_values(["ts", "seq"])
+    over = rows["status"].isin(fixed.TERMINAL_STATUSES)
+    rows = rows[over.cumsum() - over == 0]
+    if over.any():
+        state.update((True,))
+        end = rows.iloc[[-1]].copy()
+        end[[c for c in rows.columns if c not in ("job_id", "ts", "status")]] = None
+        end["step"] = "final"
+        rows = pd.concat([rows.astype(object), end.astype(object)])
+    yield rows
+
+
 def replay_then_tail(events: DataFrame, job_id: str, sink: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False):
-    """Query that hands all earlier events of a job and then new ones to ``sink``, with a final marker
-    row after the terminal status."""
+    """Query that hands all earlier events of a job and then new ones to ``sink``, and after the first terminal status
+    one marker row (step ``final``). Events after the end are not delivered, also after a restart, and the query stops."""
     own = events.where(F.col("job_id") == job_id)
+    # The marker has no values in most columns.
+    rows = T.StructType([T.StructField(f.name, f.dataType) for f in events.schema])
+    told = own.groupBy("job_id").applyInPandasWithState(_up_to_end, rows, "ended boolean", "append", GroupStateTimeout.NoTimeout)
+    started: list = []
 
     def deliver(batch: DataFrame, epoch: int) -> None:
-        done = batch.where(F.col("status").isin(fixed.TERMINAL_STATUSES)).select("job_id", "ts", "status").distinct()
-        final = done.groupBy("job_id").agg(F.max_by("status", "ts").alias("status"), F.max("ts").alias("ts"))
-        marker = final.select(*[F.col(c) if c in ("job_id", "ts", "status") else F.lit("final" if c == "step" else None).cast(batch.schema[c].dataType).alias(c) for c in batch.columns])
-        sink(batch.unionByName(marker), epoch)
+        sink(batch, epoch)
+        if not available_now and started and not batch.where("step = 'final'").isEmpty():
+            threading.Thread(target=started[0].stop, daemon=True).start()
 
-    writer = own.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    writer = told.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint)
+    started.append((writer.trigger(availableNow=True) if available_now else writer).start())
+    return started[0]
 
 
 # Share of the run that a step's own progress covers.

@@ -93,3 +93,21 @@ def test_procedure_steps_equal_plain_python(spark):
     texts = ["1. open it 2) close it", "- one thing - other", "First thing here. Second。 Third thing too", "short", "", "x" * 250]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(text.procedure_steps("t")).collect()] == [plain(t) for t in texts]
+
+
+def test_whole_run_keeps_equal_chunks_apart_and_merges_entities(spark):
+    """Two documents with the same text: two chunks, one process, one role, one task, all referred to by their kept ids."""
+    from procweave.operators import candidates as c
+    from procweave.plans.pipeline import document_graph
+
+    text = "Process of claims\nTask check the claim by Role clerk\nRole clerk\n" + "filler line of text\n" * 10
+    docs = spark.createDataFrame([("a", [(1, text)]), ("b", [(1, text)])], "doc_id string, pages array<struct<page:int,text:string>>")
+    patterns = [("process", r"^Process", 0.9), ("task", r"^Task", 0.9), ("role", r"^Role", 0.9)]
+    g = document_graph(docs, lambda t: c.default_payload(c.pattern_candidates(t, patterns)))
+    assert g["chunk"].count() == 2 and g["chunk"].select("chunk_id").distinct().count() == 2
+    assert [g[k].count() for k in ("process", "role", "task")] == [1, 1, 1]
+    ids = {r[0] for k, key in (("process", "proc_id"), ("role", "role_id"), ("task", "task_id")) for r in g[k].select(key).collect()}
+    edges = g["edges"].collect()
+    assert {(e.rel, e.src_id in ids) for e in edges if e.rel == "SUPPORTED_BY"} == {("SUPPORTED_BY", True)}
+    assert {e.dst_id for e in edges if e.rel == "SUPPORTED_BY"} == {r.chunk_id for r in g["chunk"].collect()}
+    assert {e.rel for e in edges} >= {"HAS_TASK", "PERFORMED_BY"} and g["coverage"].first().n_with_role == 1
