@@ -264,7 +264,7 @@ def _part_tasks(spark, sf_dir):
 
 _CLASSES = """
 pt AS (SELECT lpad(CAST(l_orderkey AS VARCHAR), 8, '0') || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS task_id, CAST(l_suppkey AS VARCHAR) AS process_id,
-         l_returnflag AS role_id, lower(p_name) AS key, l_linenumber AS "order", l_linestatus FROM lineitem JOIN part ON p_partkey = l_partkey),
+         l_returnflag AS role_id, lower(p_name) AS key, l_linenumber AS "order", l_linestatus, p_name FROM lineitem JOIN part ON p_partkey = l_partkey),
 cl AS (SELECT process_id, role_id, key, "order", min(task_id) AS class_id FROM pt GROUP BY ALL)
 """
 _CHARS = "list_distinct(string_split({x}, ''))"
@@ -290,18 +290,47 @@ def _leaders(spark, sf_dir):
     return tasks, task_role, settle(r.merge_tasks_greedy(classes, r.task_pairs(classes)))
 
 
-@query("e15_merge_tasks_greedy")
+# In order, each class joins the first leader that is the same task, or leads.
+_LEADERS = f"""
+{_CLASSES},
+o AS (SELECT *, row_number() OVER (PARTITION BY process_id, role_id ORDER BY "order", class_id) AS n FROM cl),
+led AS (
+  SELECT process_id, role_id, n, class_id, class_id AS leader_id, [{{'id': class_id, 'k': key, 'o': "order"}}] AS heads FROM o WHERE n = 1
+  UNION ALL
+  SELECT process_id, role_id, n, class_id, CASE WHEN len(hit) > 0 THEN hit[1].id ELSE class_id END,
+    CASE WHEN len(hit) > 0 THEN heads ELSE list_append(heads, {{'id': class_id, 'k': key, 'o': ord}}) END
+  FROM (
+    SELECT o.process_id, o.role_id, o.n, o.class_id, o.key, o."order" AS ord, heads,
+      list_filter(heads, lambda x: contains(o.key, x.k) OR contains(x.k, o.key) OR replace(o.key, ' ', '') = replace(x.k, ' ', '')
+        OR (o."order" - x.o <= 1 AND len(list_intersect({_CHARS.format(x='o.key')}, {_CHARS.format(x='x.k')}))::DOUBLE
+          / len(list_distinct(list_concat({_CHARS.format(x='o.key')}, {_CHARS.format(x='x.k')}))) > 0.6)) AS hit
+    FROM led JOIN o ON o.process_id = led.process_id AND o.role_id = led.role_id AND o.n = led.n + 1
+  )
+),
+lt AS (SELECT pt.*, leader_id, CAST(task_id <> leader_id AS INTEGER) AS f FROM pt JOIN cl USING (process_id, role_id, key, "order") JOIN led USING (class_id)),
+best AS (SELECT leader_id, task_id, process_id, role_id, p_name, "order" FROM lt QUALIFY row_number() OVER (PARTITION BY leader_id ORDER BY length(p_name) DESC, f, "order", task_id) = 1)
+"""
+
+
+@query("e15_merge_tasks_greedy", f"WITH RECURSIVE {_LEADERS} SELECT task_id, leader_id FROM lt")
 def e15(spark, sf_dir):
     return _leaders(spark, sf_dir)[2]
 
 
-@query("e16_merge_task_content")
+@query(
+    "e16_merge_task_content",
+    f"""WITH RECURSIVE {_LEADERS},
+        line AS (SELECT leader_id, f, "order", task_id, 0 AS n, trim(p_name) AS line FROM lt UNION ALL SELECT leader_id, f, "order", task_id, 1, trim(l_linestatus) FROM lt),
+        fresh AS (SELECT * FROM line WHERE line <> '' QUALIFY row_number() OVER (PARTITION BY leader_id, line ORDER BY f, "order", task_id, n) = 1),
+        inst AS (SELECT leader_id, string_agg(line, chr(10) ORDER BY f, "order", task_id, n) AS instruction FROM fresh GROUP BY 1)
+        SELECT task_id, process_id, p_name AS name, role_id AS description, instruction, "order" FROM best JOIN inst USING (leader_id)""",
+)
 def e16(spark, sf_dir):
     tasks, _, leaders = _leaders(spark, sf_dir)
     return r.merge_task_content(tasks, leaders)[0]
 
 
-@query("e17_carry_task_roles")
+@query("e17_carry_task_roles", f"WITH RECURSIVE {_LEADERS} SELECT task_id, role_id FROM best")
 def e17(spark, sf_dir):
     tasks, task_role, leaders = _leaders(spark, sf_dir)
     return r.carry_task_roles(task_role, r.merge_task_content(tasks, leaders)[1])
