@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from procweave.session import settle
+
 SLICE_ROWS = 5_000_000
 # Below this size no key can hold more than a few slices' worth of rows, so the count is not worth a job.
 COUNT_FROM_BYTES = 64 * 1024 * 1024
@@ -113,6 +115,8 @@ def scan(
     limit = slice_rows or SLICE_ROWS
     cuts = None
     if slice_rows or estimated_bytes(df) >= COUNT_FROM_BYTES:
+        # It is read for the counts, the cuts, the windows and the totals: worked out once.
+        df = settle(df)
         cuts = _split_points(df, keys, order, limit)
 
     as_col = lambda v: F.col(v) if isinstance(v, str) else v

@@ -21,10 +21,27 @@ from procweave.session import settle
 Graph = Mapping[str, DataFrame]
 
 
+PAIR = ["rel", "src_type", "src_id", "dst_type", "dst_id"]
+
+
+def store(g: Graph) -> dict[str, DataFrame]:
+    """The graph with its edges as stored tables, for readers of many edge types: a folder per type, and every pair of
+    ends once under ``pairs``."""
+    edges = settle(g["edges"], "rel")
+    return {**g, "edges": edges, "pairs": settle(edges.select(*PAIR).distinct(), "rel")}
+
+
 def links(g: Graph, rel: str, src: str, dst: str, src_name: str, dst_name: str) -> DataFrame:
-    """Id pairs of one edge type."""
-    e = g["edges"].where((F.col("rel") == rel) & (F.col("src_type") == src) & (F.col("dst_type") == dst))
-    return e.select(F.col("src_id").alias(src_name), F.col("dst_id").alias(dst_name)).distinct()
+    """Id pairs of one edge type, each once."""
+    e = g["pairs" if "pairs" in g else "edges"].where((F.col("rel") == rel) & (F.col("src_type") == src) & (F.col("dst_type") == dst))
+    e = e.select(F.col("src_id").alias(src_name), F.col("dst_id").alias(dst_name))
+    return e if "pairs" in g else e.distinct()
+
+
+def performers(g: Graph) -> DataFrame:
+    """(proc_id, task_id, role_id) of the roles that perform the tasks of each process."""
+    tasks = links(g, "HAS_TASK", "process", "task", "proc_id", "task_id")
+    return tasks.join(links(g, "PERFORMED_BY", "task", "role", "task_id", "role_id"), "task_id").select("proc_id", "task_id", "role_id")
 
 
 def first_evidence(g: Graph, kind: str, key: str) -> DataFrame:
@@ -49,13 +66,14 @@ def list_processes(g: Graph) -> DataFrame:
     ).orderBy("name", "proc_id")
 
 
-def process_detail(g: Graph) -> DataFrame:
+def process_detail(g: Graph, performed: DataFrame | None = None) -> DataFrame:
     """Tasks, gateways, events, roles, agents and skills of each process as (proc_id, kind, id, name).
 
-    Each branch is joined and reduced on its own, so branches never multiply one another.
+    Each branch is joined and reduced on its own, so branches never multiply one another. ``performed`` is the result of
+    ``performers`` where it is at hand.
     """
     tasks = links(g, "HAS_TASK", "process", "task", "proc_id", "id")
-    roles = tasks.withColumnRenamed("id", "task_id").join(links(g, "PERFORMED_BY", "task", "role", "task_id", "id"), "task_id").select("proc_id", "id").distinct()
+    roles = settle((performers(g) if performed is None else performed).select("proc_id", F.col("role_id").alias("id")).distinct())
     agents = roles.withColumnRenamed("id", "role_id").join(links(g, "ASSIGNED_AGENT", "role", "agent", "role_id", "id"), "role_id").select("proc_id", "id").distinct()
     of_agents = agents.withColumnRenamed("id", "agent_id").join(links(g, "USES_SKILL", "agent", "skill", "agent_id", "id"), "agent_id").select("proc_id", "id")
     skills = of_agents.unionByName(links(g, "HAS_SKILL", "process", "skill", "proc_id", "id")).distinct()
@@ -282,9 +300,10 @@ def process_graph(g: Graph) -> DataFrame:
             (condition if condition is not None else F.lit(None).cast("string")).alias("condition"),
         )
 
-    detail = process_detail(g).where(~blank("id"))
+    roles = settle(performers(g))
+    # Three kinds of lines and the member nodes are read from it.
+    detail = settle(process_detail(g, roles).where(~blank("id")))
     tasks = links(g, "HAS_TASK", "process", "task", "proc_id", "task_id")
-    roles = tasks.join(links(g, "PERFORMED_BY", "task", "role", "task_id", "role_id"), "task_id")
     agents = roles.select("proc_id", "role_id").distinct().join(links(g, "ASSIGNED_AGENT", "role", "agent", "role_id", "agent_id"), "role_id")
     skills = agents.select("proc_id", "agent_id").distinct().join(links(g, "USES_SKILL", "agent", "skill", "agent_id", "skill_id"), "agent_id")
     told = tasks.join(g["task"].where(~blank("instruction")).select("task_id", "instruction"), "task_id")

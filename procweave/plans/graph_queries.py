@@ -35,8 +35,7 @@ def g1(spark, sf_dir):
 
 def stored_graph(spark, sf_dir):
     """The property graph with its edges as a stored table, for queries that read them many times."""
-    g = property_graph(spark, sf_dir)
-    return {**g, "edges": settle(g["edges"])}
+    return q.store(property_graph(spark, sf_dir))
 
 
 @query("g2_process_detail", f"WITH {SQL_GRAPH}, {_DETAIL} SELECT * FROM detail")

@@ -47,13 +47,13 @@ def shared_dir(spark: SparkSession) -> str:
     return fallback
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and continue from there.
+def settle(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and continue from there; ``by`` gives each of its few values a folder.
 
     Later steps then have a short plan, read only the columns they need, know the real size, and a
     lost executor costs no recomputation of what came before. Tables stay until the folder is
     cleaned, as checkpoints do.
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
