@@ -388,12 +388,12 @@ def e19_flows(spark, sf_dir):
 
 @query(
     "e20_merge_graph_elements",
-    """WITH a AS (SELECT l_orderkey AS graph_id, 'Skill:' || l_partkey AS elem_id FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT l_orderkey, 'Skill:' || l_partkey FROM lineitem WHERE l_returnflag <> 'N'),
+    """WITH a AS (SELECT l_orderkey AS graph_id, 'Skill:' || l_partkey AS elem_id FROM lineitem WHERE l_returnflag <> 'N'), b AS (SELECT l_orderkey, 'Skill:' || l_partkey FROM lineitem WHERE l_returnflag <> 'R'),
        u AS (SELECT * FROM a UNION SELECT * FROM b) SELECT graph_id, count(*) AS n_elements FROM u GROUP BY 1""",
 )
 def e20(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("graph_id"), F.concat(F.lit("Skill:"), F.col("l_partkey")).alias("elem_id"), "l_returnflag")
-    return r.merge_graph_elements(lines.where("l_returnflag = 'R'"), lines.where("l_returnflag <> 'N'"))[1]
+    return r.merge_graph_elements(lines.where("l_returnflag <> 'N'"), lines.where("l_returnflag <> 'R'"))[1]
 
 
 @query(

@@ -307,11 +307,11 @@ def f9(spark, sf_dir):
     return gr.role_agent_edges(g["edges"], g["role"], g["agent"]).select(F.col("src_id").alias("role_id"), F.col("dst_id").alias("agent_id"))
 
 
-@query("f10_agent_skill_edges", "SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS agent_id, CAST(q.p_partkey AS VARCHAR) AS skill_id FROM lineitem JOIN part p ON p.p_partkey = l_partkey JOIN part q ON q.p_name = p.p_name AND q.p_size = 50")
+@query("f10_agent_skill_edges", "SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS agent_id, CAST(q.p_partkey AS VARCHAR) AS skill_id FROM lineitem JOIN part p ON p.p_partkey = l_partkey JOIN part q ON q.p_name = p.p_name")
 def f10(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     asked = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").cast("string").alias("agent_id"), F.upper("p_name").alias("skill_name")).distinct()
-    skills = part.where("p_size = 50").select(F.col("p_partkey").cast("string").alias("skill_id"), F.concat(F.lit(" "), "p_name").alias("name"))
+    skills = part.select(F.col("p_partkey").cast("string").alias("skill_id"), F.concat(F.lit(" "), "p_name").alias("name"))
     edges = gr.agent_skill_edges(asked.select("agent_id"), skills, asked)
     return edges.select(F.col("src_id").alias("agent_id"), F.col("dst_id").alias("skill_id"))
 
