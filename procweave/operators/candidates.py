@@ -130,12 +130,13 @@ def default_payload(candidates: DataFrame) -> DataFrame:
 
 
 def payload_with(sections: DataFrame, fn, columns: Sequence[str] = ("content",)) -> DataFrame:
-    """Payload by a caller's function from section text to a JSON string, one Arrow batch at a time."""
+    """Payloads by a caller's function from lists of section texts (one list per column) to a list of JSON strings, called
+    once per Arrow batch."""
     schema = f"section_id {sections.schema['section_id'].dataType.simpleString()}, payload string"
 
     def apply(batches):
         for pdf in batches:
-            yield pdf[["section_id"]].assign(payload=[fn(*row) for row in pdf[list(columns)].itertuples(index=False)])
+            yield pdf[["section_id"]].assign(payload=list(fn(*[pdf[c].tolist() for c in columns])))
 
     return sections.select("section_id", *columns).mapInPandas(apply, schema)
 

@@ -257,7 +257,7 @@ def _prefix(text, n_lines):
 )
 def u2(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("section_id"), F.col("text").alias("content"))
-    payloads = c.payload_with(docs, lambda text: _prefix(text, 1))
+    payloads = c.payload_with(docs, lambda texts: [_prefix(text, 1) for text in texts])
     parsed = c.parse_candidates(payloads.select("section_id", F.lit("run").alias("scope"), F.lit(0).alias("section_no"), "payload"))
     return parsed.select("section_id", F.size("processes").alias("n_processes"), F.size("tasks").alias("n_tasks"))
 

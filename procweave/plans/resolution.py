@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from procweave.functions import fixed
 from procweave.functions import text as t
 from procweave.operators import resolve as r
 from procweave.operators.graph import union_all
@@ -11,11 +12,9 @@ from procweave.plans.base import query, sql_compact, sql_grams, sql_norm, sql_st
 from procweave.plans.readings import spread, table
 from procweave.session import settle
 
-_KEYS = [r"\b[A-Z]{1,8}_[A-Z]{1,8}_[A-Z0-9]{2,}\b", r"\b[A-Z]{1,8}_BP_[A-Z0-9]{2,}\b", r"\bBP_[A-Z0-9]{2,}\b"]
-
 
 def _sql_keys(x: str) -> str:
-    return "list_distinct(flatten([" + ", ".join(f"regexp_extract_all(upper({x}), '{p}')" for p in _KEYS) + "]))"
+    return "list_distinct(flatten([" + ", ".join(f"regexp_extract_all(upper({x}), '{p}')" for p in fixed.BUSINESS_KEY_PATTERNS) + "]))"
 
 
 def _docs(spark, sf_dir):

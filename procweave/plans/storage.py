@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from procweave import schemas
@@ -9,6 +11,7 @@ from procweave.operators import graph as gr
 from procweave.operators import queries as q
 from procweave.plans.base import query
 from procweave.plans.readings import SQL_FLOW, SQL_GRAPH, flow_graph, flow_next_edges, flow_tasks, property_graph, table
+from procweave.session import shared_dir
 from procweave.sources import documents, exports, snapshots
 
 
@@ -115,6 +118,29 @@ def a9(spark, sf_dir):
     return snapshots.save_snapshots(snaps, again).select("run_id", "snapshot_type", "proc_id", "n_elements")
 
 
+_ELEMENT_ROWS = """
+old AS (SELECT 'r' || l_suppkey AS run_id, 'process' AS snapshot_type, 'p' || l_partkey AS proc_id, l_orderkey || '-' || l_linenumber AS elem_id, 'old' AS label FROM lineitem),
+new AS (SELECT run_id, snapshot_type, proc_id, elem_id, 'new' AS label FROM old WHERE elem_id LIKE '%-1')
+"""
+
+
+@query(
+    "a9_snapshot_elements",
+    f"""WITH {_ELEMENT_ROWS} SELECT run_id, proc_id, elem_id, label FROM new
+        UNION ALL SELECT run_id, proc_id, elem_id, label FROM old WHERE (run_id, proc_id) NOT IN (SELECT run_id, proc_id FROM new)""",
+)
+def a9_elements(spark, sf_dir):
+    """All line items as elements of process snapshots; the snapshots that hold a first line are saved again with those lines only."""
+    path = f"{shared_dir(spark).rstrip('/')}/elements-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("r"), "l_suppkey").alias("run_id"), F.lit("process").alias("snapshot_type"), F.concat(F.lit("p"), "l_partkey").alias("proc_id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("elem_id"), F.lit("old").alias("label"),
+    )
+    snapshots.write_elements(rows, path)
+    snapshots.write_elements(rows.where(F.col("elem_id").endswith("-1")).withColumn("label", F.lit("new")), path)
+    return snapshots.read_elements(spark, path).select("run_id", "proc_id", "elem_id", "label")
+
+
 @query("a10_load_snapshot", f"WITH {_SNAP} SELECT run_id, proc_id, n_elements FROM ps UNION ALL SELECT run_id, '', n_elements FROM run")
 def a10(spark, sf_dir):
     _, snaps = _runs(spark, sf_dir)

@@ -2,15 +2,17 @@
 
 ``graph_runs`` is (run_id, task_id, metadata, created_at, updated_at); ``graph_snapshots`` is
 (run_id, snapshot_type, proc_id, created_at, n_elements, payload_ref). Element rows live in their own
-table partitioned by run and type, so a snapshot is replaced without reading the others.
+table with a folder per type and bucket of runs, so replacing a snapshot rewrites its bucket only.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procweave.operators.ordered import first_per_key
+from procweave.session import settle
 
 SNAPSHOT_KEY = ["run_id", "snapshot_type", "proc_id"]
 
@@ -29,27 +31,49 @@ def save_snapshots(snapshots: DataFrame, incoming: DataFrame) -> DataFrame:
     return snapshots.join(incoming.select(*SNAPSHOT_KEY), SNAPSHOT_KEY, "left_anti").unionByName(incoming.select(*snapshots.columns))
 
 
-def write_elements(elements: DataFrame, path: str) -> None:
-    """Element rows of new snapshots; only the partitions they touch are overwritten."""
-    elements.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "snapshot_type").parquet(path)
-
-
-def read_elements(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def write_elements(elements: DataFrame, path: str, buckets: int = 64) -> None:
+    """Element rows of snapshots (run_id, snapshot_type, proc_id and more) in place of earlier rows of the same key.
+
+    The store has a folder per type and bucket of run ids; only the folders that the new rows touch are rewritten.
+    """
+    spark = elements.sparkSession
+    rows = settle(elements.withColumn("bucket", F.pmod(F.xxhash64("run_id"), F.lit(buckets)).cast("int")))
+    try:
+        stored = spark.read.schema(rows.schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = None
+    if stored is not None:
+        place, key = ["snapshot_type", "bucket"], F.to_json(F.struct(*SNAPSHOT_KEY))
+        touched = stored.join(rows.select(*place).distinct(), place, "left_semi").withColumn("__key", key)
+        kept = touched.join(rows.select(key.alias("__key")).distinct(), "__key", "left_anti").select(rows.columns)
+        rows = settle(kept.unionByName(rows))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_type", "bucket").parquet(path)
+
+
+def read_elements(spark: SparkSession, path: str, keys: DataFrame | None = None) -> DataFrame:
+    """Stored element rows, or those of the snapshots in ``keys`` (run_id, snapshot_type, proc_id)."""
+    stored = spark.read.parquet(path).drop("bucket")
+    if keys is None:
+        return stored
+    of = lambda df: F.to_json(F.struct(*[df[c] for c in SNAPSHOT_KEY]))
+    wanted = keys.select(of(keys).alias("__key")).distinct()
+    return stored.withColumn("__key", of(stored)).join(wanted, "__key", "left_semi").drop("__key")
 
 
 def load_integrated(snapshots: DataFrame) -> DataFrame:
     """Newest integrated snapshot of each run."""
-    return first_per_key(snapshots.where("snapshot_type = 'integrated'"), ["run_id"], [F.desc("created_at")])
+    return first_per_key(snapshots.where("snapshot_type = 'integrated'"), ["run_id"], [F.desc("created_at"), "proc_id"])
 
 
 def load_process(snapshots: DataFrame) -> DataFrame:
     """Newest process snapshot of each (run, process)."""
-    return first_per_key(snapshots.where("snapshot_type = 'process'"), ["run_id", "proc_id"], [F.desc("created_at")])
+    return first_per_key(snapshots.where("snapshot_type = 'process'"), ["run_id", "proc_id"], [F.desc("created_at"), "snapshot_type"])
 
 
 def _newest(df: DataFrame, *keys: str) -> DataFrame:
-    order = [F.desc("created_at"), F.desc("run_id")]
+    order = [F.desc("created_at"), F.desc("run_id"), *[c for c in ("proc_id",) if c in df.columns]]
     return first_per_key(df, list(keys), order) if keys else df.orderBy(*order).limit(1)
 
 
