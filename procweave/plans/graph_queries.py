@@ -8,7 +8,6 @@ from procweave.operators import queries as q
 from procweave.operators.graph import union_all
 from procweave.plans.base import query
 from procweave.plans.readings import SQL_FLOW, SQL_GRAPH, flow_graph, flow_next_edges, property_graph, table
-from procweave.session import settle
 
 _DETAIL = """
 d_role AS (SELECT DISTINCT process_id AS proc_id, role_id AS id FROM performed),
