@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from procweave.llm.common import fresh, table
+from procweave.llm.common import bounded, fresh, table
 
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 16
 LETTER = np.zeros(256, bool)
@@ -125,13 +125,18 @@ def has_letter(text_col: str):
     return F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", per_language: int = 800, parts: int = 4, max_documents: int = 20_000) -> Model | None:
-    """A model from a bounded sample: of each language ``per_language`` documents at most (``max_documents`` in all), the first by
-    a hash, and of each ``parts`` windows spread over the whole text. Rows without text, letters or language are not used."""
-    usable = docs.filter(F.col(lang_col).isNotNull() & has_letter(text_col)).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(order_col).cast("string")).alias("h"), F.col(text_col).alias("text"))
-    best = usable.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("i") <= per_language)
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", per_language: int = 800, parts: int = 4, max_documents: int = 20_000, max_languages: int = 1000) -> Model | None:
+    """A model from a bounded sample: of each of the ``max_languages`` most frequent languages ``per_language`` documents at
+    most (``max_documents`` in all), the first by a hash, and of each ``parts`` windows spread over the whole text. Rows without
+    text, letters or language are not used."""
     places = F.array(*[F.expr(f"substring(text, CAST(1 + greatest(0, length(text) - {WINDOW}) * {k / max(1, parts - 1)} AS INT), {WINDOW})") for k in range(parts)])
-    rows = best.orderBy("h", "lang", "text").limit(max_documents).select("lang", F.array_distinct(places).alias("samples")).collect()
+    usable = docs.filter(F.col(lang_col).isNotNull() & has_letter(text_col)).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(order_col).cast("string"), text_col).alias("h"), F.col(text_col).alias("text"))
+    # Only hashes below a bound that about three times the wanted number pass are ranked, so what is gathered does not grow.
+    share = F.least(F.lit(1.0), F.lit(3.0 * per_language) / F.col("n"))
+    counts = docs.filter(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"))
+    drawn = usable.join(F.broadcast(counts.orderBy(F.desc("n"), "lang").limit(max_languages)), "lang").filter(F.col("h") / F.lit(2.0**64) + 0.5 <= share).select("lang", "h", F.array_distinct(places).alias("samples"))
+    best = drawn.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h", "samples"))).filter(F.col("i") <= per_language)
+    rows = best.orderBy("h", "lang", "samples").limit(max_documents).select("lang", "samples").collect()
     rows.sort()
     pairs = [(s.encode(), r["lang"]) for r in rows for s in r["samples"]]
     return fit([p[0] for p in pairs], [p[1] for p in pairs])
@@ -146,7 +151,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", rows_
     bytes_name, letters_name = fresh(docs, "bytes"), fresh(docs, "letters")
 
     def scan(batches):
-        for batch in batches:
+        for batch in bounded(batches, bytes_name):
             texts = batch.column(batch.schema.get_field_index(bytes_name))
             lettered = batch.column(batch.schema.get_field_index(letters_name)).to_numpy(zero_copy_only=False)
             names, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from procweave.llm.common import fresh, numbered, settle, table
+from procweave.llm.common import bounded, fresh, numbered, settle, table
 from procweave.llm.windows import BASE, MIX, Prints, mix, symbols
 from procweave.operators.resolve import connected_components
 
@@ -49,39 +49,29 @@ def signatures(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _steps(batch) -> list[tuple[int, list[bytes]]]:
-    """Parts of a batch of texts: first row and texts."""
-    texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-    parts, at, size = [], 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size > 6 * STEP or i == len(texts) - 1:
-            parts.append((at, texts[at : i + 1]))
-            at, size = i + 1, 0
-    return parts
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
     """Per row of ``docs`` (rid, ord, text): set size, fingerprints of the set and its signature."""
 
     def scan(batches):
-        for batch in batches:
-            rids, orders = batch.column("rid"), batch.column("ord")
-            for at, texts in _steps(batch):
-                shingles, bounds = shingle_sets(texts, k)
-                sizes = np.diff(bounds)
-                full = np.flatnonzero(sizes)
-                a, b = (np.zeros(len(texts), np.uint64) for _ in range(2))
-                signs = [None] * len(texts)
-                if len(full):
-                    begin = bounds[:-1][full]
-                    a[full], b[full] = (np.add.reduceat(mix(shingles ^ np.uint64(c)), begin) for c in (BASE, MIX))
-                    for i, row in zip(full, signatures(shingles, np.append(begin, bounds[-1]))):
-                        signs[i] = row.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [rids.slice(at, len(texts)), orders.slice(at, len(texts)), pa.array(sizes.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(signs, pa.binary())],
-                    names=["rid", "ord", "n", "a", "b", "sig"],
-                )
+        for batch in bounded(batches, size=6 * STEP):
+            shingles, bounds = shingle_sets(_texts(batch), k)
+            sizes = np.diff(bounds)
+            full = np.flatnonzero(sizes)
+            a, b = (np.zeros(len(sizes), np.uint64) for _ in range(2))
+            signs = [None] * len(sizes)
+            if len(full):
+                begin = bounds[:-1][full]
+                a[full], b[full] = (np.add.reduceat(mix(shingles ^ np.uint64(c)), begin) for c in (BASE, MIX))
+                for i, row in zip(full, signatures(shingles, np.append(begin, bounds[-1]))):
+                    signs[i] = row.tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rid"), batch.column("ord"), pa.array(sizes.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(signs, pa.binary())],
+                names=["rid", "ord", "n", "a", "b", "sig"],
+            )
 
     return docs.select("rid", "ord", "text").mapInArrow(scan, "rid long, ord long, n int, a long, b long, sig binary")
 
@@ -156,11 +146,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     def scan(batches):
-        for batch in batches:
-            for at, texts in _steps(batch):
-                shingles, bounds = shingle_sets(texts, k)
-                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(shingles.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("rid").slice(at, len(texts)), lists], names=["node", "s"])
+        for batch in bounded(batches, size=6 * STEP):
+            shingles, bounds = shingle_sets(_texts(batch), k)
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(shingles.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), lists], names=["node", "s"])
 
     return docs.select("rid", "text").join(nodes.select(F.col("node").alias("rid")).hint("merge"), "rid").mapInArrow(scan, "node long, s array<long>")
 

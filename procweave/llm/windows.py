@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procweave.llm.common import settle
+from procweave.llm.common import bounded, settle
 
 #: Fixed: odd multipliers of the rolling fingerprint and of the mixing steps.
 BASE, MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
@@ -152,7 +152,7 @@ def find_segments(docs: DataFrame, words: bool, width: int, gram: int) -> DataFr
     """``docs``: rid, ord, text. One row per segment."""
 
     def scan(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             rids, orders = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "ord"))
             texts = batch.column("text").cast(pa.binary())
             rows = ((i, t.as_py() or b"") for i, t in enumerate(texts))
@@ -258,7 +258,7 @@ def pieces(texts: DataFrame, words: bool, width: int) -> DataFrame:
     """The text of each open segment."""
 
     def cut(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             out = {name: [] for name in ("m", "hot", "rid", "ord", "p", "piece")}
             for rid, order, text, opened in zip(*(batch.column(c).to_pylist() for c in ("rid", "ord", "text", "open"))):
                 data = text.split() if words else text
@@ -294,7 +294,7 @@ def compare(cut: DataFrame, judge: Judge) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], names=["rid", "p", "n"])
 
         key = None
-        for batch in batches:
+        for batch in bounded(batches, "piece"):
             for m, rid, order, p, piece in zip(*(batch.column(c).to_pylist() for c in ("m", "rid", "ord", "p", "piece"))):
                 if m != key and size > CHUNK:
                     yield done()
@@ -313,7 +313,7 @@ def compare_hot(cut: DataFrame, words: bool, width: int, keep_first: bool) -> Da
     """The same for keys with very many contents: each window's fingerprints meet in an aggregation."""
 
     def expand(batches):
-        for batch in batches:
+        for batch in bounded(batches, "piece"):
             rows = ((i, t) for i, t in enumerate(batch.column("piece").to_pylist()))
             rids, orders, ps = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "ord", "p"))
             for tags, values, bounds in slices(rows, words, width):
@@ -352,7 +352,7 @@ def clean(texts: DataFrame, found: DataFrame, words: bool, width: int, keep_text
     """Texts without the symbols that repeated windows cover: counts, digest and, if asked for, what is kept."""
 
     def cut(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             out = {name: [] for name in ("rid", "removed", "runs", "sha", "kept")}
             for rid, text, spans, more in zip(*(batch.column(c).to_pylist() for c in ("rid", "text", "spans", "more"))):
                 starts = np.array([(s["p"], s["p"] + s["n"] + width - 1) for s in [*spans, *(more or ())]], np.int64).reshape(-1, 2)
