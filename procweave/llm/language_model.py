@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procweave.llm.common import numbered, settle, table
+from procweave.llm.common import bounded, numbered, settle, table
 from procweave.llm.windows import BASE, mix, symbols
 
 VOCABULARY, CLUSTERED, CONTEXTS, CLASSES = 200_000, 40_000, 24, 32
@@ -42,15 +42,9 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(batches, columns: tuple[str, ...]):
     """Parts of bounded size of batches with a text column: the other columns as arrays and the texts."""
-    for batch in batches:
+    for batch in bounded(batches, size=STEP):
         texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-        others = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
-        at, size = 0, 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size > STEP or i == len(texts) - 1:
-                yield [o[at : i + 1] for o in others], texts[at : i + 1]
-                at, size = i + 1, 0
+        yield [batch.column(c).to_numpy(zero_copy_only=False) for c in columns], texts
 
 
 @dataclass
@@ -126,9 +120,17 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame) -> Model:
+    """All words from the smallest count on above which there are at most VOCABULARY words; counts are told apart by eighths of an
+    octave, so the few hundred classes of counts say where the bound lies, and words are neither sorted nor gathered to find it."""
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(VOCABULARY).toArrow()
-    return Model(top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy(), totals["n"] or 0, totals["v"])
+    level = F.floor(F.log2("c") * 8).cast("int")
+    bar, room = None, VOCABULARY
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        if r["count"] > room:
+            break
+        bar, room = r["level"], room - r["count"]
+    top = (counts.filter(level >= bar) if bar is not None else counts.limit(0)).select("h", "c").toArrow().sort_by([("c", "descending"), ("h", "ascending")])
+    return Model(top.column("h").to_numpy().astype(np.int64).view(np.uint64), top.column("c").to_numpy().astype(np.int64), totals["n"] or 0, totals["v"])
 
 
 def neighbours(docs: DataFrame, model: Model) -> np.ndarray:
