@@ -71,7 +71,7 @@ def even_sizes(total: int, parts: int) -> list[int]:
     return [total // parts + (i < total % parts) for i in range(parts)]
 
 
-def shard(df: DataFrame, shards: int = 40, seed: int = 0, block_rows: int = 100_000) -> DataFrame:
+def shard(df: DataFrame, shards: int = 40, seed: int = 0, block_rows: int = 20_000) -> DataFrame:
     """``df`` with ``shard`` (int, from 0) and ``slot`` (long, gapless from 0 in each shard) in a uniform random order.
 
     Shard sizes differ by one row at most. Rows are dealt by place, so nulls, long texts and repeated rows need no care; an empty
