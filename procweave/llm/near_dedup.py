@@ -4,6 +4,10 @@ Equal sets collapse to one node first. Each of ``TREES`` trees orders the nodes
 share a prefix are a region; a region with many nodes is read at a greater depth, so depth adapts to density, and
 neighbours by longest common prefix in the sorted order are candidates too. Where even the full depth leaves many nodes
 together, its most central node (in the most such regions) is compared with all of them.
+
+Depth makes regions small but parts pairs. So nodes of regions with many nodes are also joined on the full sets: two sets
+that are similar enough share one of their first shingles in any order that is the same for all, here rarest first. Only
+pairs between components that the trees have left apart are proposed, so a group of copies gives no pairs of its own.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from procweave.operators.resolve import connected_components
 TREES, DEPTH, LEAST = 32, 6, 3
 #: Nodes of a region that are compared with one another; neighbours taken in larger ones; rows ordered in one block.
 REGION, NEAR, BLOCK = 16, 4, 5_000
+#: Nodes that are read to learn which shingles are frequent, counters of shingles, and postings of a shingle in one part.
+SAMPLE, COUNTERS, PART = 20_000, 1 << 20, 1_024
 LAST = 2**63 - 1
 FACTORS = mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
 #: Words handled at once: small enough for the hash passes to stay in the processor's cache.
@@ -100,10 +106,14 @@ def _within(rows: DataFrame) -> DataFrame:
     return region.select(F.explode(F.expr(pairs)).alias("p")).select(F.col("p.x.node").alias("a"), F.col("p.y.node").alias("b"), F.col("p.x.n").alias("na"), F.col("p.y.n").alias("nb"))
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """Candidate pairs ``a < b`` with the number of trees (and ways) that propose them."""
+def met(rows: DataFrame) -> DataFrame:
+    """``rows`` of the trees that share their first hashes with others, with the size ``c`` of that region."""
     shared = rows.groupBy("head").agg(F.count("*").alias("c")).filter("c > 1")
-    rows = settle(rows.join(shared, "head"))
+    return rows.join(shared, "head")
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """Candidate pairs ``a < b`` of ``rows`` (see ``met``, settled) with the number of trees (and ways) that propose them."""
     few = _within(rows.filter(F.col("c") <= REGION).withColumn("cut", F.lit(0).cast("long")))
     dense = rows.filter(F.col("c") > REGION)
     for depth in range(LEAST + 1, DEPTH + 1):
@@ -154,13 +164,72 @@ def full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return docs.select("rid", "text").join(nodes.select(F.col("node").alias("rid")).hint("merge"), "rid").mapInArrow(scan, "node long, s array<long>")
 
 
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """Counters of the shingles in a bounded sample of ``sets`` (node, s); a shingle's counter is given by its lowest bits."""
+
+    def tally(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            values = batch.column("s").flatten().to_numpy(zero_copy_only=False)
+            total += np.bincount(values & (COUNTERS - 1), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "c"])
+
+    share = min(1.0, SAMPLE / max(1, sets.count()))
+    drawn = sets.filter(F.xxhash64("node") / F.lit(2.0**64) + 0.5 <= share).select("s")
+    counted = drawn.mapInArrow(tally, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).toPandas()
+    out = np.zeros(COUNTERS, np.int32)
+    out[counted["at"]] = np.minimum(counted["c"], 2**31 - 1)
+    return out
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """The first shingles of each of ``sets`` (node, s, component), rarest first: ``g, at, node, n, component, short``.
+
+    A set of n shingles meets each longer one it is similar to within its first n - 6n/7 + 1 shingles (``short``), and each shorter
+    one within n - 3n/4 + 1. That holds for any order common to all sets; counters that mix shingles only cost time.
+    """
+    counters = sets.sparkSession.sparkContext.broadcast(frequencies(sets))
+
+    def first(batches):
+        for batch in batches:
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                lists = part.column("s")
+                values, sizes = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                order = np.lexsort((values, counters.value[values & (COUNTERS - 1)], owner))
+                at = np.arange(len(values)) - begin[owner]
+                n = sizes[owner]
+                keep = at <= n - (3 * n + 3) // 4
+                at, n, owner = at[keep], n[keep], owner[keep]
+                columns = [values[order][keep], at.astype(np.int32), part.column("node").to_numpy()[owner], n.astype(np.int32), part.column("component").to_numpy()[owner], at <= n - (6 * n + 6) // 7]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["g", "at", "node", "n", "component", "short"])
+
+    return sets.select("node", "s", "component").mapInArrow(first, "g long, at int, node long, n int, component long, short boolean")
+
+
+def apart(sets: DataFrame) -> DataFrame:
+    """All pairs ``(a, b)`` of ``sets`` (node, s, component) in different components that can be similar enough, and others."""
+    rows = settle(prefixes(sets))
+    # A shingle within one component proposes nothing; a frequent one is dealt in parts.
+    shared = rows.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.col("short").cast("long")).alias("c"))
+    shared = shared.filter("lo <> hi AND c > 0").select("g", F.ceil(F.col("c") / PART).alias("parts"))
+    rows = settle(rows.join(shared, "g"))
+    left = rows.filter("short").select("g", F.pmod(F.xxhash64("node"), "parts").alias("part"), *[F.col(c).alias(f"x_{c}") for c in ("at", "node", "n", "component")])
+    right = rows.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"y_{c}") for c in ("at", "node", "n", "component")])
+    fits = "x_component <> y_component AND (x_n < y_n OR x_n = y_n AND x_node < y_node) AND 4L * x_n >= 3L * y_n AND 7L * least(x_n - x_at, y_n - y_at) >= 3L * (x_n + y_n)"
+    return left.join(right, ["g", "part"]).filter(fits).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+
+
 def links(docs: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
     """Confirmed edges among ``nodes`` (node, n, sig) that give the same components as all confirmed pairs.
 
     Each node is first compared with its most proposed partner. Of the other pairs only those whose ends are still in
-    different components need a comparison.
+    different components need a comparison. Nodes of dense regions are then compared across components by ``apart``.
     """
-    pairs = settle(candidates(forest(nodes)))
+    rows = settle(met(forest(nodes)))
+    pairs = settle(candidates(rows))
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = settle(full_sets(docs, ends, k))
     ways = pairs.select("a", "b", "votes", F.col("a").alias("node"), F.col("b").alias("o")).union(pairs.select("a", "b", "votes", F.col("b"), F.col("a")))
@@ -172,7 +241,14 @@ def links(docs: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
     label = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}c"))
     open_pairs = pairs.join(best, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
     open_pairs = open_pairs.filter("NOT (ac <=> bc) OR ac IS NULL")
-    return first.union(settle(confirmed(open_pairs, sets)))
+    found = first.union(settle(confirmed(open_pairs, sets)))
+    dense = settle(rows.filter(F.col("c") > REGION).select("node").distinct())
+    if dense.isEmpty():
+        return found
+    known = connected_components(found)
+    whole = full_sets(docs, dense, k).join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    whole = settle(whole.select("node", "s", "component"))
+    return found.union(settle(confirmed(apart(whole), whole.select("node", "s"))))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -88,3 +88,25 @@ def test_first_of_each_group_stays(odd):
     kept = near_dedup.drop_near_duplicates(odd)
     ids = {r["doc_id"] for r in kept.collect()}
     assert kept.columns == odd.columns and 7 in ids and not ids & {8, 9} and {0, 1, 2} <= ids
+
+
+def test_dense_regions_lose_no_pair(write):
+    """A star of 4,000 copies at exactly 0.75 of their centre only, and 1,000 pairs at exactly 0.75 in a family that shares 0.70."""
+    rng = random.Random(5)
+    new = iter(f"n{i}" for i in range(10**7))
+    take = lambda n: [next(new) for _ in range(n)]
+    centre = take(144)
+    texts, group = [" ".join(centre)], [0]
+    for _ in range(4_000):
+        copy = list(centre)
+        for at in rng.sample(range(4, 144, 5), 4):
+            copy[at] = next(new)
+        texts.append(" ".join(copy))
+        group.append(0)
+    passage = take(119)
+    for i in range(1_000):
+        shared = take(5)
+        texts += [" ".join(passage + shared + take(20)) for _ in range(2)]
+        group += [len(texts) - 2] * 2
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(write([(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    assert [i for i, g in enumerate(group) if got[i] != g] == []
