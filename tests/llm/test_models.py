@@ -129,6 +129,22 @@ def test_licences_are_found_and_confirmed(write):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_all_licences_of_a_line(write):
+    lines = {
+        "Licensed under the MIT License or the Apache License, Version 2.0": "Apache-2.0,MIT",
+        "Licensed under either of Apache License, Version 2.0 or MIT License": "Apache-2.0,MIT",
+        "Licensed under the GNU Affero General Public License, version 3": "AGPL-3.0",
+        "Licensed under the CC BY-SA 4.0": "CC-BY-SA-4.0",
+        "Licensed under the GNU General Public License, version 2": "GPL-2.0",
+    }
+    rng = random.Random(3)
+    fees = [(50 + i, f"The license fee of {texts_in('bb', rng, 3)} is due under the contract", None, None) for i in range(40)]
+    docs = write([(i, t, None, None) for i, t in enumerate(lines)] + fees + [(100 + i, texts_in("aa", rng, 40), "aa", "s") for i in range(200)])
+    got = {r["doc_id"]: (r["families"], r["n_confirmed"], r["n_unknown"]) for r in licence.scan(docs).collect()}
+    assert {t: got[i][0] for i, t in enumerate(lines)} == lines
+    assert {got[i] for i in range(50, 90)} == {("", 0, 1)}
+
+
 def test_every_template_has_a_cue_and_its_own_family(spark, write):
     import re
 
