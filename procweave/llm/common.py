@@ -7,8 +7,10 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,13 +30,45 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, *columns, rid: str = "rid") -> DataFrame:
-    """The named columns and a row number that is unique, so repeated ids stay separate rows.
+#: Bits of a row number that hold the place in a file; the others hold the file's number.
+PLACE_BITS = 40
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether the rows are those of one scan of files, with columns chosen or rows filtered only."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().apply(0)
+    return node.nodeName().startswith(("LogicalRelation", "Relation")) and "_metadata" not in df.columns
+
 
-    The number holds the scan partition and the place in it, so ``df`` must give the same rows in the
-    same partitions when read again: a scan of files or a settled table, not a shuffle.
+def identified(df: DataFrame, rid: str = "rid") -> DataFrame:
+    """``df`` with a row number under ``rid`` that stays the same in every scan, so repeated ids stay separate rows.
+
+    For a scan of files it is the file's number (in the order of paths, bounded by the listing that the driver holds) and the row's
+    place in the file, whatever splits Spark reads. Any other rows are written once with their numbers.
     """
-    return df.select(F.monotonically_increasing_id().alias(rid), *columns)
+    if _is_scan(df):
+        try:
+            paths = sorted(r[0] for r in df.select("_metadata.file_path").distinct().collect())
+            df.select("_metadata.row_index")
+        except AnalysisException:
+            paths = None
+        if paths is not None:
+            place = F.col("_metadata.row_index")
+            if len(paths) < 2:
+                return df.select("*", place.alias(rid))
+            path, at = fresh(df, "path"), fresh(df, "at")
+            files = df.sparkSession.createDataFrame(pd.DataFrame({path: paths, at: np.arange(len(paths))}), f"{path} string, {at} long")
+            known = df.select("*", F.col("_metadata.file_path").alias(f"{path}_"), place.alias(rid)).join(F.broadcast(files), F.col(f"{path}_") == F.col(path))
+            return known.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(rid) + F.shiftleft(at, PLACE_BITS)).alias(rid))
+    return settle(df.select("*", F.monotonically_increasing_id().alias(rid)))
+
+
+def numbered(df: DataFrame, *columns, rid: str = "rid") -> DataFrame:
+    """The named columns and a row number (see ``identified``)."""
+    row = fresh(df, "row")
+    return identified(df, row).select(F.col(row).alias(rid), *columns)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from procweave.llm import decontaminate, language, language_model, licence, near_dedup, pack, shard, substring_dedup, suffix_dedup, topk
+from procweave.llm import decontaminate, language, language_model, licence, near_dedup, pack, resample, shard, substring_dedup, suffix_dedup, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         substring_dedup.op8_substring_dedup,
         language.op9_language_id,
         near_dedup.op10_minhash_near_dedup,
+        resample.op11_importance_resampling,
     ]
     return {f.__name__: f for f in functions}
 
@@ -31,4 +32,5 @@ def oracles() -> dict[str, str]:
         "op6_benchmark_decontamination": decontaminate.SQL,
         "op8_substring_dedup": substring_dedup.SQL,
         "op10_minhash_near_dedup": near_dedup.SQL,
+        "op11_importance_resampling": resample.SQL,
     }
