@@ -39,30 +39,36 @@ def _is_scan(df: DataFrame) -> bool:
     node = df._jdf.queryExecution().analyzed()
     while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
         node = node.children().apply(0)
-    return node.nodeName().startswith(("LogicalRelation", "Relation")) and "_metadata" not in df.columns
+    if not node.nodeName().startswith(("LogicalRelation", "Relation")):
+        return False
+    try:
+        df.select(df.metadataColumn("_metadata").getField("row_index"))
+    except AnalysisException:
+        return False
+    return True
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` if it is a scan of files, else its rows written once. ``identified`` then numbers them alike in every use."""
+    return df if _is_scan(df) else settle(df)
 
 
 def identified(df: DataFrame, rid: str = "rid") -> DataFrame:
     """``df`` with a row number under ``rid`` that stays the same in every scan, so repeated ids stay separate rows.
 
-    For a scan of files it is the file's number (in the order of paths, bounded by the listing that the driver holds) and the row's
-    place in the file, whatever splits Spark reads. Any other rows are written once with their numbers.
+    It is the file's number (in the order of paths, bounded by the listing that the driver holds anyway) and the row's place in
+    the file, whatever splits Spark reads. Rows that are no scan of files are written first (see ``stable``).
     """
-    if _is_scan(df):
-        try:
-            paths = sorted(r[0] for r in df.select("_metadata.file_path").distinct().collect())
-            df.select("_metadata.row_index")
-        except AnalysisException:
-            paths = None
-        if paths is not None:
-            place = F.col("_metadata.row_index")
-            if len(paths) < 2:
-                return df.select("*", place.alias(rid))
-            path, at = fresh(df, "path"), fresh(df, "at")
-            files = df.sparkSession.createDataFrame(pd.DataFrame({path: paths, at: np.arange(len(paths))}), f"{path} string, {at} long")
-            known = df.select("*", F.col("_metadata.file_path").alias(f"{path}_"), place.alias(rid)).join(F.broadcast(files), F.col(f"{path}_") == F.col(path))
-            return known.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(rid) + F.shiftleft(at, PLACE_BITS)).alias(rid))
-    return settle(df.select("*", F.monotonically_increasing_id().alias(rid)))
+    df = stable(df)
+    file = df.metadataColumn("_metadata")
+    place = file.getField("row_index")
+    paths = sorted(r[0] for r in df.select(file.getField("file_path")).distinct().collect())
+    if len(paths) < 2:
+        return df.select("*", place.alias(rid))
+    path, at = fresh(df, "path"), fresh(df, "at")
+    files = df.sparkSession.createDataFrame(pd.DataFrame({path: paths, at: np.arange(len(paths))}), f"{path} string, {at} long")
+    known = df.select("*", file.getField("file_path").alias(f"{path}_"), place.alias(rid)).join(F.broadcast(files), F.col(f"{path}_") == F.col(path))
+    return known.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(rid) + F.shiftleft(at, PLACE_BITS)).alias(rid))
 
 
 def numbered(df: DataFrame, *columns, rid: str = "rid") -> DataFrame:

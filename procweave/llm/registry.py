@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from procweave.llm import decontaminate, language, language_model, licence, near_dedup, pack, resample, shard, substring_dedup, suffix_dedup, topk
+from procweave.llm import conversations, decontaminate, fingerprints, language, language_model, licence, near_dedup, pack, resample, shard, substring_dedup, suffix_dedup, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         language.op9_language_id,
         near_dedup.op10_minhash_near_dedup,
         resample.op11_importance_resampling,
+        conversations.op12_conversation_repair,
+        fingerprints.op13_document_fingerprints,
     ]
     return {f.__name__: f for f in functions}
 
@@ -33,4 +35,5 @@ def oracles() -> dict[str, str]:
         "op8_substring_dedup": substring_dedup.SQL,
         "op10_minhash_near_dedup": near_dedup.SQL,
         "op11_importance_resampling": resample.SQL,
+        "op12_conversation_repair": conversations.SQL,
     }
