@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from procweave.llm.common import LOWER, UPPER, fresh, numbered, settle
+from procweave.llm.common import LOWER, UPPER, fresh, identified, numbered, settle, stable
 
 #: Fixed: what separates words, for texts in which A-Z are not yet lower-cased, and for those in which they are.
 RAW_SEPARATORS = r"[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
@@ -51,7 +51,7 @@ def _filed(docs: DataFrame, wins: DataFrame, text_col: str, few: bool) -> DataFr
     counted = lambda words: words.groupBy("word").agg(F.count("*").alias("n"))
     counts = counted(seen.join(F.broadcast(vocabulary), "word", "left_semi")) if few else counted(seen).join(vocabulary, "word", "left_semi")
     ranked = (
-        wins.select(F.monotonically_increasing_id().alias("win_id"), "win", "size", "items")
+        numbered(wins, "win", "size", "items", rid="win_id")
         .select("*", F.posexplode("win").alias("off", "w"))
         .withColumn("word", F.lower("w"))
         .join(counts, "word", "left")
@@ -129,20 +129,22 @@ def report(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", **options)
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
     """Rows of ``docs``, all columns, that no benchmark window occurs in."""
+    docs = stable(docs)
     _, hits = find_hits(docs, bench, **options)
     row, hit = fresh(docs, "row"), fresh(docs, "hit")
     bad = hits.select(F.col("rid").alias(hit)).distinct()
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(bad, F.col(row) == F.col(hit), "left_anti").drop(row)
+    return identified(docs, row).join(bad, F.col(row) == F.col(hit), "left_anti").drop(row)
 
 
 def cut_spans(docs: DataFrame, bench: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """Rows of ``docs`` whose hit words are taken out; words of a touched text are joined by one space."""
+    docs = stable(docs)
     _, hits = find_hits(docs, bench, text_col=text_col, **options)
     row, hit, cut = fresh(docs, "row"), fresh(docs, "hit"), fresh(docs, "cut")
     spans = hits.groupBy(F.col("rid").alias(hit)).agg(F.collect_set(F.struct("start", "size")).alias(cut))
     words = _words(text_col)
     kept = f"array_join(filter({words}, (w, i) -> NOT exists(`{cut}`, s -> i >= s.start AND i < s.start + s.size)), ' ')"
-    out = docs.withColumn(row, F.monotonically_increasing_id()).join(spans, F.col(row) == F.col(hit), "left")
+    out = identified(docs, row).join(spans, F.col(row) == F.col(hit), "left")
     return out.withColumn(text_col, F.expr(f"CASE WHEN `{cut}` IS NULL THEN `{text_col}` ELSE {kept} END")).select(docs.columns)
 
 

@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from procweave.llm.common import bounded, fresh, numbered, settle, table
-from procweave.llm.windows import BASE, MIX, Prints, mix, symbols
-from procweave.operators.resolve import connected_components
+from procweave.llm.common import bounded, fresh, identified, numbered, settle, stable, table
+from procweave.llm.components import components, extended
+from procweave.llm.windows import BASE, MIX, grams, mix, symbols, word_print
 
 TREES, DEPTH, LEAST = 32, 6, 3
 #: Nodes of a region that are compared with one another; neighbours taken in larger ones; rows ordered in one block.
@@ -35,14 +35,14 @@ STEP = 1 << 16
 def shingle_sets(texts: list[bytes], k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, one after another, and where each text begins."""
     values, bounds = symbols([t.lower() for t in texts], words=True)
-    grams = Prints(values).grams(k) if len(values) >= k else np.zeros(0, np.uint64)
+    found = grams(values, k)
     sets = []
     for a, b in zip(bounds[:-1], bounds[1:]):
         if b - a >= k:
-            sets.append(np.unique(grams[a : b - k + 1]))
+            sets.append(np.unique(found[a : b - k + 1]))
         else:
             # Fewer words than a shingle: the whole sequence is the only one.
-            sets.append(mix(Prints(values[a:b]).of(np.array([0]), np.array([b - a])) + np.uint64(b - a)) if b > a else np.zeros(0, np.uint64))
+            sets.append(word_print(values[a:b]) if b > a else np.zeros(0, np.uint64))
     return np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int64)
 
 
@@ -109,7 +109,7 @@ def _within(rows: DataFrame) -> DataFrame:
 def met(rows: DataFrame) -> DataFrame:
     """``rows`` of the trees that share their first hashes with others, with the size ``c`` of that region."""
     shared = rows.groupBy("head").agg(F.count("*").alias("c")).filter("c > 1")
-    return rows.join(shared, "head")
+    return rows.join(shared.hint("merge"), "head")
 
 
 def candidates(rows: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def candidates(rows: DataFrame) -> DataFrame:
         cut = F.shiftright("rest", 16 * (DEPTH - depth))
         dense = dense.withColumn(f"q{depth}", cut)
         counts = dense.groupBy("head", f"q{depth}").agg(F.count("*").alias(f"c{depth}"))
-        dense = dense.join(counts, ["head", f"q{depth}"])
+        dense = dense.join(counts.hint("merge"), ["head", f"q{depth}"])
     dense = settle(dense)
     deeper = range(LEAST + 1, DEPTH + 1)
     # The depth at which a row's region is small enough; none where even full depth is not.
@@ -139,8 +139,8 @@ def candidates(rows: DataFrame) -> DataFrame:
     ).select("node", "n", F.explode("before").alias("o")).filter("o IS NOT NULL").select(F.col("o.node").alias("a"), F.col("node").alias("b"), F.col("o.n").alias("na"), F.col("n").alias("nb"))
     hot = dense.filter(F.col(f"c{DEPTH}") > REGION).select("head", "rest", "node", "n", F.col(f"c{DEPTH}").alias("size"))
     central = hot.groupBy("node").agg(F.sum("size").alias("weight"))
-    pivots = hot.join(central, "node").groupBy("head", "rest").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"), F.col("n").alias("na"))).alias("p"))
-    stars = hot.join(pivots, ["head", "rest"]).select((-F.col("p.minus")).alias("a"), F.col("node").alias("b"), F.col("p.na").alias("na"), F.col("n").alias("nb"))
+    pivots = hot.join(central.hint("merge"), "node").groupBy("head", "rest").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"), F.col("n").alias("na"))).alias("p"))
+    stars = hot.join(pivots.hint("merge"), ["head", "rest"]).select((-F.col("p.minus")).alias("a"), F.col("node").alias("b"), F.col("p.na").alias("na"), F.col("n").alias("nb"))
     every = few.union(split).union(near).union(stars).filter("a <> b AND 4 * least(na, nb) >= 3 * greatest(na, nb)")
     return every.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("votes"))
 
@@ -215,40 +215,40 @@ def apart(sets: DataFrame) -> DataFrame:
     # A shingle within one component proposes nothing; a frequent one is dealt in parts.
     shared = rows.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.col("short").cast("long")).alias("c"))
     shared = shared.filter("lo <> hi AND c > 0").select("g", F.ceil(F.col("c") / PART).alias("parts"))
-    rows = settle(rows.join(shared, "g"))
+    rows = settle(rows.join(shared.hint("merge"), "g"))
     left = rows.filter("short").select("g", F.pmod(F.xxhash64("node"), "parts").alias("part"), *[F.col(c).alias(f"x_{c}") for c in ("at", "node", "n", "component")])
     right = rows.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"y_{c}") for c in ("at", "node", "n", "component")])
     fits = "x_component <> y_component AND (x_n < y_n OR x_n = y_n AND x_node < y_node) AND 4L * x_n >= 3L * y_n AND 7L * least(x_n - x_at, y_n - y_at) >= 3L * (x_n + y_n)"
-    return left.join(right, ["g", "part"]).filter(fits).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    return left.join(right.hint("merge"), ["g", "part"]).filter(fits).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
 def links(docs: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
-    """Confirmed edges among ``nodes`` (node, n, sig) that give the same components as all confirmed pairs.
+    """``node, component`` for those of ``nodes`` (node, n, sig) that have a confirmed link.
 
     Each node is first compared with its most proposed partner. Of the other pairs only those whose ends are still in
-    different components need a comparison. Nodes of dense regions are then compared across components by ``apart``.
+    different components need a comparison. Nodes of dense regions are then compared across components by ``apart``. Links found
+    later join components that are already known, so each pass follows its own links only.
     """
     rows = settle(met(forest(nodes)))
     pairs = settle(candidates(rows))
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = settle(full_sets(docs, ends, k))
-    ways = pairs.select("a", "b", "votes", F.col("a").alias("node"), F.col("b").alias("o")).union(pairs.select("a", "b", "votes", F.col("b"), F.col("a")))
-    best = ways.groupBy("node").agg(F.max(F.struct("votes", (-F.col("o")).alias("minus"))).alias("m")).select(
+    ways = pairs.select("votes", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("o")), F.struct(F.col("b").alias("node"), F.col("a").alias("o")))).alias("w"))
+    best = ways.groupBy("w.node").agg(F.max(F.struct("votes", (-F.col("w.o")).alias("minus"))).alias("m")).select(
         F.least("node", -F.col("m.minus")).alias("a"), F.greatest("node", -F.col("m.minus")).alias("b")
     ).distinct()
-    first = settle(confirmed(best, sets))
-    known = settle(connected_components(first))
-    label = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}c"))
-    open_pairs = pairs.join(best, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
+    best = settle(best)
+    known = components(confirmed(best, sets))
+    label = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}c")).hint("merge")
+    open_pairs = pairs.join(best.hint("merge"), ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
     open_pairs = open_pairs.filter("NOT (ac <=> bc) OR ac IS NULL")
-    found = first.union(settle(confirmed(open_pairs, sets)))
+    known = extended(known, confirmed(open_pairs, sets))
     dense = settle(rows.filter(F.col("c") > REGION).select("node").distinct())
     if dense.isEmpty():
-        return found
-    known = connected_components(found)
-    whole = full_sets(docs, dense, k).join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        return known
+    whole = full_sets(docs, dense, k).join(known.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     whole = settle(whole.select("node", "s", "component"))
-    return found.union(settle(confirmed(apart(whole), whole.select("node", "s"))))
+    return extended(known, confirmed(apart(whole), whole.select("node", "s")))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,14 +263,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_co
     known = settle(sketch(source, k))
     groups = known.filter("n > 0").groupBy("n", "a", "b").agg(F.min(F.struct("ord", "rid")).alias("g"))
     groups = settle(groups.select("n", "a", "b", F.col("g.rid").alias("node"), F.col("g.ord").alias("node_ord")))
-    nodes = known.select("rid", "sig").join(groups.select("node", "n"), F.col("rid") == F.col("node")).select("node", "n", "sig")
-    component = connected_components(links(source, settle(nodes), k))
-    classes = groups.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    nodes = known.select("rid", "sig").join(groups.select("node", "n").hint("merge"), F.col("rid") == F.col("node")).select("node", "n", "sig")
+    component = links(source, settle(nodes), k)
+    classes = groups.join(component.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = classes.groupBy("component").agg(F.min(F.struct("node_ord", "node")).alias("h"))
-    classes = classes.join(heads, "component").select("n", "a", "b", F.col("h.node_ord").alias("head_ord"), F.col("h.node").alias("head"))
+    classes = classes.join(heads.hint("merge"), "component").select("n", "a", "b", F.col("h.node_ord").alias("head_ord"), F.col("h.node").alias("head"))
     return (
-        known.drop("sig").join(classes, ["n", "a", "b"], "left")
-        .join(source.select(F.col("rid").alias("source_rid"), F.col("id").alias(id_col)), F.col("rid") == F.col("source_rid"))
+        known.drop("sig").join(classes.hint("merge"), ["n", "a", "b"], "left")
+        .join(source.select(F.col("rid").alias("source_rid"), F.col("id").alias(id_col)).hint("merge"), F.col("rid") == F.col("source_rid"))
         .select(
             "rid", id_col, F.col("n").cast("long").alias("n_shingles"),
             F.nullif(F.coalesce("head_ord", "ord"), F.lit(LAST)).alias("component_id"),
@@ -281,9 +281,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_co
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs``, all columns, that are the first of their group; documents without words all stay."""
+    docs = stable(docs)
     row, copy = fresh(docs, "row"), fresh(docs, "copy")
     gone = near_duplicates(docs, **options).filter("NOT first").select(F.col("rid").alias(copy))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, F.col(row) == F.col(copy), "left_anti").select(docs.columns)
+    return identified(docs, row).join(gone.hint("merge"), F.col(row) == F.col(copy), "left_anti").select(docs.columns)
 
 
 def op10_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

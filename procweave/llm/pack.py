@@ -83,7 +83,7 @@ def pack(
 
 def bin_texts(docs: DataFrame, packed: DataFrame, text_col: str = "text") -> DataFrame:
     """``bin_id, text``: the words of a bin's pieces in order. A bin's capacity bounds what is gathered."""
-    words = docs.select(F.monotonically_increasing_id().alias("rid"), F.expr(f"regexp_extract_all(`{text_col}`, '{WORD}', 0)").alias("ws"))
+    words = numbered(docs, F.expr(f"regexp_extract_all(`{text_col}`, '{WORD}', 0)").alias("ws"))
     parts = packed.filter("bin_id IS NOT NULL").select("rid", "bin_id", "place", "first_word", "n_words").join(words, "rid").select(
         "bin_id", "place", F.array_join(F.expr("slice(ws, CAST(first_word + 1 AS INT), CAST(n_words AS INT))"), " ").alias("part")
     )

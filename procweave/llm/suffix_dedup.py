@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procweave.llm.common import fresh, numbered, table
+from procweave.llm.common import fresh, identified, numbered, stable, table
 from procweave.llm.windows import HOT, grow_ranks, remove_repeats, whole_windows
 
 LAST = 2**63 - 1
@@ -75,10 +75,11 @@ def dedup_texts(docs: DataFrame, width: int = 200, keep_first: bool = True, id_c
 
     Untouched texts, nulls included, stay as they are. What is left of a character that was cut in two goes as well.
     """
+    docs = stable(docs)
     source = _prepared(docs, id_col, text_col)
     gone = remove_repeats(source, False, width, max(1, width * 8 // 25), partial(judge, width=width, keep_first=keep_first), keep_first, keep_text=True)
     row, cut, kept = fresh(docs, "row"), fresh(docs, "cut"), fresh(docs, "kept")
-    left = docs.withColumn(row, F.monotonically_increasing_id())
+    left = identified(docs, row)
     out = left.join(gone.select(F.col("rid").alias(cut), F.col("kept").alias(kept)), F.col(row) == F.col(cut), "left")
     return out.withColumn(text_col, F.when(F.col(cut).isNull(), F.col(text_col)).otherwise(F.col(kept))).select(docs.columns)
 

@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 
 from procweave.llm.common import bounded, settle
 
-#: Fixed: odd multipliers of the rolling fingerprint and of the mixing steps.
+#: Fixed: odd multipliers of the mixing steps.
 BASE, MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
-INVERSE = pow(BASE, -1, 1 << 64)
 #: Symbols handled at once; a longer text is cut into overlapping slices.
 CHUNK = 1 << 19
 BLANK = np.zeros(256, bool)
@@ -36,33 +35,70 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(MIX))
-_powers: dict[int, np.ndarray] = {}
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Bytes of a word that are hashed for all words at once; longer words are hashed one by one.
+TOGETHER = 256
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """``base ** i`` modulo 2**64 for i below ``n``."""
-    if len(_powers.get(base, ())) < n:
-        size = max(n, 2 * len(_powers.get(base, ())), 1 << 16)
-        factors = np.full(size, base, np.uint64)
-        factors[0] = 1
-        _powers[base] = np.cumprod(factors)
-    return _powers[base][:n]
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number; behind the data stand zeros."""
+    return np.ndarray(len(data), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
 
 
-class Prints:
-    """Fingerprints of any range of a sequence of 64-bit values, equal wherever the range lies."""
+def grams(values: np.ndarray, k: int, seed: int = MIX) -> np.ndarray:
+    """Fingerprints of all runs of ``k`` values (bytes, or 64-bit numbers), doubled up from short runs.
 
-    def __init__(self, values: np.ndarray) -> None:
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * powers(BASE, len(values)), out=self.sums[1:])
-
-    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[begin]) * powers(INVERSE, len(self.sums))[begin])
-
-    def grams(self, k: int) -> np.ndarray:
-        n = len(self.sums) - k
-        return mix((self.sums[k:] - self.sums[:n]) * powers(INVERSE, n))
+    Every doubling mixes, so that no regular content meets as it does in sums of powers: bytes start as groups of eight,
+    which are told apart exactly.
+    """
+    if len(values) < k:
+        return np.zeros(0, np.uint64)
+    size = 1
+    if values.dtype == np.uint8 and k >= 8:
+        run, size = eights(values)[: len(values) - 7], 8
+    else:
+        run = values.astype(np.uint64)
+    run = mix(run + np.uint64(seed))
+    while size * 2 <= k:
+        run = mix(run[:-size] * np.uint64(BASE) + run[size:])
+        size *= 2
+    return mix(run[: len(run) - (k - size)] * np.uint64(BASE) + run[k - size :]) if size < k else run
+
+
+def word_print(values: np.ndarray) -> np.ndarray:
+    """Fingerprint of a short sequence as a whole."""
+    out = mix(np.array([len(values)], np.uint64))
+    for v in values:
+        out = mix(out * np.uint64(BASE) + v)
+    return out
+
+
+def word_values(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Fingerprints of words by their length and their bytes, eight at a time; words of up to eight bytes are told apart exactly."""
+    size = end - begin
+    out = mix(mix(size.astype(np.uint64)) * np.uint64(BASE) + (eights(data)[begin] & MASKS[np.minimum(size, 8)])) if len(data) else np.zeros(0, np.uint64)
+    every, live = eights(data), np.flatnonzero(size > 8)
+    for at in range(8, TOGETHER, 8):
+        live = live[size[live] > at]
+        if not len(live):
+            break
+        out[live] = mix(out[live] * np.uint64(BASE) + (every[begin[live] + at] & MASKS[np.minimum(size[live] - at, 8)]))
+    for i in live[size[live] > TOGETHER]:
+        rest = hashlib.blake2b(data[begin[i] + TOGETHER : end[i]].tobytes(), digest_size=8).digest()
+        out[i] ^= np.uint64(int.from_bytes(rest, "little"))
+    return out
+
+
+def covered(runs_of: np.ndarray, k: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Fingerprints of ranges of ``k`` symbols or more, from the fingerprints of the runs of ``k`` that lie side by side in them."""
+    size = end - begin
+    out, live = mix(size.astype(np.uint64)), np.arange(len(begin))
+    at = 0
+    while len(live):
+        out[live] = mix(out[live] * np.uint64(BASE) + runs_of[np.minimum(begin[live] + at, end[live] - k)])
+        at += k
+        live = live[size[live] > at]
+    return out
 
 
 def sliding(op, values: np.ndarray, width: int) -> np.ndarray:
@@ -81,15 +117,14 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def symbols(texts: list[bytes], words: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Values of all symbols of the texts, and where each text begins (one bound more than texts)."""
+    """All symbols of the texts (bytes, or fingerprints of words), and where each text begins (one bound more than texts)."""
     if not words:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        return BYTE_VALUES[np.frombuffer(b"".join(texts), np.uint8)], np.concatenate(([0], np.cumsum(lengths)))
+        return np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum(lengths)))
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     begin, end = word_bounds(data)
     at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)))
-    values = Prints(BYTE_VALUES[data]).of(begin, end) ^ (end - begin).astype(np.uint64) if len(begin) else np.zeros(0, np.uint64)
-    return values, np.searchsorted(begin, at)
+    return word_values(data, begin, end), np.searchsorted(begin, at)
 
 
 def segments(values: np.ndarray, bounds: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -100,8 +135,8 @@ def segments(values: np.ndarray, bounds: np.ndarray, width: int, gram: int) -> t
     n = len(values)
     if n < width:
         return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64, bool))
-    prints, reach = Prints(values), width - gram + 1
-    hashes = prints.grams(gram)
+    reach = width - gram + 1
+    hashes = grams(values, gram)
     low = sliding(np.minimum, hashes, reach)
     whole = np.ones(len(low), bool)
     for b in bounds[1:-1]:
@@ -118,7 +153,7 @@ def segments(values: np.ndarray, bounds: np.ndarray, width: int, gram: int) -> t
     owner = (np.searchsorted(bounds, spots, "right") - 1).astype(np.uint64)
     marks, counts = np.unique(hashes[spots] ^ (owner * np.uint64(MIX)), return_counts=True)
     repeats = np.isin(key ^ (text.astype(np.uint64) * np.uint64(MIX)), marks[counts > 1])
-    return text, key, prints.of(first, end + width), first - bounds[text], end - first + 1, repeats
+    return text, key, covered(hashes, gram, first, end + width), first - bounds[text], end - first + 1, repeats
 
 
 def slices(rows: Iterator[tuple], words: bool, width: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -322,9 +357,8 @@ def compare_hot(cut: DataFrame, words: bool, width: int, keep_first: bool) -> Da
                     continue
                 text = np.searchsorted(bounds, at, "right") - 1
                 row, offset = np.array(tags).T
-                a, b = Prints(values), Prints(mix(values ^ np.uint64(BASE)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.of(at, at + width).view(np.int64)) for x in (a, b)]
+                    [pa.array(grams(values, width, seed)[at].view(np.int64)) for seed in (MIX, BASE)]
                     + [pa.array(x[row[text]].astype(np.int64)) for x in (rids, orders)] + [pa.array((at - bounds[text] + offset[text] + ps[row[text]]).astype(np.int32))],
                     names=["a", "b", "rid", "ord", "p"],
                 )
