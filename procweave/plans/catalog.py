@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from procweave.plans import base, extraction, flow_models, graph_queries, matching, outputs, resolution, search, segmentation, storage  # noqa: F401
+from procweave.plans import base, extraction, flow_models, graph_queries, incremental, matching, outputs, resolution, search, segmentation, storage  # noqa: F401
 
 
 def queries() -> dict[str, base.Query]:

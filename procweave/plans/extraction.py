@@ -1,8 +1,8 @@
 """Candidate payload queries (D, U2).
 
 Each document of the corpus is a section. Its payload is built from its own lines: every line is a
-task and a flow source, source and language give processes and roles; texts with a table bar get a
-payload that is cut short and cannot be read.
+task and a flow source, source and language give processes and roles. For ``d1`` texts with a table bar
+get a payload that is cut short and cannot be read.
 """
 
 from __future__ import annotations
@@ -18,8 +18,12 @@ from procweave.plans.readings import spread, table
 from procweave.session import settle
 
 
-def payload_sections(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+def payload_sections(spark, sf_dir, cut=False):
+    return payload_rows(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")), cut)
+
+
+def payload_rows(docs, cut=False):
+    """Sections (section_id, scope, section_no, payload) of documents; with ``cut`` some payloads cannot be read."""
     L = F.filter(F.transform(F.split("text", "\n"), strip), lambda x: x != "")
     # A one-element explode keeps the line list from being worked out anew wherever it is used.
     docs = docs.select("doc_id", "text", "lang", "source", F.explode(F.array(L)).alias("L")).withColumn("n", F.size("L"))
@@ -100,7 +104,7 @@ def payload_sections(spark, sf_dir):
     text = F.to_json(body)
     return docs.select(
         F.col("doc_id").cast("string").alias("section_id"), source.alias("scope"), F.col("doc_id").alias("section_no"),
-        F.when(F.contains("text", F.lit("|")), F.substring(text, 1, F.length(text) - 1)).otherwise(text).alias("payload"),
+        (F.when(F.contains("text", F.lit("|")), F.substring(text, 1, F.length(text) - 1)).otherwise(text) if cut else text).alias("payload"),
     )
 
 
@@ -113,7 +117,7 @@ def _pre() -> str:
     s = "section_id"
     return f"""
 d AS (SELECT CAST(doc_id AS VARCHAR) AS section_id, source AS scope, doc_id AS section_no, lang,
-        list_filter(list_transform(string_split(text, chr(10)), lambda x: {sql_strip('x')}), lambda x: x <> '') AS L FROM documents WHERE NOT contains(text, '|')),
+        list_filter(list_transform(string_split(text, chr(10)), lambda x: {sql_strip('x')}), lambda x: x <> '') AS L FROM documents),
 dn AS (SELECT *, len(L) AS n FROM d),
 ln AS (SELECT section_id, scope, section_no, lang, n, unnest(L) AS line, generate_subscripts(L, 1) - 1 AS i FROM dn),
 pr0 AS (SELECT section_id, scope, section_no, 0 AS pos, scope AS name, coalesce(L[1], '') AS description FROM dn
@@ -191,18 +195,18 @@ kht AS (SELECT arg_min(t.task_id, t.pos) AS task_id, any_value(knowhow) AS knowh
 """
 
 
-def _parsed(spark, sf_dir):
-    return settle(c.parse_candidates(payload_sections(spark, sf_dir)))
+def _parsed(spark, sf_dir, cut=False):
+    return settle(c.parse_candidates(payload_sections(spark, sf_dir, cut)))
 
 
 @query(
     "d1_parse_candidates",
     f"""WITH {_pre()} SELECT CAST(doc_id AS VARCHAR) AS section_id, coalesce(CAST(n AS INTEGER), 0) AS n_tasks, CASE WHEN n IS NULL THEN 0 WHEN lang_ = 'de' THEN 3 ELSE 2 END AS n_processes,
           CAST(CASE WHEN n >= 2 AND n % 2 = 0 THEN 2 ELSE 0 END AS INTEGER) AS n_gateways, CAST(CASE WHEN n >= 2 THEN n ELSE 0 END AS INTEGER) AS n_flows
-        FROM (SELECT doc_id, lang AS lang_ FROM documents) LEFT JOIN dn ON section_id = CAST(doc_id AS VARCHAR)""",
+        FROM (SELECT doc_id, lang AS lang_, contains(text, '|') AS cut FROM documents) LEFT JOIN dn ON section_id = CAST(doc_id AS VARCHAR) AND NOT cut""",
 )
 def d1(spark, sf_dir):
-    p = _parsed(spark, sf_dir)
+    p = _parsed(spark, sf_dir, cut=True)
     return p.select(
         "section_id", F.size("tasks").alias("n_tasks"), F.size("processes").alias("n_processes"),
         F.size("gateways").alias("n_gateways"), F.size("sequence_flows").alias("n_flows"),

@@ -146,9 +146,3 @@ def progress_rows(done: DataFrame, job_id: str, total: Column, now: Column) -> D
     return done.select(
         F.lit(job_id).alias("job_id"), now.alias("ts"), F.lit("processing").alias("status"), F.lit("extract").alias("step"), percent.alias("progress"), "message",
     )
-
-
-def incremental_documents(sections: DataFrame, process_batch: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False):
-    """Query over a stream of section rows that runs one conversion and upsert per micro-batch."""
-    writer = sections.writeStream.foreachBatch(process_batch).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
