@@ -41,10 +41,10 @@ KEY_SCORE, KEY_CONFLICT_FACTOR = 0.94, 0.75
 SPARSE_TASK, SPARSE_NARRATIVE, SPARSE_ROLE, SPARSE_SCORE = 0.2, 0.45, 0.2, 0.72
 ACCEPT, ACCEPT_SHARED_KEY, ACCEPT_SPARSE = 0.68, 0.55, 0.64
 
-# Text caps of the evidence that feeds a process signature.
-CAP_PROCESS_CHUNK, CAP_TASK_CHUNK, CAP_SNIPPET = 2000, 1800, 1200
-SNIPPETS_PER_DOCUMENT, CAP_DOCUMENT, CAP_EVIDENCE, CAP_NARRATIVE = 10, 5000, 12000, 4000
-MAX_FLOW_CONDITIONS = 30
+# Usual text caps of the evidence that feeds a process signature, for callers who want any.
+TEXT_CAPS = {
+    "process_chunk": 2000, "task_chunk": 1800, "snippet": 1200, "snippets": 10, "document": 5000, "evidence": 12000, "narrative": 4000, "conditions": 30,
+}
 
 # Entity resolution thresholds.
 MERGE_AT, REVIEW_AT, NAME_CANDIDATES = 0.90, 0.80, 10
@@ -103,19 +103,22 @@ ACTIVITY_DEFAULT, OUTPUT_SUFFIX, OUTPUT_DEFAULT = "활동 ", " 결과", "결과"
 DECISION_DEFAULT_NAME, DECISION_DESC_SUFFIX, RULE_THEN_SUFFIX = "분기 의사결정", "에 대한 분기 판단", " 경로 선택"
 DEFAULT_DURATION = 5
 
+# How steps are marked in a text.
+NUMBERED_STEP = r"\d+[.)\s]+(.+?)(?=\d+[.)\s]|$)"
+BULLET_STEP = r"[-•]\s*(.+?)(?=[-•]|$)"
+SENTENCE_END = r"[.。]\s*"
+
 # Skill documents.
 SKILL_SUFFIX = " Skill"
 SKILL_PURPOSE_SUFFIX = " 태스크를 수행합니다."
 SKILL_DEFAULT_STEP = "작업을 수행합니다."
 SKILL_EXCEPTIONS = ["오류 발생 시 재시도", "실패 시 상위 보고"]
 
-# Form field tags, as patterns; the last is the field of any model editor.
+# Form field tags; tags of an editor's own are the caller's to add.
 FORM_TAGS = [
     "text-field", "select-field", "checkbox-field", "radio-field", "file-field", "label-field",
     "boolean-field", "textarea-field", "user-select-field", "report-field", "slide-field",
-    r"bpmn-\w+-field",
 ]
-MAX_INPUTS = 60
 
 # Skill assignment.
 ACTIVITY_SKILL_AT, AGENT_SKILL_AT, SKILLS_PER_MATCH = 0.35, 0.22, 5

@@ -221,21 +221,21 @@ def human_required(*parts: Column | str) -> Column:
     return ~contains_any(text, fixed.AUTOMATION_WORDS) & contains_any(text, fixed.HUMAN_WORDS)
 
 
-def procedure_steps(text: Column | str) -> Column:
-    """Numbered items, else bullets, else up to ten sentences; a default step for no text."""
+def procedure_steps(text: Column | str, sentences_at_most: int | None = None, characters: int | None = None) -> Column:
+    """Numbered items, else bullets, else sentences; a default step for no text. Both bounds are off unless given: how many
+    sentences are taken, and where a text without any is cut."""
     t = or_blank(text)
     keep = lambda a: F.filter(F.transform(a, strip), lambda s: s != "")
-    numbered = F.regexp_extract_all(t, F.lit(r"\d+[.)\s]+(.+?)(?=\d+[.)\s]|$)"), F.lit(1))
-    bullets = F.regexp_extract_all(t, F.lit(r"[-•]\s*(.+?)(?=[-•]|$)"), F.lit(1))
-    sentences = F.transform(
-        F.filter(F.split(t, r"[.。]\s*"), lambda s: (strip(s) != "") & (F.length(s) > 5)), strip
-    )
-    short = F.when(F.length(t) > 200, F.concat(F.substring(t, 1, 200), F.lit("..."))).otherwise(t)
+    numbered = F.regexp_extract_all(t, F.lit(fixed.NUMBERED_STEP), F.lit(1))
+    bullets = F.regexp_extract_all(t, F.lit(fixed.BULLET_STEP), F.lit(1))
+    sentences = F.transform(F.filter(F.split(t, fixed.SENTENCE_END), lambda s: (strip(s) != "") & (F.length(s) > 5)), strip)
+    first = F.slice(sentences, 1, sentences_at_most) if sentences_at_most else sentences
+    short = F.when(F.length(t) > characters, F.concat(F.substring(t, 1, characters), F.lit("..."))).otherwise(t) if characters else t
     return (
         F.when(t == "", F.array(F.lit(fixed.SKILL_DEFAULT_STEP)))
         .when(F.size(numbered) > 0, keep(numbered))
         .when(F.size(bullets) > 0, keep(bullets))
-        .when(F.size(sentences) > 0, F.slice(sentences, 1, 10))
+        .when(F.size(sentences) > 0, first)
         .otherwise(F.array(short))
     )
 

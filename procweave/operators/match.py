@@ -75,16 +75,16 @@ def match_roles(roles: DataFrame, users: DataFrame, agents_only: bool = False) -
     return keys.join(best, keys.key == best.key_id).select("role_id", F.col("b.id").alias("user_id"), (F.col("b.pool") == 0).alias("is_agent"), (F.col("b.kind") == 0).alias("exact"))
 
 
-def team_candidates(roles: DataFrame, teams: DataFrame, limit: int = 30) -> DataFrame:
-    """Up to ``limit`` teams of each role whose name contains the role's or is contained in it."""
+def team_candidates(roles: DataFrame, teams: DataFrame, limit: int | None = None) -> DataFrame:
+    """The teams (the first ``limit`` if given) of each role whose name contains the role's or is contained in it."""
     keys = roles.select(F.col("role_id").alias("key_id"), compact("name").alias("key"))
     pairs = _either_way(keys, teams.select(F.col("team_id").alias("name_id"), F.col("key").alias("name")))
     return top_per_key(pairs.select(F.col("key_id").alias("role_id"), F.col("name_id").alias("team_id")), ["role_id"], ["team_id"], limit, "rank")
 
 
-def agent_candidates(roles: DataFrame, agents: DataFrame, limit: int = 30, fallback: int = 20) -> DataFrame:
-    """Up to ``limit`` agents of each role by score: 1.0 equal, 0.8 contained either way, 0.5 when the
-    first or last three characters of the role occur; roles without any get the first agents."""
+def agent_candidates(roles: DataFrame, agents: DataFrame, limit: int | None = None, fallback: int = 20) -> DataFrame:
+    """The agents (the best ``limit`` if given) of each role by score: 1.0 equal, 0.8 contained either way, 0.5 when the
+    first or last three characters of the role occur; roles without any get the first ``fallback`` agents."""
     keys = roles.select("role_id", compact("name").alias("key")).where("key <> ''")
     distinct = keys.select(F.col("key").alias("key_id"), "key").distinct()
     who = F.struct("pos", "id")
@@ -205,8 +205,8 @@ def assign_skills(activity_scores: DataFrame, activity_agent: DataFrame, agent_s
     return of_activity.unionByName(of_agent).distinct()
 
 
-def agent_profiles(agents: DataFrame, roles: DataFrame, activities: DataFrame, max_texts: int = 20) -> DataFrame:
-    """(left_id, text) of agents: own fields, the distinct roles they fill and up to twenty activity texts."""
+def agent_profiles(agents: DataFrame, roles: DataFrame, activities: DataFrame, max_texts: int | None = None) -> DataFrame:
+    """(left_id, text) of agents: own fields, the distinct roles they fill and the texts of their activities (the first ``max_texts`` if given)."""
     told = top_per_key(activities.select("agent_id", "activity_id", "text"), ["agent_id"], ["activity_id"], max_texts, "n")
     told = told.groupBy("agent_id").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("t")).select("agent_id", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("__told"))
     hints = roles.select("agent_id", "role").distinct().groupBy("agent_id").agg(F.array_join(F.array_sort(F.collect_list("role")), " ").alias("__roles"))
@@ -262,9 +262,9 @@ def input_candidates(pairs: DataFrame, forms: DataFrame, refs: DataFrame) -> Dat
     return rows.groupBy("proc_id", "id", "ref").agg(F.min(F.struct("at", "pos")).alias("seen"))
 
 
-def restrict_inputs(candidates: DataFrame, given: DataFrame, limit: int = fixed.MAX_INPUTS) -> DataFrame:
-    """Inputs of each activity: the given ones that are allowed, or all candidates when none is; at
-    most ``limit`` of them, which is the size of an input list."""
+def restrict_inputs(candidates: DataFrame, given: DataFrame, limit: int | None = None) -> DataFrame:
+    """Inputs of each activity: the given ones that are allowed, or all candidates when none is; the
+    first ``limit`` of them if given."""
     allowed = candidates.join(given.select("proc_id", "id", "ref"), ["proc_id", "id", "ref"], "left_semi")
     rest = candidates.join(allowed.select("proc_id", "id"), ["proc_id", "id"], "left_anti")
     return top_per_key(allowed.unionByName(rest), ["proc_id", "id"], ["seen", "ref"], limit, "rank").drop("seen")

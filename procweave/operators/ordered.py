@@ -34,12 +34,14 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
 
 
 def top_per_key(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int, rank: str | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int | None, rank: str | None = None
 ) -> DataFrame:
-    """First ``k`` rows of each key, with the rank kept under ``rank`` when named."""
+    """First ``k`` rows of each key (all without ``k``), with the rank kept under ``rank`` when named."""
+    if k is None and not rank:
+        return df
     name = rank or "__rank"
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    kept = ranked.where(F.col(name) <= k)
+    kept = ranked if k is None else ranked.where(F.col(name) <= k)
     return kept if rank else kept.drop(name)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from procweave import schemas
 from procweave.functions.text import blank, null_if_blank, or_blank, strip
 from procweave.operators.graph import node_rows, union_all
-from procweave.operators.ordered import first_per_key, scan
+from procweave.operators.ordered import first_per_key, scan, top_per_key
 from procweave.session import settle
 
 Graph = Mapping[str, DataFrame]
@@ -397,33 +397,57 @@ def model_listing(models: DataFrame) -> DataFrame:
 
 
 def flow_chains(edges: DataFrame, limit: int = 5, max_length: int | None = None) -> DataFrame:
-    """Longest simple paths along (proc_id, source, target) edges from nodes nothing leads to.
+    """Longest paths along (proc_id, source, target) edges that close no loop (see ``without_loops``), from nodes nothing leads to.
 
-    Paths grow one step per round and stop at a node they hold already, so the rounds end by themselves; a
-    ``max_length`` that is not enough raises. ``limit`` is the report size.
+    A dynamic program: of the chains of one length that end in a node only the first ``limit`` can be part of the report,
+    since what extends one extends the others alike. A chain is its last node and a pointer to the chain before it; chains of one
+    length are numbered in the order of their nodes, so pointers compare as whole paths do. Ties go to the smaller process, then to
+    the smaller path. Edges with a loop raise, as does a ``max_length`` that is not enough. ``limit`` is the report size.
     """
     e = settle(edges.select("proc_id", "source", "target").distinct())
     starts = e.select("proc_id", F.col("source").alias("node")).distinct().join(
         e.select("proc_id", F.col("target").alias("node")), ["proc_id", "node"], "left_anti"
     )
-    frontier = settle(starts.select("proc_id", "node", F.array("node").alias("path")))
-    found = []
+    sizes = e.select("proc_id", F.explode(F.array("source", "target")).alias("node")).distinct().groupBy("proc_id").count()
+    largest = sizes.agg(F.max("count")).first()[0] or 0
+    chains = [settle(scan(starts.withColumn("before", F.lit(0).cast("long")), ["proc_id"], ["node"], number="at"))]
     for length in count(1):
-        grown = frontier.join(e, (frontier.proc_id == e.proc_id) & (frontier.node == e.source)).where(
-            ~F.array_contains("path", F.col("target"))
-        ).select(frontier.proc_id, F.col("target").alias("node"), F.array_append("path", F.col("target")).alias("path"))
-        grown = settle(grown)
-        if grown.isEmpty():
+        last = chains[-1].select("proc_id", F.col("node").alias("source"), F.col("at").alias("before"))
+        grown = last.join(e, ["proc_id", "source"]).select("proc_id", F.col("target").alias("node"), "before")
+        best = top_per_key(grown, ["proc_id", "node"], ["before"], limit)
+        step = settle(scan(best, ["proc_id"], ["before", "node"], number="at"))
+        if step.isEmpty():
             break
         if max_length and length > max_length:
             raise RuntimeError(f"there are paths of more than {max_length} steps")
-        # Only the best of each round can enter the report, so that is all that is kept of it.
-        found.append(grown.select("proc_id", "path", (F.size("path") - 1).alias("length")).orderBy("proc_id", "path").limit(limit))
-        frontier = grown
-    if not found:
-        return edges.sparkSession.createDataFrame([], f"proc_id {edges.schema['proc_id'].dataType.simpleString()}, chain string, length int")
-    ranked = union_all(found).orderBy(F.desc("length"), "proc_id", "path").limit(limit)
-    return ranked.select("proc_id", F.concat_ws(" -> ", "path").alias("chain"), "length")
+        if length >= largest:
+            raise RuntimeError("the edges close a loop")
+        chains.append(step)
+    return _chain_report(chains, limit, edges)
+
+
+def _chain_report(chains: list[DataFrame], limit: int, edges: DataFrame) -> DataFrame:
+    """The ``limit`` first of the longest chains, read back along their pointers; only these reach the driver."""
+    found: list[dict] = []
+    for length in range(len(chains) - 1, 0, -1):
+        wanted = {(f["proc_id"], f["at"]) for f in found}
+        if wanted:
+            keys = edges.sparkSession.createDataFrame(sorted(wanted), f"proc_id {edges.schema['proc_id'].dataType.simpleString()}, at long")
+            rows = {(r["proc_id"], r["at"]): r for r in chains[length].join(F.broadcast(keys), ["proc_id", "at"]).collect()}
+            for f in found:
+                row = rows[f["proc_id"], f["at"]]
+                f["path"].append(row["node"])
+                f["at"] = row["before"]
+        if len(found) < limit:
+            for r in chains[length].orderBy("proc_id", "at").limit(limit - len(found)).collect():
+                found.append({"proc_id": r["proc_id"], "at": r["before"], "path": [r["node"]], "length": length})
+    if found:
+        keys = edges.sparkSession.createDataFrame(sorted({(f["proc_id"], f["at"]) for f in found}), f"proc_id {edges.schema['proc_id'].dataType.simpleString()}, at long")
+        rows = {(r["proc_id"], r["at"]): r["node"] for r in chains[0].join(F.broadcast(keys), ["proc_id", "at"]).collect()}
+        for f in found:
+            f["path"].append(rows[f["proc_id"], f["at"]])
+    report = [(f["proc_id"], " -> ".join(map(str, reversed(f["path"]))), f["length"]) for f in found]
+    return edges.sparkSession.createDataFrame(report, f"proc_id {edges.schema['proc_id'].dataType.simpleString()}, chain string, length int")
 
 
 def reachable(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:

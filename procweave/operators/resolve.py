@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from itertools import count
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,55 +35,88 @@ SETS = ["task_tokens", "role_tokens", "desc_tokens", "narrative", "keys"]
 # Signatures -----------------------------------------------------------------------------------------
 
 
-def process_evidence_text(processes: DataFrame, tasks: DataFrame, evidence: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Source text of each process: its own chunk, its tasks' chunks and snippets of their documents.
+class TextCaps(NamedTuple):
+    """Bounds on the texts that describe a process, in characters or in counts; nothing is cut unless one is given.
 
-    ``evidence`` is (entity_id, chunk_id), ``chunks`` is (chunk_id, doc_id, chunk_no, text). All caps
-    count characters, and parts that start beyond the total cap are never gathered.
+    ``fixed.TEXT_CAPS`` holds common values.
+    """
+
+    process_chunk: int | None = None
+    task_chunk: int | None = None
+    snippet: int | None = None
+    snippets: int | None = None
+    document: int | None = None
+    evidence: int | None = None
+    narrative: int | None = None
+    conditions: int | None = None
+
+
+def _cut(text: Column | str, size: int | None) -> Column:
+    text = F.col(text) if isinstance(text, str) else text
+    return F.substring(text, 1, size) if size else text
+
+
+def _within(parts: DataFrame, keys: list[str], order: list[str], size: int | None) -> DataFrame:
+    """Parts of a text whose pieces are joined by a space, up to ``size`` characters."""
+    if not size:
+        return parts
+    start = F.col("upto") - F.length("part") - 1
+    sized = scan(parts, keys, order, running={"upto": F.length("part") + 1}).where(start < size)
+    return sized.withColumn("part", F.expr(f"substring(part, 1, CAST({size} - (upto - length(part) - 1) AS INT))")).drop("upto")
+
+
+EVIDENCE_ORDER = ["grp", "at", "task_id", "doc_id", "no"]
+
+
+def evidence_parts(processes: DataFrame, tasks: DataFrame, evidence: DataFrame, chunks: DataFrame, caps: TextCaps = TextCaps()) -> DataFrame:
+    """Source texts of each process in order: its own chunk, its tasks' chunks and the chunks of their documents.
+
+    ``evidence`` is (entity_id, chunk_id), ``chunks`` is (chunk_id, doc_id, chunk_no, text). One row a text, so a process with very
+    many chunks is many rows.
     """
     text = chunks.select("chunk_id", "doc_id", "text")
+    zero = F.lit(0).cast("long")
     own = processes.select("proc_id").join(evidence, F.col("proc_id").cast("string") == F.col("entity_id").cast("string")).join(text, "chunk_id").select(
-        "proc_id", "doc_id", F.lit(0).alias("grp"), F.lit(0).cast("long").alias("at"), F.substring("text", 1, fixed.CAP_PROCESS_CHUNK).alias("part")
+        "proc_id", "doc_id", F.lit(0).alias("grp"), zero.alias("at"), F.lit("").alias("task_id"), zero.alias("no"), _cut("text", caps.process_chunk).alias("part")
     )
     by_task = tasks.select(F.col("process_id").alias("proc_id"), "task_id", "order").join(evidence, F.col("task_id").cast("string") == F.col("entity_id").cast("string")).join(text, "chunk_id")
-    of_task = by_task.select(
-        "proc_id", "doc_id", F.lit(1).alias("grp"), F.col("order").cast("long").alias("at"), F.substring("text", 1, fixed.CAP_TASK_CHUNK).alias("part"), "task_id"
-    )
-    direct = own.withColumn("task_id", F.lit("")).unionByName(of_task)
-    snippets = top_per_key(
-        chunks.where(~blank("text")).select("doc_id", "chunk_no", F.substring(strip("text"), 1, fixed.CAP_SNIPPET).alias("snippet")),
-        ["doc_id"], ["chunk_no"], fixed.SNIPPETS_PER_DOCUMENT, "n",
-    )
-    context = snippets.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "snippet"))).alias("s")).select(
-        "doc_id", F.substring(F.array_join(F.transform("s", lambda x: x["snippet"]), " "), 1, fixed.CAP_DOCUMENT).alias("part")
-    )
-    of_doc = direct.select("proc_id", "doc_id").distinct().join(context, "doc_id").select(
-        "proc_id", "doc_id", F.lit(2).alias("grp"), F.lit(0).cast("long").alias("at"), "part", F.lit("").alias("task_id")
-    )
-    parts = direct.where("part <> ''").unionByName(of_doc)
-    sized = scan(parts, ["proc_id"], ["grp", "at", "task_id", "doc_id"], running={"upto": F.length("part") + 1})
-    near = sized.where(F.col("upto") - F.length("part") - 1 < fixed.CAP_EVIDENCE)
-    gathered = near.groupBy("proc_id").agg(F.array_sort(F.collect_list(F.struct("grp", "at", "task_id", "doc_id", "part"))).alias("p"))
-    return gathered.select("proc_id", F.substring(strip(F.array_join(F.transform("p", lambda x: x["part"]), " ")), 1, fixed.CAP_EVIDENCE).alias("evidence"))
+    of_task = by_task.select("proc_id", "doc_id", F.lit(1).alias("grp"), F.col("order").cast("long").alias("at"), "task_id", zero.alias("no"), _cut("text", caps.task_chunk).alias("part"))
+    direct = own.unionByName(of_task)
+    snippets = chunks.where(~blank("text")).select("doc_id", F.col("chunk_no").cast("long").alias("no"), _cut(strip("text"), caps.snippet).alias("part"))
+    if caps.snippets:
+        snippets = top_per_key(snippets, ["doc_id"], ["no"], caps.snippets)
+    snippets = _within(snippets, ["doc_id"], ["no"], caps.document)
+    of_doc = direct.select("proc_id", "doc_id").distinct().join(snippets, "doc_id").select("proc_id", "doc_id", F.lit(2).alias("grp"), zero.alias("at"), F.lit("").alias("task_id"), "no", "part")
+    return _within(direct.where("part <> ''").unionByName(of_doc), ["proc_id"], EVIDENCE_ORDER, caps.evidence)
+
+
+def process_evidence_text(processes: DataFrame, tasks: DataFrame, evidence: DataFrame, chunks: DataFrame, caps: TextCaps = TextCaps()) -> DataFrame:
+    """The texts of ``evidence_parts`` joined: (proc_id, evidence). A process's text is one value, so it must fit in one."""
+    parts = evidence_parts(processes, tasks, evidence, chunks, caps)
+    gathered = parts.groupBy("proc_id").agg(F.array_sort(F.collect_list(F.struct(*EVIDENCE_ORDER, "part"))).alias("p"))
+    return gathered.select("proc_id", strip(F.array_join(F.transform("p", lambda x: x["part"]), " ")).alias("evidence"))
 
 
-def _flow_blob(tasks: DataFrame, flows: DataFrame) -> DataFrame:
-    """First thirty conditions of the flows that touch a process, joined."""
+def _flow_blob(tasks: DataFrame, flows: DataFrame, conditions: int | None) -> DataFrame:
+    """Conditions of the flows that touch a process, joined; the first ``conditions`` if given."""
     member = tasks.select("task_id", F.col("process_id").alias("proc_id"))
     touching = union_all(
         [flows.where(~blank("condition")).select(F.col(end).alias("task_id"), "pos", "from_id", "to_id", strip("condition").alias("condition")) for end in ("from_id", "to_id")]
     ).join(member, "task_id").select("proc_id", "pos", "from_id", "to_id", "condition").distinct()
-    first = top_per_key(touching, ["proc_id"], ["pos", "from_id", "to_id"], fixed.MAX_FLOW_CONDITIONS, "n")
-    return first.groupBy("proc_id").agg(F.array_sort(F.collect_list(F.struct("n", "condition"))).alias("c")).select(
+    at = ["pos", "from_id", "to_id"]
+    first = top_per_key(touching, ["proc_id"], at, conditions) if conditions else touching
+    return first.groupBy("proc_id").agg(F.array_sort(F.collect_list(F.struct(*at, "condition"))).alias("c")).select(
         "proc_id", F.array_join(F.transform("c", lambda x: x["condition"]), " ").alias("blob")
     )
 
 
 def process_signatures(
-    processes: DataFrame, tasks: DataFrame, task_role: DataFrame, roles: DataFrame, flows: DataFrame, evidence: DataFrame | None = None
+    processes: DataFrame, tasks: DataFrame, task_role: DataFrame, roles: DataFrame, flows: DataFrame, evidence: DataFrame | None = None,
+    caps: TextCaps = TextCaps(),
 ) -> DataFrame:
     """One row per process: token sets, trigram set of the narrative, business keys, task count, name.
 
+    ``evidence`` holds the rows of ``evidence_parts``.
     Tokens are made distinct as rows before they are gathered, so a process with very many tasks
     costs no more than its vocabulary.
     """
@@ -92,14 +126,15 @@ def process_signatures(
         F.col("process_id").alias("proc_id"), "task_id", "order", or_blank("name").alias("name"), or_blank("description").alias("description"),
         F.concat_ws(" ", or_blank("name"), or_blank("description"), or_blank("instruction")).alias("told"), or_blank("role_name").alias("role_name"),
     )
-    blob = _flow_blob(tasks, flows)
+    blob = _flow_blob(tasks, flows, caps.conditions)
     sid = lambda df, kind, arr: df.select("proc_id", F.lit(kind).alias("kind"), F.explode(arr).alias("token"))
 
     # The narrative is one text in task order; a part also covers the grams that start in the two
     # characters before it, so grams across part boundaries are found without joining the parts.
     parts = [processes.select("proc_id", F.lit(0).alias("grp"), F.lit(0).cast("long").alias("at"), F.lit("").alias("tie"), head.alias("text"))]
     if evidence is not None:
-        parts.append(evidence.select("proc_id", F.lit(1).alias("grp"), F.lit(0).cast("long").alias("at"), F.lit("").alias("tie"), F.substring("evidence", 1, fixed.CAP_NARRATIVE).alias("text")))
+        told = scan(_within(evidence, ["proc_id"], EVIDENCE_ORDER, caps.narrative), ["proc_id"], EVIDENCE_ORDER, number="n")
+        parts.append(told.select("proc_id", F.lit(1).alias("grp"), F.col("n").alias("at"), F.lit("").alias("tie"), F.col("part").alias("text")))
     parts.append(t.select("proc_id", F.lit(2).alias("grp"), F.col("order").cast("long").alias("at"), F.concat("task_id", F.lit(" 0")).alias("tie"), F.col("told").alias("text")))
     parts.append(t.select("proc_id", F.lit(2).alias("grp"), F.col("order").cast("long").alias("at"), F.concat("task_id", F.lit(" 1")).alias("tie"), F.col("role_name").alias("text")))
     parts.append(blob.select("proc_id", F.lit(3).alias("grp"), F.lit(0).cast("long").alias("at"), F.lit("").alias("tie"), F.col("blob").alias("text")))

@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procweave.functions import fixed
 from procweave.functions.text import col, null_if_blank, or_blank
 from procweave.operators.ordered import first_per_key, top_per_key
+from procweave.session import settle
 
 SCORE_DIGITS = 9
 
@@ -62,6 +63,12 @@ def cosine(left: Column | str, right: Column | str, left_norm: Column | None = N
     return F.when(size == 0, F.lit(0.0)).otherwise(dot(left, right) / size)
 
 
+def _unit(vectors: pd.Series) -> np.ndarray:
+    m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
 def top_k_similar(
     queries: DataFrame, chunks: DataFrame, k: int = 5, block_rows: int = 4096, skip_same_id: bool = False
 ) -> DataFrame:
@@ -79,16 +86,11 @@ def top_k_similar(
     left = queries.select("query_id", "embedding", deal(F.col("query_id"), q_blocks).alias("qb"), every(c_blocks).alias("cb"))
     right = chunks.select("chunk_id", "embedding", deal(F.col("chunk_id"), c_blocks).alias("cb"), every(q_blocks).alias("qb"))
 
-    def unit(vectors: pd.Series) -> np.ndarray:
-        m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-        n = np.sqrt((m * m).sum(axis=1, keepdims=True))
-        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-
     def cell(_key: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
             return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
         c = c.sort_values("chunk_id")
-        scores = np.round(unit(q["embedding"]) @ unit(c["embedding"]).T, SCORE_DIGITS)
+        scores = np.round(_unit(q["embedding"]) @ _unit(c["embedding"]).T, SCORE_DIGITS)
         ids = c["chunk_id"].to_numpy()
         if skip_same_id:
             scores[q["query_id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
@@ -116,13 +118,20 @@ def vector_copies(vectors: DataFrame) -> DataFrame:
     return keyed.join(reps, ["__h1", "__h2"]).select("id", "rep_id")
 
 
-def ann_join(vectors: DataFrame, threshold: float, bands: int = 32, bits: int = 10, seed: int = 7) -> DataFrame:
+def bands_for(threshold: float, recall: float, bits: int) -> int:
+    """Bands after which a pair at the threshold has met with probability ``recall``: a plane parts two vectors with the share of their angle."""
+    meet = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** bits
+    return max(1, int(np.ceil(np.log1p(-recall) / np.log1p(-meet)))) if meet < 1 else 1
+
+
+def ann_join(vectors: DataFrame, threshold: float, bands: int | None = None, bits: int = 10, seed: int = 7, recall: float = 0.95) -> DataFrame:
     """Approximate pairs of (id, embedding) rows with cosine of at least ``threshold``.
 
-    Signs of random projections are cut into ``bands`` keys of ``bits`` bits; vectors that share a
-    key are compared exactly. Copies are compared once, through the smallest id, and linked to it
-    with score 1, so a vector stored many times does not multiply the pairs.
+    Signs of random projections are cut into keys of ``bits`` bits, in as many ``bands`` as ``recall`` needs at the threshold unless
+    given; vectors that share a key are compared exactly. Copies are compared once, through the smallest id, and linked to it
+    with score 1, so a vector stored many times does not multiply the pairs. ``recall_of`` measures what is found.
     """
+    bands = bands or bands_for(threshold, recall, bits)
     copies = vector_copies(vectors)
     distinct = vectors.join(copies.where("id = rep_id").select("id"), "id", "left_semi")
     weights = (1 << np.arange(bits)).astype(np.int64)
@@ -154,6 +163,46 @@ def ann_join(vectors: DataFrame, threshold: float, bands: int = 32, bits: int =
     return scored.where(F.col("score") >= threshold).unionByName(same)
 
 
+def exact_links(queries: DataFrame, vectors: DataFrame, threshold: float, block_rows: int = 4096) -> DataFrame:
+    """All (id, partner_id, score) of the vectors in ``queries`` with others at ``threshold`` or more, both (id, embedding).
+
+    Blocks of queries meet blocks of vectors, and a block's comparisons with the whole table are one product per cell.
+    """
+    q_blocks = max(1, -(-queries.count() // block_rows))
+    c_blocks = max(1, -(-vectors.count() // block_rows))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("id", "embedding", deal(q_blocks).alias("qb"), every(c_blocks).alias("cb"))
+    right = vectors.select("id", "embedding", deal(c_blocks).alias("cb"), every(q_blocks).alias("qb"))
+
+    def cell(_key: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or c.empty:
+            return pd.DataFrame({"id": [], "partner_id": [], "score": []})
+        a, b = (_unit(side["embedding"]) for side in (q, c))
+        scores = np.round(a @ b.T, SCORE_DIGITS)
+        i, j = np.nonzero((scores >= threshold) & (q["id"].to_numpy()[:, None] != c["id"].to_numpy()[None, :]))
+        return pd.DataFrame({"id": q["id"].to_numpy()[i], "partner_id": c["id"].to_numpy()[j], "score": scores[i, j]})
+
+    kind = vectors.schema["id"].dataType.simpleString()
+    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(cell, f"id {kind}, partner_id {kind}, score double")
+
+
+def recall_of(found: DataFrame, vectors: DataFrame, threshold: float, drawn: Column) -> DataFrame:
+    """What an approximate join found of the links of the ``drawn`` vectors: ``id, n_exact, n_found`` per drawn vector.
+
+    ``found`` is the result of ``ann_join`` on ``vectors``. A copy's links are those of its first id, so both sides are counted among distinct vectors.
+    """
+    copies = vector_copies(vectors)
+    distinct = settle(vectors.join(copies.where("id = rep_id").select("id"), "id", "left_semi"))
+    queries = distinct.where(drawn)
+    exact = settle(exact_links(queries, distinct, threshold))
+    pair = F.array(F.struct(F.col("left_id").alias("id"), F.col("right_id").alias("partner_id")), F.struct(F.col("right_id").alias("id"), F.col("left_id").alias("partner_id")))
+    both = found.select(F.explode(pair).alias("p")).select("p.id", "p.partner_id").withColumn("hit", F.lit(1)).distinct()
+    counted = exact.join(both, ["id", "partner_id"], "left").groupBy("id").agg(F.count(F.lit(1)).alias("n_exact"), F.count("hit").alias("n_found"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return queries.select("id").join(counted, "id", "left").select("id", zero("n_exact"), zero("n_found"))
+
+
 def _words(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(or_blank(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
@@ -170,11 +219,48 @@ def name_index(entities: DataFrame) -> DataFrame:
     return postings.join(frequency.withColumn("__one", F.lit(1)).join(F.broadcast(total), "__one").drop("__one"), "token")
 
 
-def search_names(queries: DataFrame, index: DataFrame, limit: int = fixed.NAME_CANDIDATES) -> DataFrame:
-    """Best ``limit`` entities of each (query_id, text) by summed tf-idf of the shared words."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(_words("text"))).alias("token"))
-    weight = F.col("tf") * F.log1p(F.col("n") / F.col("df"))
-    scored = terms.join(index, "token").groupBy("query_id", "entity_id").agg(F.round(F.sum(weight), 6).alias("score"))
+#: Postings of a word that one task meets with the queries that hold it.
+POSTINGS_PER_PART = 10_000
+#: What rounding of sums may take from a bound.
+SLACK = 1e-6
+
+
+def term_bounds(terms: DataFrame, postings: DataFrame, limit: int) -> DataFrame:
+    """Query terms with what they can add: ``top`` (largest impact of the word), ``bar`` (a score that ``limit`` entities reach by one
+    word alone, so the query's last hit reaches it too), ``rest`` (what the words from this one on, in falling order of ``top``, add at
+    most) and ``leads`` (entities that hold only words without it stay below the bar)."""
+    best = top_per_key(postings, ["token"], [F.desc("impact"), "entity_id"], limit, "rank")
+    each = best.groupBy("token").agg(F.max("impact").alias("top"), F.when(F.count(F.lit(1)) >= limit, F.min("impact")).otherwise(0.0).alias("kth"), F.first("df").alias("df"))
+    down = Window.partitionBy("query_id").orderBy(F.desc("top"), "token")
+    known = terms.join(each, "token").select(
+        "query_id", "token", "df", "top", F.max("kth").over(Window.partitionBy("query_id")).alias("bar"),
+        F.sum("top").over(down.rowsBetween(0, Window.unboundedFollowing)).alias("rest"),
+    )
+    return known.withColumn("leads", F.col("rest") >= F.col("bar") - SLACK)
+
+
+def search_names(queries: DataFrame, index: DataFrame, limit: int = fixed.NAME_CANDIDATES, part_rows: int = POSTINGS_PER_PART) -> DataFrame:
+    """Best ``limit`` entities of each (query_id, text) by summed tf-idf of the shared words.
+
+    Only words that can lift an entity over the query's bar propose entities (see ``term_bounds``); a common word's small impact is
+    looked up for entities that could still reach the bar. A word's postings are dealt in parts of about ``part_rows``, and
+    its queries go to each part, so no task holds all of a frequent word. No hit is missed: scores equal the full sum.
+    """
+    terms = settle(queries.select("query_id", F.explode(F.array_distinct(_words("text"))).alias("token")))
+    # Words of the queries only; the index may be many times larger.
+    asked = index.join(terms.select("token").distinct(), "token", "left_semi")
+    postings = settle(asked.select("token", "entity_id", (F.col("tf") * F.log1p(F.col("n") / F.col("df"))).alias("impact"), "df"))
+    bounded = settle(term_bounds(terms, postings, limit))
+    parts = F.ceil(F.col("df") / F.lit(part_rows)).cast("int")
+    dealt = postings.select("token", "entity_id", "impact", F.pmod(F.xxhash64("entity_id"), parts).cast("int").alias("part"))
+    leads = bounded.where("leads").select("query_id", "token", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    partial = leads.join(dealt, ["token", "part"]).groupBy("query_id", "entity_id").agg(F.sum("impact").alias("s"))
+    # What the other words of a query can add at most.
+    open_ = bounded.groupBy("query_id").agg(F.first("bar").alias("bar"), F.coalesce(F.max(F.when(~F.col("leads"), F.col("rest"))), F.lit(0.0)).alias("more"))
+    alive = settle(partial.join(open_, "query_id").where(F.col("s") + F.col("more") >= F.col("bar") - SLACK).select("query_id", "entity_id", "s"))
+    others = bounded.where("NOT leads").select("query_id", "token")
+    looked_up = alive.select("query_id", "entity_id").join(others, "query_id").join(postings.select("token", "entity_id", "impact"), ["token", "entity_id"])
+    scored = alive.unionByName(looked_up.select("query_id", "entity_id", F.col("impact").alias("s"))).groupBy("query_id", "entity_id").agg(F.round(F.sum("s"), 6).alias("score"))
     return top_per_key(scored, ["query_id"], [F.desc("score"), "entity_id"], limit, "rank")
 
 

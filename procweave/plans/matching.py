@@ -77,7 +77,7 @@ def i3(spark, sf_dir):
               ON nm = key OR contains(key, nm) OR contains(nm, key) OR (length(key) >= 3 AND (contains(nm, left(key, 3)) OR contains(nm, right(key, 3)))) GROUP BY ALL),
         t AS (SELECT *, row_number() OVER (PARTITION BY role_id ORDER BY score DESC, id) AS rank FROM s),
         f AS (SELECT role_id, c_custkey AS id, 0.0 AS score, rk AS rank FROM r, (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS rk FROM customer WHERE c_acctbal < 0) WHERE rk <= 20 AND role_id NOT IN (SELECT role_id FROM s))
-        SELECT role_id, id AS agent_id, CAST(score AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM t WHERE rank <= 30 UNION ALL SELECT role_id, id, score, rank FROM f""",
+        SELECT role_id, id AS agent_id, CAST(score AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM t UNION ALL SELECT role_id, id, score, rank FROM f""",
 )
 def i4(spark, sf_dir):
     return m.agent_candidates(_roles(spark, sf_dir), _users(spark, sf_dir).where("is_agent"))

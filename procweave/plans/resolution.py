@@ -97,12 +97,12 @@ def dialogue(spark, sf_dir):
     return {"process": processes, "task": tasks, "role": role, "task_role": task_role, "flow": flows}
 
 
-def _evidence(spark, sf_dir, d):
+def _evidence(spark, sf_dir, d, gather=r.evidence_parts):
     docs = table(spark, sf_dir, "documents")
     chunks = docs.select(F.concat(F.lit("c"), F.col("doc_id")).alias("chunk_id"), "doc_id", F.lit(0).alias("chunk_no"), "text")
     # Conversations are backed by the document of the same number.
     proof = d["process"].select(F.col("proc_id").alias("entity_id"), F.concat(F.lit("c"), F.col("proc_id")).alias("chunk_id"))
-    return r.process_evidence_text(d["process"], d["task"], proof, chunks)
+    return gather(d["process"], d["task"], proof, chunks)
 
 
 def _signatures(spark, sf_dir):
@@ -111,7 +111,7 @@ def _signatures(spark, sf_dir):
 
 
 _SIG = f"""
-evid AS (SELECT doc_id AS proc_id, left({sql_strip("left(text, 2000) || ' ' || left(" + sql_strip('text') + ", 1200)")}, 12000) AS evidence FROM documents),
+evid AS (SELECT doc_id AS proc_id, {sql_strip("text || ' ' || " + sql_strip('text'))} AS evidence FROM documents),
 t AS (SELECT conv_id AS proc_id, turn, role, split_part(text, chr(10), 1) AS name, split_part(text, chr(10), 1) || '  ' || text AS told FROM conversations),
 fl AS (SELECT a.conv_id AS proc_id, string_agg(a.role || ' ' || a.turn, ' ' ORDER BY a.turn) AS blob
        FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 GROUP BY 1),
@@ -120,8 +120,8 @@ tt AS (SELECT proc_id, list_distinct(flatten(list({sql_tokens('name')}))) AS tas
               string_agg(told || role, '' ORDER BY turn) AS story, list_distinct(flatten(list({_sql_keys('told')}))) AS tkeys FROM t GROUP BY 1),
 s0 AS (SELECT p.proc_id, {sql_norm('p.name')} AS name_norm, n_tasks, task_tokens, role_tokens,
           list_distinct(list_concat({sql_tokens('p.name')}, {sql_tokens("coalesce(blob, '')")})) AS desc_tokens,
-          p.name || coalesce(left(evidence, 4000), '') || story || coalesce(blob, '') AS narr,
-          list_distinct(list_concat(tkeys, {_sql_keys("coalesce(left(evidence, 4000), '')")}, {_sql_keys("p.name")})) AS keys
+          p.name || coalesce(evidence, '') || story || coalesce(blob, '') AS narr,
+          list_distinct(list_concat(tkeys, {_sql_keys("coalesce(evidence, '')")}, {_sql_keys("p.name")})) AS keys
        FROM p JOIN tt USING (proc_id) LEFT JOIN fl USING (proc_id) LEFT JOIN evid USING (proc_id)),
 s AS (SELECT * EXCLUDE (narr), {sql_grams('narr')} AS narrative FROM s0)
 """
@@ -129,7 +129,7 @@ s AS (SELECT * EXCLUDE (narr), {sql_grams('narr')} AS narrative FROM s0)
 
 @query("e6_process_evidence_text", f"WITH {_SIG} SELECT p.proc_id, md5(evidence) AS evidence_hash FROM p JOIN evid USING (proc_id)")
 def e6(spark, sf_dir):
-    return _evidence(spark, sf_dir, dialogue(spark, sf_dir)).select("proc_id", F.md5("evidence").alias("evidence_hash"))
+    return _evidence(spark, sf_dir, dialogue(spark, sf_dir), r.process_evidence_text).select("proc_id", F.md5("evidence").alias("evidence_hash"))
 
 
 @query(
@@ -165,14 +165,14 @@ _NUMS = ["task_sim", "role_sim", "desc_sim", "narrative_sim", "name_sim", "score
 
 @query(
     "e8_process_similarity",
-    f"WITH {_PAIRS}, m AS (SELECT min(proc_id) AS m FROM s) SELECT b_id AS proc_id, key_shared, key_conflict, " + ", ".join(f"round(CAST({n} AS DOUBLE), 6) AS {n}" for n in _NUMS) + " FROM k4, m WHERE a_id = m",
+    f"WITH {_PAIRS} SELECT a_id, b_id, key_shared, key_conflict, " + ", ".join(f"round(CAST({n} AS DOUBLE), 6) AS {n}" for n in _NUMS) + " FROM k4 WHERE b_id - a_id <= 3",
 )
 def e8(spark, sf_dir):
     _, sigs = _signatures(spark, sf_dir)
-    first = sigs.agg(F.min("proc_id").alias("a_id")).withColumn("one", F.lit(1))
-    others = sigs.select(F.col("proc_id").alias("b_id"), F.lit(1).alias("one")).join(F.broadcast(first), "one").where("a_id < b_id").select("a_id", "b_id")
+    # Every process with the three that follow it.
+    others = sigs.select(F.col("proc_id").alias("a_id"), F.explode(F.sequence(F.col("proc_id") + 1, F.col("proc_id") + 3)).alias("b_id")).join(sigs.select(F.col("proc_id").alias("b_id")), "b_id", "left_semi")
     scored = r.score_pairs(others, sigs)
-    return scored.select(F.col("b_id").alias("proc_id"), "key_shared", "key_conflict", *[F.round(n, 6).alias(n) for n in _NUMS])
+    return scored.select("a_id", "b_id", "key_shared", "key_conflict", *[F.round(n, 6).alias(n) for n in _NUMS])
 
 
 @query(

@@ -80,7 +80,7 @@ def test_gateway_names(spark):
 def test_procedure_steps_equal_plain_python(spark):
     import re
 
-    def plain(t):
+    def plain(t, most=None, cut=None):
         if not t:
             return ["작업을 수행합니다."]
         for pattern in (r"\d+[.)\s]+(.+?)(?=\d+[.)\s]|$)", r"[-•]\s*(.+?)(?=[-•]|$)"):
@@ -88,11 +88,12 @@ def test_procedure_steps_equal_plain_python(spark):
             if found:
                 return [s.strip() for s in found if s.strip()]
         steps = [s.strip() for s in re.split(r"[.。]\s*", t) if s.strip() and len(s) > 5]
-        return steps[:10] or [t[:200] + "..." if len(t) > 200 else t]
+        return steps[:most] or [t[:cut] + "..." if cut and len(t) > cut else t]
 
-    texts = ["1. open it 2) close it", "- one thing - other", "First thing here. Second。 Third thing too", "short", "", "x" * 250]
+    texts = ["1. open it 2) close it", "- one thing - other", "First thing here. Second。 Third thing too", "short", "", ". " * 150, "One sentence. " * 25]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(text.procedure_steps("t")).collect()] == [plain(t) for t in texts]
+    assert [r[0] for r in df.select(text.procedure_steps("t", 10, 200)).collect()] == [plain(t, 10, 200) for t in texts]
 
 
 def test_whole_run_keeps_equal_chunks_apart_and_merges_entities(spark):

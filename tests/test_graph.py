@@ -27,8 +27,37 @@ def test_layers_skip_cycles_and_closure_is_transitive(spark):
     assert layers == {"a": 0, "e": 0, "b": 1, "c": 2, "d": 3}
     loop = spark.createDataFrame([("p", a, b) for a, b in [("start", "A"), ("A", "B"), ("B", "A"), ("B", "end")]] + [("q", "y", "x"), ("q", "x", "y"), ("q", "y", "z")], "proc_id string, source string, target string")
     assert {(r.proc_id, r.id): r.layer for r in q.flow_layers(loop).collect()} == {("p", "start"): 0, ("p", "A"): 1, ("p", "B"): 2, ("p", "end"): 3, ("q", "x"): 0, ("q", "y"): 1, ("q", "z"): 2}
-    chains = [r.chain for r in q.flow_chains(e, 2).collect()]
+    chains = [r.chain for r in q.flow_chains(q.without_loops(e), 2).collect()]
     assert chains[0] == "a -> b -> c -> d"
+    with pytest.raises(RuntimeError):
+        q.flow_chains(e, 2)
+
+
+def test_longest_chains_equal_brute_force_and_do_not_hold_all_paths(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = sorted({(p, f"n{a:02d}", f"n{b:02d}") for p in ("p", "q") for a, b in [sorted(rng.sample(range(9), 2)) for _ in range(14)]})
+    after = {}
+    for p, a, b in rows:
+        after.setdefault((p, a), []).append(b)
+    paths = []
+
+    def walk(p, path):
+        if len(path) > 1:
+            paths.append((1 - len(path), p, path))
+        for b in after.get((p, path[-1]), ()):
+            walk(p, [*path, b])
+
+    targets = {(p, b) for p, _, b in rows}
+    for p, a in sorted(after.keys() - targets):
+        walk(p, [a])
+    want = [(p, " -> ".join(path), -n) for n, p, path in sorted(paths)[:7]]
+    assert [tuple(r) for r in q.flow_chains(spark.createDataFrame(rows, "proc_id string, source string, target string"), 7).collect()] == want
+    # Thirty levels of two nodes, each leading to both of the next: 2 ** 30 paths.
+    ladder = [("p", f"{i:02d}{a}", f"{i + 1:02d}{b}") for i in range(29) for a in "ab" for b in "ab"]
+    got = [r.chain.split(" -> ") for r in q.flow_chains(spark.createDataFrame(ladder, "proc_id string, source string, target string"), 3).collect()]
+    assert [[n[-1] for n in c[-2:]] for c in got] == [["a", "a"], ["a", "b"], ["b", "a"]] and all(len(c) == 30 and {n[-1] for n in c[:-2]} == {"a"} for c in got)
 
 
 def test_rounds_go_to_the_end_or_raise(spark):
