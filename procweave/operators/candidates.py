@@ -25,6 +25,7 @@ from procweave.functions.text import (
     with_branch_conditions,
     with_gateway_name,
 )
+from procweave.operators.contain import contained_in
 from procweave.operators.graph import union_all
 from procweave.operators.ordered import first_per_key, scan
 from procweave.session import settle
@@ -249,11 +250,14 @@ def _first_named(pairs: DataFrame, tasks: DataFrame, term: str, both_ways: bool
     Equal names stand for one another, so each distinct name and term is compared once.
     """
     terms = pairs.select("section_id", F.col(term).alias("term")).where("term <> ''").distinct()
-    names = tasks.groupBy("section_id", F.lower("name").alias("__name")).agg(F.min(F.struct("pos", "task_id")).alias("__t"))
-    fits = F.contains("__name", "term")
+    names = tasks.groupBy("section_id", F.lower("name").alias("__name")).agg(F.min(F.struct("pos", "task_id")).alias("__t")).where("__name <> ''")
+    as_text = lambda d, c: d.select("section_id", F.col(c).alias("text_id"), F.col(c).alias("text"))
+    as_name = lambda d, c: d.select("section_id", F.col(c).alias("name_id"), F.col(c).alias("keyword"))
+    pairs = contained_in(as_text(names, "__name"), as_name(terms, "term"), by=["section_id"]).select("section_id", F.col("text_id").alias("__name"), F.col("name_id").alias("term"))
     if both_ways:
-        fits = fits | F.contains("term", "__name")
-    hit = terms.join(names, "section_id").where((F.col("__name") != "") & fits)
+        around = contained_in(as_text(terms, "term"), as_name(names, "__name"), by=["section_id"])
+        pairs = pairs.unionByName(around.select("section_id", F.col("name_id").alias("__name"), F.col("text_id").alias("term"))).distinct()
+    hit = pairs.join(names, ["section_id", "__name"])
     best = hit.groupBy("section_id", "term").agg(F.min("__t").alias("t"))
     return best.select("section_id", "term", F.col("t.pos").alias("task_pos"), F.col("t.task_id").alias("task_id"))
 

@@ -1,63 +1,57 @@
 """Exact "name occurs in text" joins without comparing every name with every text.
 
-Each name is filed under one of its character grams, the rarest among the names. A text can only
-contain a name whose gram it contains, so texts and names meet on an equi join and the substring
-test runs on those matches alone.
+Names fall in classes by length: 1, 2, 4, 8, or 16 characters and more. Each name is filed under the one of its windows of its class's
+length that the fewest names share, so names that begin alike still stand apart. Texts are rolled once for each class; a text can only
+contain a name whose window it holds, so both meet on an equi join, and only those pairs are tested. With ``by`` they meet
+within a group only, such as a section or a process.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Up to this many distinct names the gram table is sent to every task; beyond it the join shuffles.
-SMALL_NAMES = 100_000
+CLASSES = (1, 2, 4, 8, 16)
 
 
-def _grams(text: Column, n: int) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+def _windows(text: Column, size: int) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
-def _all_grams(text: Column, shortest: int) -> Column:
-    sizes = range(min(shortest, 3), 4)
-    return F.array_distinct(F.concat(*[_grams(text, n) for n in sizes]))
+def _class(keyword: Column) -> Column:
+    """Length of the windows under which a keyword is filed."""
+    out = F.lit(CLASSES[0])
+    for size in CLASSES[1:]:
+        out = F.when(F.length(keyword) >= size, size).otherwise(out)
+    return out
 
 
-def anchors(names: DataFrame) -> DataFrame:
-    """(gram, keyword): the rarest gram of each distinct non-empty keyword."""
-    kw = names.select("keyword").where(F.col("keyword") != "").distinct()
-    grams = kw.select(
-        "keyword",
-        F.explode(
-            F.when(F.length("keyword") >= 3, F.array_distinct(_grams(F.col("keyword"), 3))).otherwise(F.array("keyword"))
-        ).alias("gram"),
-    )
-    spread = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    return (
-        grams.join(spread, "gram").groupBy("keyword").agg(F.min(F.struct("n", "gram")).alias("best"))
-        .select(F.col("best.gram").alias("gram"), "keyword")
-    )
+def anchors(names: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, window, keyword): of each distinct non-empty keyword the window that the fewest keywords hold."""
+    kw = names.select(*by, "keyword").where("keyword <> ''").distinct().withColumn("size", _class(F.col("keyword")))
+    windows = F.lit(None).cast("array<string>")
+    for size in CLASSES:
+        windows = F.when(F.col("size") == size, _windows(F.col("keyword"), size)).otherwise(windows)
+    held = kw.select(*by, "keyword", F.explode(windows).alias("window"))
+    spread = held.groupBy(*by, "window").agg(F.count(F.lit(1)).alias("n"))
+    best = held.join(spread, [*by, "window"]).groupBy(*by, "keyword").agg(F.min(F.struct("n", "window")).alias("b"))
+    return best.select(*by, F.col("b.window").alias("window"), "keyword")
 
 
-def contained_in(texts: DataFrame, names: DataFrame, shortest: int = 1, small: int = SMALL_NAMES) -> DataFrame:
-    """Pairs (text_id, name_id, keyword) where the keyword of the name occurs in the text.
+def contained_in(texts: DataFrame, names: DataFrame, shortest: int = 1, by: Sequence[str] = ()) -> DataFrame:
+    """Pairs (by, text_id, name_id, keyword) where the keyword of the name occurs in the text.
 
-    ``texts`` is (text_id, text), ``names`` is (name_id, keyword); keywords shorter than ``shortest``
-    never match. Case is left to the caller.
+    ``texts`` is (by, text_id, text), ``names`` is (by, name_id, keyword); keywords shorter than ``shortest``
+    never match. Case is left to the caller. ``text_id`` is unique within its group.
     """
     named = names.where(F.length("keyword") >= shortest)
-    # One small job over the names: how many there are decides the join, how short they get decides
-    # which gram lengths the texts must offer.
-    count, least = named.agg(F.count(F.lit(1)), F.min(F.length("keyword"))).first()
-    filed = anchors(named)
-    grams = texts.select("text_id", "text", F.explode(_all_grams(F.col("text"), max(1, least or 3))).alias("gram"))
-    if count <= small:
-        hits = grams.join(F.broadcast(filed), "gram").where(F.contains("text", "keyword")).select("text_id", "keyword")
-    else:
-        # Texts stay out of the gram shuffle and come back only for the candidates.
-        candidates = grams.select("text_id", "gram").join(filed, "gram").select("text_id", "keyword")
-        hits = (
-            candidates.join(texts.select("text_id", "text"), "text_id")
-            .where(F.contains("text", "keyword")).select("text_id", "keyword")
-        )
-    return hits.join(named.select("name_id", "keyword"), "keyword").select("text_id", "name_id", "keyword")
+    # Which classes there are decides how often texts are rolled: at most five values.
+    sizes = sorted(named.where("keyword <> ''").agg(F.collect_set(_class(F.col("keyword")))).first()[0])
+    rolled = F.concat(*[_windows(F.col("text"), s) for s in sizes]) if sizes else F.array().cast("array<string>")
+    windows = texts.select(*by, "text_id", F.explode(rolled).alias("window"))
+    met = windows.join(anchors(named, by), [*by, "window"]).select(*by, "text_id", "keyword")
+    # Texts stay out of the join on windows and come back for the pairs that met.
+    hits = met.join(texts.select(*by, "text_id", "text"), [*by, "text_id"]).where(F.contains("text", "keyword")).select(*by, "text_id", "keyword")
+    return hits.join(named.select(*by, "name_id", "keyword"), [*by, "keyword"]).select(*by, "text_id", "name_id", "keyword")

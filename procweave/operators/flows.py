@@ -22,6 +22,7 @@ from procweave.functions.text import (
     with_branch_conditions,
     with_gateway_name,
 )
+from procweave.operators.contain import contained_in
 from procweave.operators.graph import union_all
 from procweave.operators.ordered import first_per_key, scan
 from procweave.session import settle
@@ -392,7 +393,11 @@ def backfill_activities(activities: DataFrame, entities: DataFrame) -> DataFrame
     rest = a.join(by_id.unionByName(by_name).select("proc_id", "pos"), ["proc_id", "pos"], "left_anti")
     # Distinct names only: of equal names the first entity is the first hit.
     first = e.where("__ekey <> ''").groupBy("proc_id", "__ekey").agg(F.min(F.struct("__n", "task_id")).alias("f"))
-    near = rest.where("__key <> ''").join(first, "proc_id").where(F.contains("__key", "__ekey") | F.contains("__ekey", "__key"))
+    open_ = rest.where("__key <> ''")
+    inside = contained_in(open_.select("proc_id", F.col("pos").alias("text_id"), F.col("__key").alias("text")), first.select("proc_id", F.col("__ekey").alias("name_id"), F.col("__ekey").alias("keyword")), by=["proc_id"])
+    around = contained_in(first.select("proc_id", F.col("__ekey").alias("text_id"), F.col("__ekey").alias("text")), open_.select("proc_id", F.col("pos").alias("name_id"), F.col("__key").alias("keyword")), by=["proc_id"])
+    held = inside.select("proc_id", F.col("text_id").alias("pos"), F.col("name_id").alias("__ekey")).unionByName(around.select("proc_id", F.col("name_id").alias("pos"), F.col("text_id").alias("__ekey")))
+    near = held.join(first, ["proc_id", "__ekey"])
     by_part = near.groupBy("proc_id", "pos").agg(F.min("f").alias("f")).select("proc_id", "pos", F.col("f.task_id").alias("__m"), F.lit(2).alias("__r"), F.lit(0).cast("long").alias("__at"))
     by_place = rest.join(e.select("proc_id", "__n", F.col("task_id").alias("__m")), ["proc_id", "__n"]).select("proc_id", "pos", "__m", F.lit(3).alias("__r"), F.lit(0).cast("long").alias("__at"))
     match = first_per_key(union_all([by_id, by_name, by_part, by_place]), ["proc_id", "pos"], ["__r", "__m"]).select("proc_id", "pos", "__m")

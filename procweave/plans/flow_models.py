@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from procweave.functions.text import snake_id
 from procweave.operators import flows as h
 from procweave.operators import queries as q
-from procweave.plans.base import query, sql_squeeze, sql_strip
+from procweave.plans.base import query, sql_compact, sql_squeeze, sql_strip
 from procweave.plans.readings import SQL_GRAPH, property_graph, table
 from procweave.session import settle
 
@@ -248,11 +248,26 @@ def h15(spark, sf_dir):
     return h.enrich_tasks_from_graph(bare, elements).select("task_id", "role", "instruction")
 
 
-@query("h16_backfill_activities", """SELECT conv_id AS proc_id, turn AS pos, role FROM conversations""")
+# Every fourth activity is found by its id, by its name, by a part of its name, and by its place.
+_SQL_NAME = "split_part(text, chr(10), 1)"
+
+
+@query(
+    "h16_backfill_activities",
+    f"""WITH t AS (SELECT conv_id AS proc_id, turn, role, {_SQL_NAME} AS name, {sql_compact(_SQL_NAME)} AS ekey, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+        a AS (SELECT proc_id, turn AS pos, n, CASE turn % 4 WHEN 1 THEN ekey WHEN 2 THEN {sql_compact('substr(name, 3, 9)')} WHEN 3 THEN '??' ELSE '' END AS key FROM t),
+        m1 AS (SELECT a.proc_id, pos, max(turn) AS m FROM a JOIN t ON t.proc_id = a.proc_id AND ekey = key WHERE key <> '' AND pos % 4 > 0 GROUP BY ALL),
+        m2 AS (SELECT a.proc_id, pos, arg_min(turn, t.n) AS m FROM a JOIN t ON t.proc_id = a.proc_id AND ekey <> '' AND (contains(key, ekey) OR contains(ekey, key)) WHERE key <> '' GROUP BY ALL),
+        m AS (SELECT a.proc_id, a.pos, CASE WHEN a.pos % 4 = 0 THEN a.pos ELSE coalesce(m1.m, m2.m, a.pos) END AS m FROM a LEFT JOIN m1 USING (proc_id, pos) LEFT JOIN m2 USING (proc_id, pos))
+        SELECT m.proc_id, m.pos, role, 'T ' || m.m AS instruction FROM m JOIN t ON t.proc_id = m.proc_id AND t.turn = m.m""",
+)
 def h16(spark, sf_dir):
     _, tasks, _, _, _ = _talk(spark, sf_dir)
-    acts = tasks.select("proc_id", "pos", F.when(F.col("pos") % 2 == 0, F.col("task_id")).otherwise("?").alias("id"), F.lit("").alias("name"), F.lit(" ").alias("role"), "description", "instruction")
-    return h.backfill_activities(acts, tasks).select("proc_id", "pos", "role")
+    case = F.col("pos") % 4
+    name = F.when(case == 1, F.col("name")).when(case == 2, F.substring("name", 3, 9)).when(case == 3, "??").otherwise("")
+    acts = tasks.select("proc_id", "pos", F.when(case == 0, F.col("task_id")).otherwise("?").alias("id"), name.alias("name"), F.lit(" ").alias("role"), "description", "instruction")
+    told = tasks.withColumn("instruction", F.col("task_id"))
+    return h.backfill_activities(acts, told).select("proc_id", "pos", "role", "instruction")
 
 
 @query(

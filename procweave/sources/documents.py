@@ -11,9 +11,11 @@ from procweave.operators.segment import page_count, with_pages
 
 
 def read_text_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row per text file: id by path, title from the file name, pages by form feed."""
+    """One row per text file that holds anything: id by path, title from the file name, pages by form feed."""
     files = spark.read.text(paths, wholetext=True).withColumn("source", F.col("_metadata.file_path"))
-    named = files.withColumn("title", F.regexp_extract("source", r"([^/]*?)(?:\.[^./]*)?$", 1))
+    # Paths are kept as Spark gives them; a title shows what they encode, and a plus is no blank there.
+    shown = F.url_decode(F.replace("source", F.lit("+"), F.lit("%2B")))
+    named = files.withColumn("title", F.regexp_extract(shown, r"([^/]*?)(?:\.[^./]*)?$", 1))
     docs = with_pages(named.withColumn("doc_id", F.substring(F.sha2("source", 256), 1, 32)), "value")
     return docs.select("doc_id", "title", "source", page_count().alias("page_count"), "pages", F.current_timestamp().alias("uploaded_at"))
 

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from procweave.operators.contain import contained_in
+from procweave.operators.contain import anchors, contained_in
 from procweave.operators.ordered import scan
 
 
@@ -30,6 +30,17 @@ def test_containment_join_equals_brute_force(spark):
     names = [(i, word(rng.randrange(0, 6))) for i in range(60)]
     t, n = spark.createDataFrame(texts, "text_id int, text string"), spark.createDataFrame(names, "name_id int, keyword string")
     want = {(a, b) for a, x in texts for b, y in names if y and y in x}
-    for small in (1000, 0):
-        got = {(r.text_id, r.name_id) for r in contained_in(t, n, small=small).collect()}
-        assert got == want
+    assert {(r.text_id, r.name_id) for r in contained_in(t, n).collect()} == want
+    by = lambda d, c: d.withColumn("g", F.col(c) % 3)
+    got = {(r.text_id, r.name_id) for r in contained_in(by(t, "text_id"), by(n, "name_id"), by=["g"]).collect()}
+    assert got == {(a, b) for a, b in want if a % 3 == b % 3}
+    assert contained_in(t, n.where("name_id < 0")).count() == 0
+
+
+def test_names_that_begin_alike_are_filed_apart(spark):
+    names = spark.range(1, 20_001).select(F.concat(F.lit("user "), F.col("id").cast("string")).alias("keyword"))
+    filed = anchors(names).groupBy("window").count()
+    # One and two digits have short windows; all others stand alone.
+    assert filed.agg(F.max("count")).first()[0] <= 3 and filed.count() > 19_000
+    long = spark.createDataFrame([("the same long beginning of a name " + c,) for c in "abcdef"], "keyword string")
+    assert anchors(long).groupBy("window").count().agg(F.max("count")).first()[0] == 1
