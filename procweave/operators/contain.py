@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CLASSES = (1, 2, 4, 8, 16)
+#: Of a name longer than twice this, windows of the first and of the last characters are looked at.
+ENDS = 40
 
 
 def _windows(text: Column, size: int) -> Column:
@@ -29,15 +31,22 @@ def _class(keyword: Column) -> Column:
 
 
 def anchors(names: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by, window, keyword): of each distinct non-empty keyword the window that the fewest keywords hold."""
-    kw = names.select(*by, "keyword").where("keyword <> ''").distinct().withColumn("size", _class(F.col("keyword")))
+    """(by, window, digest): of each distinct non-empty keyword the window that the fewest keywords hold, with the keyword's digest.
+
+    Any window of a keyword would do, so it does not matter that the middle of a long one is not looked at.
+    """
+    keyword = F.col("keyword")
+    kw = names.where("keyword <> ''").select(
+        *by, F.md5("keyword").alias("digest"), _class(keyword).alias("size"),
+        F.when(F.length(keyword) <= 2 * ENDS, F.array(keyword)).otherwise(F.array(F.substring(keyword, 1, ENDS), F.right(keyword, F.lit(ENDS)))).alias("ends"),
+    ).dropDuplicates([*by, "digest"])
     windows = F.lit(None).cast("array<string>")
     for size in CLASSES:
-        windows = F.when(F.col("size") == size, _windows(F.col("keyword"), size)).otherwise(windows)
-    held = kw.select(*by, "keyword", F.explode(windows).alias("window"))
+        windows = F.when(F.col("size") == size, F.array_distinct(F.flatten(F.transform("ends", lambda e: _windows(e, size))))).otherwise(windows)
+    held = kw.select(*by, "digest", F.explode(windows).alias("window"))
     spread = held.groupBy(*by, "window").agg(F.count(F.lit(1)).alias("n"))
-    best = held.join(spread, [*by, "window"]).groupBy(*by, "keyword").agg(F.min(F.struct("n", "window")).alias("b"))
-    return best.select(*by, F.col("b.window").alias("window"), "keyword")
+    best = held.join(spread, [*by, "window"]).groupBy(*by, "digest").agg(F.min(F.struct("n", "window")).alias("b"))
+    return best.select(*by, F.col("b.window").alias("window"), "digest")
 
 
 def contained_in(texts: DataFrame, names: DataFrame, shortest: int = 1, by: Sequence[str] = ()) -> DataFrame:
@@ -51,7 +60,8 @@ def contained_in(texts: DataFrame, names: DataFrame, shortest: int = 1, by: Sequ
     sizes = sorted(named.where("keyword <> ''").agg(F.collect_set(_class(F.col("keyword")))).first()[0])
     rolled = F.concat(*[_windows(F.col("text"), s) for s in sizes]) if sizes else F.array().cast("array<string>")
     windows = texts.select(*by, "text_id", F.explode(rolled).alias("window"))
-    met = windows.join(anchors(named, by), [*by, "window"]).select(*by, "text_id", "keyword")
-    # Texts stay out of the join on windows and come back for the pairs that met.
-    hits = met.join(texts.select(*by, "text_id", "text"), [*by, "text_id"]).where(F.contains("text", "keyword")).select(*by, "text_id", "keyword")
-    return hits.join(named.select(*by, "name_id", "keyword"), [*by, "keyword"]).select(*by, "text_id", "name_id", "keyword")
+    met = windows.join(anchors(named, by), [*by, "window"]).select(*by, "text_id", "digest")
+    # Texts and names stay out of the join on windows and come back for the pairs that met.
+    told = named.select(*by, "name_id", "keyword", F.md5("keyword").alias("digest"))
+    pairs = met.join(told, [*by, "digest"]).join(texts.select(*by, "text_id", "text"), [*by, "text_id"])
+    return pairs.where(F.contains("text", "keyword")).select(*by, "text_id", "name_id", "keyword")
