@@ -4,6 +4,7 @@ import re
 import pytest
 
 from procweave.llm import decontaminate
+from procweave.llm.common import identified
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -43,7 +44,7 @@ def bench(spark, odd, tmp_path_factory):
 @pytest.mark.parametrize("table", ["odd", "repeated"])
 def test_equal_to_brute_force(request, table, bench, options):
     docs = request.getfixturevalue(table)
-    rows = {r["__r"]: r["text"] for r in docs.selectExpr("monotonically_increasing_id() AS __r", "text").collect()}
+    rows = {r["__r"]: r["text"] for r in identified(docs, "__r").select("__r", "text").collect()}
     want = dict(zip(rows, brute(rows.values(), bench[1])))
     got = {r["rid"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontaminate.report(docs, bench[0], **options).collect()}
     assert got == want

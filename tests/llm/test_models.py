@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from procweave.llm import language, language_model, licence
+from procweave.llm.common import identified
 
 SOUNDS = {"aa": "bako rumi tela nosa", "bb": "schtz ungre pfeil kraft", "cc": "éla ouvre çade tion"}
 
@@ -50,7 +51,7 @@ def test_no_training_rows(spoken, empty):
 
 
 def check_base(docs, held, got):
-    rows = {r["__r"]: r for r in docs.selectExpr("monotonically_increasing_id() AS __r", "doc_id", "text").collect()}
+    rows = {r["__r"]: r for r in identified(docs, "__r").select("__r", "doc_id", "text").collect()}
     words = {i: (r["text"] or "").encode().lower().split() + [None] for i, r in rows.items()}
     count = collections.Counter(w for i, t in words.items() if not held(rows[i]["doc_id"]) for w in t)
     total, distinct = sum(count.values()), len(count)

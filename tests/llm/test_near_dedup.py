@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from procweave.llm import near_dedup
+from procweave.llm.common import identified
 
 
 def brute(rows, k=5):
@@ -27,7 +28,7 @@ def brute(rows, k=5):
 
 
 def rows_of(docs):
-    rows = [(r["__r"], r["doc_id"], r["text"]) for r in docs.selectExpr("monotonically_increasing_id() AS __r", "doc_id", "text").collect()]
+    rows = [(r["__r"], r["doc_id"], r["text"]) for r in identified(docs, "__r").select("__r", "doc_id", "text").collect()]
     return sorted(rows, key=lambda r: (r[1] is None, r[1], r[0]))
 
 

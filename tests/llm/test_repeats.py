@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from procweave.llm import substring_dedup, suffix_dedup, windows
+from procweave.llm.common import identified
 
 
 def by_bytes(docs, width, keep_first):
@@ -38,7 +39,7 @@ def by_words(docs, width):
 
 
 def in_order(docs):
-    rows = [(r["__r"], r["doc_id"], (r["text"] or "").encode()) for r in docs.selectExpr("monotonically_increasing_id() AS __r", "doc_id", "text").collect()]
+    rows = [(r["__r"], r["doc_id"], (r["text"] or "").encode()) for r in identified(docs, "__r").select("__r", "doc_id", "text").collect()]
     return sorted(rows, key=lambda r: (r[1] is None, r[1], r[0]))
 
 

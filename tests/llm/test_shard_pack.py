@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from procweave.llm import pack, shard
+from procweave.llm.common import identified
 
 
 def test_matrix_has_exact_sums():
@@ -96,7 +97,7 @@ def test_best_fit_equals_brute_force():
 @pytest.mark.parametrize("table", ["odd", "repeated"])
 def test_packing_is_whole_and_free_of_conflicts(request, table, group_rows):
     docs = request.getfixturevalue(table)
-    facts = {r["__r"]: r for r in docs.selectExpr("monotonically_increasing_id() AS __r", "doc_id", "text", "source").collect()}
+    facts = {r["__r"]: r for r in identified(docs, "__r").select("__r", "doc_id", "text", "source").collect()}
     got = pack.pack(docs, capacity=64, group_rows=group_rows).collect()
     bins, pieces = {}, {}
     for r in got:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from procweave.llm import topk
+from procweave.llm.common import identified
 
 
 def brute(rows, k, scale=64.0):
@@ -37,7 +38,7 @@ def test_equal_to_brute_force(table, blocks):
     for r in topk.top_k(docs, F.col("vec_id") % 3 == 0, 9, query_block=blocks[0], block=blocks[1]).collect():
         got.setdefault(r["query_rid"], []).append((r["rank"], r["id"], r["score"]))
     want = brute(rows, 9)
-    order = [r["__r"] for r in docs.selectExpr("monotonically_increasing_id() AS __r").collect()]
+    order = [r["__r"] for r in identified(docs, "__r").select("__r").collect()]
     assert {k: sorted(v) for k, v in got.items()} == {order[k]: v for k, v in want.items()}
 
 
