@@ -25,10 +25,11 @@ PAIR = ["rel", "src_type", "src_id", "dst_type", "dst_id"]
 
 
 def store(g: Graph) -> dict[str, DataFrame]:
-    """The graph with its edges as stored tables, for readers of many edge types: a folder per type, and every pair of
-    ends once under ``pairs``."""
-    edges = settle(g["edges"], "rel")
-    return {**g, "edges": edges, "pairs": settle(edges.select(*PAIR).distinct(), "rel")}
+    """The graph with its edges as one stored table for readers of many edge types: a folder per type, and every pair of ends
+    once, with its last condition (see ``upsert_edges``)."""
+    once = g["edges"].groupBy(*PAIR).agg(F.max("condition").alias("condition"))
+    edges = settle(once.select(*g["edges"].columns), "rel")
+    return {**g, "edges": edges, "pairs": edges.select(*PAIR)}
 
 
 def links(g: Graph, rel: str, src: str, dst: str, src_name: str, dst_name: str) -> DataFrame:
