@@ -101,7 +101,8 @@ def find_hits(
 def report(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """Per document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` and ``rid``.
 
-    A repeated id gives one row per input row; a null text gives zero counts.
+    A repeated id gives one row per input row; a null text gives zero counts. A very long text is read as one row. Other columns are not read,
+    whatever their names; an empty table gives no rows.
     """
     base, hits = find_hits(docs, bench, id_col, **options)
     hits = settle(hits)

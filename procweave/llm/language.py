@@ -146,6 +146,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", rows_
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1): ``und`` and 0 for texts that are null or hold no letter, or without a model.
 
     Columns of ``docs`` with these names are replaced; every other column is kept. Of equal scores the first language in order wins.
+    Repeated rows and null ids are judged row by row; very long texts in windows, all of them; an empty table stays empty.
     """
     docs = docs.drop("lang_pred", "score")
     bytes_name, letters_name = fresh(docs, "bytes"), fresh(docs, "letters")

@@ -279,7 +279,8 @@ def fit_and_score(docs: DataFrame, is_held_out, id_col: str = "doc_id", text_col
     """Train on rows without ``is_held_out``, score every row: ``rid``, the id, ``held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     A null text counts as empty and has its end as only token. Rows with equal ids are separate. Without any training row all words are unknown
-    and the model's score uses its even start. Words are told apart by 64-bit fingerprints.
+    and the model's score uses its even start. Words are told apart by 64-bit fingerprints, those of up to eight bytes exactly. A very long text is
+    one part of its own; other columns are not read, whatever their names; an empty table gives no rows.
     """
     source = numbered(docs, F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(is_held_out, F.lit(False)).alias("held"))
     learn = source.filter("NOT held")

@@ -257,7 +257,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_co
     Two documents are linked if 100 * intersection >= 75 * union of their sets of ``k`` lower-cased words; components follow
     links. Texts that are null or without words have an empty set and link with nothing. ``component_id`` is the smallest id in the component
     (null ids count last and give null only among themselves). Rows with equal ids are separate documents; ``kept`` holds for all that
-    carry the smallest id, ``first`` for one of them.
+    carry the smallest id, ``first`` for one of them. A very long text is hashed as a whole, alone in its part; ties in the forest go to the smaller
+    row number. Other columns are not read, whatever their names; an empty table gives no rows.
     """
     source = numbered(docs, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("id"))
     known = settle(sketch(source, k))

@@ -314,7 +314,8 @@ def resample(
     Of the N rows with ``least_words`` words or more the ``floor(percent * N / 100)`` highest scores are drawn, ties to the smaller id (null
     ids last), then to the row that comes first. The noise follows from ``seed`` and the id (a null id counts as an empty one), so repeated
     ids have equal noise; they stay separate rows. Null, empty and wordless texts have no features and weight 0. Without target
-    texts every gain compares with an even spread. Very long texts are read in pieces. Other columns are not touched.
+    texts every gain compares with an even spread. Very long texts are read in pieces. Other columns are not read, whatever their names; an empty
+    table gives no rows.
     """
     source = numbered(docs, F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return _resample(source, target, percent, least_words, seed, buckets, id_col, target_col)

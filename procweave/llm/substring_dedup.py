@@ -43,7 +43,8 @@ def dedup_words(docs: DataFrame, width: int = 20, gram: int | None = None, id_co
     """Per row: ``rid``, the id, ``n_words, n_removed, kept_sha256`` (and ``kept_text`` if asked for).
 
     A word is removed if a window of ``width`` words over it also starts earlier (smaller id, then row, then place).
-    A null text has no words; rows with a null id come last; rows with equal ids are separate documents. ``gram``
+    A null text has no words; rows with a null id come last; rows with equal ids are separate documents. Very long texts are cut in
+    overlapping slices, so no window is lost. Other columns are not read, and an empty table gives no rows. ``gram``
     (default a quarter of ``width``) changes no result.
     """
     source = numbered(docs, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("id"))

@@ -58,7 +58,8 @@ def dedup_bytes(docs: DataFrame, width: int = 200, gram: int | None = None, keep
 
     Every byte covered by a ``width``-byte string that also starts elsewhere is removed; with ``keep_first`` only where
     an earlier start (smaller id, then row, then place) has it. A null text counts as empty; rows with a null id come
-    last; rows with equal ids are separate documents. Ids must be integers. ``gram`` (default about a third of ``width``) sets
+    last; rows with equal ids are separate documents. Very long texts are cut in overlapping slices, so no match is lost. Other columns are not
+    read, and an empty table gives no rows. Ids must be integers. ``gram`` (default about a third of ``width``) sets
     the length of the compared grams and changes no result.
     """
     source = _prepared(docs, id_col, text_col)
