@@ -70,46 +70,37 @@ def heading_lines(documents: DataFrame) -> DataFrame:
     )
 
 
-def heading_sections(documents: DataFrame) -> DataFrame:
-    """A section per heading; lines before the first heading are dropped.
+def _marked(documents: DataFrame) -> DataFrame:
+    """Documents with their lines and headings; positions beside the headings make a section a slice between two of them."""
+    # A one-element explode keeps a list from being worked out anew wherever it is used.
+    once = lambda c: F.explode(F.array(c))
+    staged = documents.select("doc_id", "pages", page_count().alias("page_count"), once(_lines(F.col("pages"))).alias("lines"))
+    heads = F.filter(
+        F.transform("lines", lambda x, i: F.struct(i.alias("at"), x["page"].alias("page"), x["line"].alias("line"), x["level"].alias("level"))),
+        lambda h: h["level"].isNotNull(),
+    )
+    return staged.select("*", once(heads).alias("heads"))
 
-    The heading is also the first content line. ``page_to`` is the page before the next heading, but
-    never before ``page_from``.
-    """
-    staged = documents.select("doc_id", page_count().alias("page_count"), _lines(F.col("pages")).alias("lines"))
-    # Positions are kept beside the headings so that a section is a slice between two of them.
-    marked = staged.withColumn(
-        "heads",
-        F.filter(
-            F.transform("lines", lambda x, i: F.struct(i.alias("at"), x["page"].alias("page"), x["line"].alias("line"), x["level"].alias("level"))),
-            lambda h: h["level"].isNotNull(),
-        ),
-    ).where(F.size("heads") > 0)
-
-    def section(h: Column, k: Column) -> Column:
-        # ``get`` gives null past the last heading.
-        following = F.get(F.col("heads"), k + 1)
-        end = F.coalesce(following["at"], F.size("lines"))
-        content = F.array_join(
-            F.transform(F.slice(F.col("lines"), h["at"] + 1, end - h["at"]), lambda x: F.concat(x["line"], F.lit("\n"))), ""
-        )
-        return F.struct(
-            (k + 1).cast("int").alias("section_no"),
-            h["line"].alias("heading"),
-            h["level"].alias("level"),
-            h["page"].alias("page_from"),
-            F.coalesce(F.greatest(h["page"], following["page"] - 1), F.greatest(h["page"], F.col("page_count"))).alias("page_to"),
-            content.alias("content"),
-        )
 
-    return marked.select("doc_id", F.inline(F.transform("heads", section)))
+def _heading_section(h: Column, k: Column) -> Column:
+    # ``get`` gives null past the last heading.
+    following = F.get(F.col("heads"), k + 1)
+    end = F.coalesce(following["at"], F.size("lines"))
+    content = F.array_join(
+        F.transform(F.slice(F.col("lines"), h["at"] + 1, end - h["at"]), lambda x: F.concat(x["line"], F.lit("\n"))), ""
+    )
+    return F.struct(
+        (k + 1).cast("int").alias("section_no"),
+        h["line"].alias("heading"),
+        h["level"].alias("level"),
+        h["page"].alias("page_from"),
+        F.coalesce(F.greatest(h["page"], following["page"] - 1), F.greatest(h["page"], F.col("page_count"))).alias("page_to"),
+        content.alias("content"),
+    )
 
 
-def whole_document_sections(documents: DataFrame) -> DataFrame:
-    """One section over all pages for each document in which no line is a heading."""
-    has_heading = F.exists(_lines(F.col("pages")), lambda x: x["level"].isNotNull())
-    return documents.where(~has_heading).select(
-        "doc_id",
+def _whole_document() -> Column:
+    return F.struct(
         F.lit(1).alias("section_no"),
         F.lit(fixed.WHOLE_DOCUMENT_HEADING).alias("heading"),
         F.lit(1).alias("level"),
@@ -119,9 +110,25 @@ def whole_document_sections(documents: DataFrame) -> DataFrame:
     )
 
 
+def heading_sections(documents: DataFrame) -> DataFrame:
+    """A section per heading; lines before the first heading are dropped.
+
+    The heading is also the first content line. ``page_to`` is the page before the next heading, but
+    never before ``page_from``.
+    """
+    return _marked(documents).where(F.size("heads") > 0).select("doc_id", F.inline(F.transform("heads", _heading_section)))
+
+
+def whole_document_sections(documents: DataFrame) -> DataFrame:
+    """One section over all pages for each document in which no line is a heading."""
+    has_heading = F.exists(_lines(F.col("pages")), lambda x: x["level"].isNotNull())
+    return documents.where(~has_heading).select("doc_id", F.inline(F.array(_whole_document())))
+
+
 def split_sections(documents: DataFrame) -> DataFrame:
-    """Sections by heading, or the whole document where there is none."""
-    return heading_sections(documents).unionByName(whole_document_sections(documents))
+    """Sections by heading, or the whole document where there is none; lines are split and tested once."""
+    sections = F.when(F.size("heads") > 0, F.transform("heads", _heading_section)).otherwise(F.array(_whole_document()))
+    return _marked(documents).select("doc_id", F.inline(sections))
 
 
 def boundary_sections(documents: DataFrame, boundaries: DataFrame) -> DataFrame:
