@@ -207,12 +207,13 @@ def _words(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(or_blank(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def name_index(entities: DataFrame) -> DataFrame:
-    """Token table (token, entity_id, tf, df, n) of (entity_id, text): the index behind name search."""
-    postings = (
-        entities.select("entity_id", F.explode(_words("text")).alias("token"))
-        .groupBy("token", "entity_id").agg(F.count(F.lit(1)).alias("tf"))
-    )
+def name_index(entities: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """Token table (token, entity_id, tf, df, n) of (entity_id, text): the index behind name search, or its part for the words of
+    ``queries`` (text), which are sorted out before anything is counted."""
+    said = entities.select("entity_id", F.explode(_words("text")).alias("token"))
+    if queries is not None:
+        said = said.join(queries.select(F.explode(_words("text")).alias("token")).distinct(), "token", "left_semi")
+    postings = said.groupBy("token", "entity_id").agg(F.count(F.lit(1)).alias("tf"))
     frequency = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     # A global aggregate is one row, so it can always be broadcast.
     total = entities.agg(F.count(F.lit(1)).alias("n")).withColumn("__one", F.lit(1))
@@ -277,7 +278,7 @@ def resolve(
     without candidates is created.
     """
     found = search_names(
-        entities.select(F.col("entity_id").alias("query_id"), "text"), name_index(store.select("entity_id", "text")), candidates
+        entities.select(F.col("entity_id").alias("query_id"), "text"), name_index(store.select("entity_id", "text"), entities), candidates
     ).select(F.col("query_id").alias("new_id"), F.col("entity_id").alias("match_id"))
     new = entities.select(F.col("entity_id").alias("new_id"), F.col("embedding").alias("__a"))
     old = store.select(F.col("entity_id").alias("match_id"), F.col("embedding").alias("__b"))

@@ -123,7 +123,7 @@ hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 def c5(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entity_id"), "text"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return vectors.search_names(asked, vectors.name_index(docs))
+    return vectors.search_names(asked, vectors.name_index(docs, asked))
 
 
 _RESOLVED = f"""
