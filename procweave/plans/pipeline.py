@@ -75,7 +75,7 @@ def merge_entities(g: dict[str, DataFrame]) -> dict[str, DataFrame]:
     guessed = graph.infer_task_roles(g["task"], named, g["role"].withColumn("org_unit", F.lit("")), "role_id")
     g["task_role"] = settle(named.unionByName(guessed).distinct())
     classes = settle(resolve.task_classes(g["task"], g["task_role"]))
-    leaders = settle(resolve.merge_tasks_greedy(classes, resolve.task_pairs(classes)))
+    leaders = settle(resolve.merge_tasks_greedy(classes))
     merged, tasks = resolve.merge_task_content(g["task"], leaders)
     tasks = settle(tasks)
     g["task"], g["task_role"] = settle(merged), settle(resolve.carry_task_roles(g["task_role"], tasks))
