@@ -116,11 +116,13 @@ def candidates(rows: DataFrame) -> DataFrame:
     """Candidate pairs ``a < b`` of ``rows`` (see ``met``, settled) with the number of trees (and ways) that propose them."""
     few = _within(rows.filter(F.col("c") <= REGION).withColumn("cut", F.lit(0).cast("long")))
     dense = rows.filter(F.col("c") > REGION)
-    for depth in range(LEAST + 1, DEPTH + 1):
-        cut = F.shiftright("rest", 16 * (DEPTH - depth))
-        dense = dense.withColumn(f"q{depth}", cut)
-        counts = dense.groupBy("head", f"q{depth}").agg(F.count("*").alias(f"c{depth}"))
-        dense = dense.join(counts.hint("merge"), ["head", f"q{depth}"])
+    # Regions are counted over their full prefixes, which copies share, and come back to the rows in one join.
+    full = dense.groupBy("head", "rest").agg(F.count("*").alias(f"c{DEPTH}")).withColumn(f"q{DEPTH}", F.col("rest"))
+    for depth in range(LEAST + 1, DEPTH):
+        full = full.withColumn(f"q{depth}", F.shiftright("rest", 16 * (DEPTH - depth)))
+        counts = full.groupBy("head", f"q{depth}").agg(F.sum(f"c{DEPTH}").alias(f"c{depth}"))
+        full = full.join(counts.hint("merge"), ["head", f"q{depth}"])
+    dense = dense.join(full.hint("merge"), ["head", "rest"])
     dense = settle(dense)
     deeper = range(LEAST + 1, DEPTH + 1)
     # The depth at which a row's region is small enough; none where even full depth is not.
