@@ -45,7 +45,7 @@ def anchors(names: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         windows = F.when(F.col("size") == size, F.array_distinct(F.flatten(F.transform("ends", lambda e: _windows(e, size))))).otherwise(windows)
     held = kw.select(*by, "digest", F.explode(windows).alias("window"))
     spread = held.groupBy(*by, "window").agg(F.count(F.lit(1)).alias("n"))
-    best = held.join(spread, [*by, "window"]).groupBy(*by, "digest").agg(F.min(F.struct("n", "window")).alias("b"))
+    best = held.join(spread.hint("merge"), [*by, "window"]).groupBy(*by, "digest").agg(F.min(F.struct("n", "window")).alias("b"))
     return best.select(*by, F.col("b.window").alias("window"), "digest")
 
 
@@ -60,8 +60,9 @@ def contained_in(texts: DataFrame, names: DataFrame, shortest: int = 1, by: Sequ
     sizes = sorted(named.where("keyword <> ''").agg(F.collect_set(_class(F.col("keyword")))).first()[0])
     rolled = F.concat(*[_windows(F.col("text"), s) for s in sizes]) if sizes else F.array().cast("array<string>")
     windows = texts.select(*by, "text_id", F.explode(rolled).alias("window"))
-    met = windows.join(anchors(named, by), [*by, "window"]).select(*by, "text_id", "digest")
+    # Sorted merges, split where skewed: texts and names are small as files and large as tables of windows, too large for the driver.
+    met = windows.join(anchors(named, by).hint("merge"), [*by, "window"]).select(*by, "text_id", "digest")
     # Texts and names stay out of the join on windows and come back for the pairs that met.
     told = named.select(*by, "name_id", "keyword", F.md5("keyword").alias("digest"))
-    pairs = met.join(told, [*by, "digest"]).join(texts.select(*by, "text_id", "text"), [*by, "text_id"])
+    pairs = met.join(told.hint("merge"), [*by, "digest"]).join(texts.select(*by, "text_id", "text").hint("merge"), [*by, "text_id"])
     return pairs.where(F.contains("text", "keyword")).select(*by, "text_id", "name_id", "keyword")

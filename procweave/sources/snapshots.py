@@ -100,19 +100,19 @@ def integrated_of_task(snapshots: DataFrame, runs: DataFrame, tasks: DataFrame)
     from procweave.operators.contain import contained_in
 
     asked = tasks.select("task_id").where("task_id <> ''").distinct()
-    exact = asked.join(runs.select("run_id", "task_id"), "task_id").select("task_id", "run_id", F.lit(1).alias("rank"))
+    exact = asked.join(runs.select("run_id", "task_id").hint("merge"), "task_id").select("task_id", "run_id", F.lit(1).alias("rank"))
     # Every dash of a run id ends a prefix that may be a task id, so the lookup stays an equi join.
     parts = runs.select("run_id", F.split("run_id", "-").alias("p")).where(F.size("p") > 1)
     prefixes = parts.select(
         "run_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda n: F.array_join(F.slice("p", F.lit(1), n), "-"))).alias("task_id")
     )
-    prefix = asked.join(prefixes, "task_id").select("task_id", "run_id", F.lit(2).alias("rank"))
+    prefix = asked.join(prefixes.hint("merge"), "task_id").select("task_id", "run_id", F.lit(2).alias("rank"))
     told = contained_in(
         runs.where("metadata IS NOT NULL").select(F.col("run_id").alias("text_id"), F.col("metadata").alias("text")),
         asked.select(F.col("task_id").alias("name_id"), F.col("task_id").alias("keyword")),
     ).select(F.col("name_id").alias("task_id"), F.col("text_id").alias("run_id"), F.lit(3).alias("rank"))
     hits = exact.unionByName(prefix).unionByName(told)
-    found = hits.join(snapshots.where("snapshot_type = 'integrated'").drop("proc_id"), "run_id")
+    found = hits.join(snapshots.where("snapshot_type = 'integrated'").drop("proc_id").hint("merge"), "run_id")
     return first_per_key(found, ["task_id"], ["rank", F.desc("created_at"), F.desc("run_id")])
 
 
