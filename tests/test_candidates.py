@@ -63,6 +63,17 @@ def test_flows_and_synthetic_gateway(spark):
     assert ("ask 여부 판단", "Pay", "조건 (자동 보강)인 경우") in flows and ("Ask twice", "Pay", "") in flows
 
 
+def test_names_of_a_section_are_compared_once(spark):
+    """Both ends of the flows read one table of found names; only conditional flows of a fork to tasks give way."""
+    parsed = _parsed(spark, FIRST)
+    tasks, gateways = c.to_tasks(parsed, c.to_processes(parsed)), c.to_gateways(parsed, c.to_processes(parsed))
+    flows = c.resolve_flow_ends(parsed, tasks, gateways)
+    assert "contains(" not in flows._jdf.queryExecution().optimizedPlan().toString().lower()
+    marked = spark.createDataFrame([("s0", "doc", 0, i, "task", f, k, t, x) for i, (f, k, t, x) in enumerate([("a", "task", "b", "x"), ("a", "task", "c", ""), ("b", "gateway", "g", "y")])], flows.schema)
+    rewritten = c.synthesize_gateways(parsed, tasks, gateways, marked)[1]
+    assert {("a", "b"), ("a", "c"), ("b", "g")} <= {(x.from_id, x.to_id) for x in rewritten.collect()}
+
+
 def test_json_column_readings(spark):
     raw = ['{"a": 1}', "text ```json\n{\"a\": 1}\n``` more", "so {\"a\":\n 1} done", "none", None]
     df = spark.createDataFrame([(x,) for x in raw], "t string")
