@@ -50,6 +50,22 @@ def test_common_words_do_not_lead(spark, names):
     assert [r["leads"] for r in rows if r["query_id"] == 98 and r["token"] == "common"] == [True]
 
 
+@pytest.mark.parametrize("bucket_rows", [vectors.BUCKET_ROWS, 20])
+def test_approximate_join_equals_all_pairs_that_share_a_key(spark, monkeypatch, bucket_rows):
+    """Buckets of any size, whole or in blocks, give each pair once with the score of ``cosine``; no table of candidate pairs is made."""
+    monkeypatch.setattr(vectors, "TILE", 16)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(300)] + [(300, [0.0] * 8)]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>")
+    joined = vectors.ann_join(v, 0.5, bands=3, bits=2, bucket_rows=bucket_rows)
+    m = np.array([x for _, x in rows])
+    keys = (m @ np.random.default_rng(7).standard_normal((8, 6)) > 0).reshape(-1, 3, 2) @ np.array([1, 2])
+    a, b = (v.select(F.col("id").alias(f"{s}_id"), F.col("embedding").alias(s)) for s in ("left", "right"))
+    near = a.join(b, F.col("left_id") < F.col("right_id")).select("left_id", "right_id", F.round(vectors.cosine("left", "right"), 9).alias("score")).where("score >= 0.5").collect()
+    want = sorted((x.left_id, x.right_id, x.score) for x in near if (keys[x.left_id] == keys[x.right_id]).any())
+    assert sorted(map(tuple, joined.collect())) == want and 0 < len(want) < len(near)
+
+
 def test_approximate_join_reaches_its_recall(spark):
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((40, 16))
