@@ -114,6 +114,19 @@ def test_end_event_is_linked_from_the_last_activity(spark):
     assert [(r.source, r.target) for r in flows.connect_end_events(nodes, seqs).collect()] == [("b", "end")]
 
 
+def test_skills_of_processes_with_none_one_and_several_agents(spark):
+    """Own and agents' skills of a process once each, named by every node row; unnamed skills are left out."""
+    own = [("p0", "s1"), ("p1", "s1"), ("p1", "s4"), ("p2", "s1"), ("p2", "gone")]
+    uses = [("a", "s1"), ("a", "s2"), ("b", "s2"), ("b", "s3"), ("b", "gone")]
+    agents = [("p1", "a"), ("p2", "a"), ("p2", "b")]
+    rows = [("agent", a, "USES_SKILL", "skill", s) for a, s in uses * 2] + [("process", p, "HAS_SKILL", "skill", s) for p, s in own * 2]
+    edges = spark.createDataFrame([(*x, "") for x in rows], schemas.EDGES)
+    names = [(f"s{i}", f"skill {i}") for i in range(1, 5)] + [("s2", "again")]
+    got = sorted(map(tuple, q._skills_of({"edges": edges}, spark.createDataFrame(agents, "proc_id string, id string"), spark.createDataFrame(names, "id string, name string")).collect()))
+    held = set(own) | {(p, s) for p, a in agents for b, s in uses if a == b}
+    assert got == sorted((p, s, n) for p, s in held for k, n in names if k == s)
+
+
 def test_unknown_relations_are_refused(spark):
     links = spark.createDataFrame([(1, 2)], "a int, b int")
     try:
