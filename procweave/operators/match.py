@@ -67,9 +67,11 @@ def match_roles(roles: DataFrame, users: DataFrame, agents_only: bool = False) -
     distinct = keys.select(F.col("key").alias("key_id"), "key").distinct()
     who = F.struct(F.when(F.col("is_agent"), 0).otherwise(1).alias("pool"), "pos", "id")
     pool = users.where("is_agent") if agents_only else users
+    # Of the users of one name only the first can be the best, so each name is compared once.
     names = union_all([pool.select(who.alias("who"), compact(f).alias("name")) for f in NAME_FIELDS]).where("name <> ''")
+    names = names.groupBy("name").agg(F.min("who").alias("who"))
     exact = distinct.join(names, F.col("key") == F.col("name")).select("key_id", "who", F.lit(0).alias("kind"))
-    near = _either_way(distinct, names.select(F.col("who").alias("name_id"), "name")).select("key_id", F.col("name_id").alias("who"), F.lit(1).alias("kind"))
+    near = _either_way(distinct, names.select(F.col("name").alias("name_id"), "name")).withColumnRenamed("name_id", "name").join(names, "name").select("key_id", "who", F.lit(1).alias("kind"))
     hits = exact.unionByName(near)
     best = hits.groupBy("key_id").agg(F.min(F.struct(F.col("who.pool").alias("pool"), "kind", F.col("who.pos").alias("pos"), F.col("who.id").alias("id"))).alias("b"))
     return keys.join(best, keys.key == best.key_id).select("role_id", F.col("b.id").alias("user_id"), (F.col("b.pool") == 0).alias("is_agent"), (F.col("b.kind") == 0).alias("exact"))
@@ -89,12 +91,15 @@ def agent_candidates(roles: DataFrame, agents: DataFrame, limit: int | None = No
     distinct = keys.select(F.col("key").alias("key_id"), "key").distinct()
     who = F.struct("pos", "id")
     names = union_all([agents.select(who.alias("who"), compact(f).alias("name")) for f in PROFILE_FIELDS if f in agents.columns]).where("name <> ''").distinct()
-    exact = distinct.join(names, F.col("key") == F.col("name")).select("key_id", "who", F.lit(1.0).alias("score"))
-    near = _either_way(distinct, names.select(F.col("who").alias("name_id"), "name")).select("key_id", F.col("name_id").alias("who"), F.lit(0.8).alias("score"))
+    # Names that many agents share are compared once; the agents come in when the names' scores stand.
+    texts = names.select("name").distinct()
+    exact = distinct.join(texts, F.col("key") == F.col("name")).select("key_id", "name", F.lit(1.0).alias("score"))
+    near = _either_way(distinct, texts.select(F.col("name").alias("name_id"), "name")).select("key_id", F.col("name_id").alias("name"), F.lit(0.8).alias("score"))
     ends = distinct.where(F.length("key") >= 3).select("key_id", F.explode(F.array_distinct(F.array(F.substring("key", 1, 3), F.right("key", F.lit(3))))).alias("keyword"))
-    part = contained_in(names.select(F.col("who").alias("text_id"), F.col("name").alias("text")), ends.select(F.col("key_id").alias("name_id"), "keyword"), shortest=3)
-    part = part.select(F.col("name_id").alias("key_id"), F.col("text_id").alias("who"), F.lit(0.5).alias("score"))
-    scored = union_all([exact, near, part]).groupBy("key_id", "who").agg(F.max("score").alias("score"))
+    part = contained_in(texts.select(F.col("name").alias("text_id"), F.col("name").alias("text")), ends.select(F.col("key_id").alias("name_id"), "keyword"), shortest=3)
+    part = part.select(F.col("name_id").alias("key_id"), F.col("text_id").alias("name"), F.lit(0.5).alias("score"))
+    by_name = union_all([exact, near, part]).groupBy("key_id", "name").agg(F.max("score").alias("score"))
+    scored = by_name.join(names, "name").groupBy("key_id", "who").agg(F.max("score").alias("score"))
     top = top_per_key(scored, ["key_id"], [F.desc("score"), "who"], limit, "rank").select("key_id", F.col("who.id").alias("agent_id"), "score", "rank")
     # The fallback list is a fixed, small number of agents.
     first = agents.orderBy("pos", "id").limit(fallback).select(F.col("id").alias("agent_id"), "pos").withColumn("__one", F.lit(1))
@@ -142,9 +147,13 @@ def pick_agents(activities: DataFrame, users: DataFrame, allow_human: bool = Tru
     by_role = match_roles(a.where("NOT __human").select(F.col("activity_id").alias("role_id"), F.col("role").alias("name")), users).where("is_agent")
     by_role = by_role.select(F.col("role_id").alias("activity_id"), F.col("user_id").alias("agent_id"), F.lit(1).alias("rank"))
     open_text = a if allow_human else a.where("NOT __human")
-    names = union_all([agents.select(F.struct("pos", "id").alias("name_id"), compact(f).alias("name")) for f in NAME_FIELDS])
-    near = _either_way(open_text.select(F.col("activity_id").alias("key_id"), F.col("__key").alias("key")), names)
-    by_text = near.groupBy("key_id").agg(F.min("name_id").alias("n")).select(F.col("key_id").alias("activity_id"), F.col("n.id").alias("agent_id"), F.lit(2).alias("rank"))
+    # Equal texts and equal names are compared once; the first agent of a name stands for all.
+    names = union_all([agents.select(F.struct("pos", "id").alias("who"), compact(f).alias("name")) for f in NAME_FIELDS]).where("name <> ''")
+    names = names.groupBy("name").agg(F.min("who").alias("who"))
+    told = open_text.select("activity_id", "__key").where("__key <> ''")
+    near = _either_way(told.select(F.col("__key").alias("key_id"), F.col("__key").alias("key")).distinct(), names.select(F.col("name").alias("name_id"), "name"))
+    of_text = near.withColumnRenamed("name_id", "name").join(names, "name").groupBy(F.col("key_id").alias("__key")).agg(F.min("who").alias("n"))
+    by_text = told.join(of_text, "__key").groupBy("activity_id").agg(F.min("n").alias("n")).select("activity_id", F.col("n.id").alias("agent_id"), F.lit(2).alias("rank"))
     best = first_per_key(union_all([kept, by_role, by_text]), ["activity_id"], ["rank", "agent_id"])
     return activities.select("activity_id").join(best, "activity_id", "left")
 

@@ -127,6 +127,26 @@ def test_skills_of_processes_with_none_one_and_several_agents(spark):
     assert got == sorted((p, s, n) for p, s in held for k, n in names if k == s)
 
 
+def test_equal_names_are_compared_once(spark, monkeypatch):
+    """Names that many agents share and texts that many activities share come to the containment once each."""
+    seen = []
+    plain = match._either_way
+
+    def counted(keys, names):
+        seen.extend((d.count(), d.select(c).distinct().count()) for d, c in ((keys, "key"), (names, "name")))
+        return plain(keys, names)
+
+    monkeypatch.setattr(match, "_either_way", counted)
+    users = spark.createDataFrame([(i, i, f"user {i}", "buyer" if i % 2 else "clerk", "desk", i > 3) for i in range(12)], "id int, pos int, username string, role string, alias string, is_agent boolean")
+    roles = spark.createDataFrame([(i, n) for i, n in enumerate(["buyer", "chief clerk", "user 1", "none", "desk"])], "role_id int, name string")
+    assert {(x.role_id, x.user_id, x.exact) for x in match.match_roles(roles, users).collect()} == {(0, 5, True), (1, 4, False), (2, 10, False), (4, 4, True)}
+    scores = {(x.role_id, x.agent_id): x.score for x in match.agent_candidates(roles, users.where("is_agent")).collect()}
+    assert {a for r, a in scores if r == 0} == {5, 7, 9, 11} and {scores[4, a] for a in range(4, 12)} == {1.0} and scores[2, 10] == 0.8 and scores[2, 4] == 0.5
+    acts = spark.createDataFrame([(i, "ask the clerk", "", "", "", None) for i in range(6)], "activity_id int, name string, role string, instruction string, description string, agent int")
+    assert {(x.activity_id, x.agent_id, x.rank) for x in match.pick_agents(acts, users).collect()} == {(i, 4, 2) for i in range(6)}
+    assert len(seen) == 8 and all(n == distinct for n, distinct in seen)
+
+
 def test_unknown_relations_are_refused(spark):
     links = spark.createDataFrame([(1, 2)], "a int, b int")
     try:
