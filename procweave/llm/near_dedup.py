@@ -1,8 +1,8 @@
 """MinHash near-duplicate detection with an LSH forest, and exact confirmation on the full shingle sets.
 
 Equal sets collapse to one node first. Each of ``TREES`` trees orders the nodes by ``DEPTH`` min-hashes. Nodes that
-share a prefix are a region; a region with many nodes is read at a greater depth, so depth adapts to density, and
-neighbours by longest common prefix in the sorted order are candidates too. Where even the full depth leaves many nodes
+share a prefix are a region; a region with many nodes is read at a greater depth, so depth adapts to density, and where
+one region ends and the next begins in the sorted order, neighbours by longest common prefix are candidates too. Where even the full depth leaves many nodes
 together, its most central node (in the most such regions) is compared with all of them.
 
 Depth makes regions small but parts pairs. So nodes of regions with many nodes are also joined on the full sets: two sets
@@ -24,8 +24,8 @@ from procweave.llm.windows import BASE, MIX, grams, mix, symbols, word_print
 TREES, DEPTH, LEAST = 32, 6, 3
 #: Nodes of a region that are compared with one another; neighbours taken in larger ones; rows ordered in one block.
 REGION, NEAR, BLOCK = 16, 4, 5_000
-#: Nodes that are read to learn which shingles are frequent, counters of shingles, and postings of a shingle in one part.
-SAMPLE, COUNTERS, PART = 20_000, 1 << 20, 1_024
+#: Counters of shingles, and postings of a shingle in one part.
+COUNTERS, PART = 1 << 20, 1_024
 LAST = 2**63 - 1
 FACTORS = mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
 #: Words handled at once: small enough for the hash passes to stay in the processor's cache.
@@ -136,9 +136,11 @@ def candidates(rows: DataFrame) -> DataFrame:
     block = block.otherwise(F.col("rest") * 8 + 7)
     salt = F.when(F.col(f"c{DEPTH}") > BLOCK, F.pmod(F.xxhash64("node"), F.ceil(F.col(f"c{DEPTH}") / BLOCK))).otherwise(F.lit(0).cast("long"))
     order = Window.partitionBy("head", "block", "salt").orderBy("rest", "node")
-    near = dense.select("head", block.alias("block"), salt.alias("salt"), "rest", "node", "n").select(
-        "node", "n", F.array(*[F.lag(F.struct("node", "n"), i).over(order) for i in range(1, NEAR + 1)]).alias("before")
-    ).select("node", "n", F.explode("before").alias("o")).filter("o IS NOT NULL").select(F.col("o.node").alias("a"), F.col("node").alias("b"), F.col("o.n").alias("na"), F.col("n").alias("nb"))
+    # Nodes of one region meet in full or through its central node, so only the first one of a region looks back.
+    region = F.coalesce(*[F.when(depth == d, F.col(f"q{d}") * 8 + d) for d in deeper], F.col("rest") * 8 + 7)
+    near = dense.select("head", block.alias("block"), salt.alias("salt"), "rest", "node", "n", region.alias("region")).select(
+        "node", "n", "region", F.lag("region").over(order).alias("last"), F.array(*[F.lag(F.struct("node", "n"), i).over(order) for i in range(1, NEAR + 1)]).alias("before")
+    ).filter("region <> last").select("node", "n", F.explode("before").alias("o")).filter("o IS NOT NULL").select(F.col("o.node").alias("a"), F.col("node").alias("b"), F.col("o.n").alias("na"), F.col("n").alias("nb"))
     hot = dense.filter(F.col(f"c{DEPTH}") > REGION).select("head", "rest", "node", "n", F.col(f"c{DEPTH}").alias("size"))
     central = hot.groupBy("node").agg(F.sum("size").alias("weight"))
     pivots = hot.join(central.hint("merge"), "node").groupBy("head", "rest").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"), F.col("n").alias("na"))).alias("p"))
@@ -167,7 +169,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
 
 def frequencies(sets: DataFrame) -> np.ndarray:
-    """Counters of the shingles in a bounded sample of ``sets`` (node, s); a shingle's counter is given by its lowest bits."""
+    """Counters of the shingles of all ``sets`` (node, s); a shingle's counter is given by its lowest bits."""
 
     def tally(batches):
         total = np.zeros(COUNTERS, np.int64)
@@ -177,9 +179,7 @@ def frequencies(sets: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "c"])
 
-    share = min(1.0, SAMPLE / max(1, sets.count()))
-    drawn = sets.filter(F.xxhash64("node") / F.lit(2.0**64) + 0.5 <= share).select("s")
-    counted = drawn.mapInArrow(tally, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).toPandas()
+    counted = sets.select("s").mapInArrow(tally, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).toPandas()
     out = np.zeros(COUNTERS, np.int32)
     out[counted["at"]] = np.minimum(counted["c"], 2**31 - 1)
     return out

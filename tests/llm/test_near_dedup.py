@@ -78,6 +78,17 @@ def test_groups_of_many_sizes_and_a_dense_star(write):
     check(write([(i, t, "en", "s") for i, t in enumerate(texts)]))
 
 
+def test_neighbours_are_taken_between_regions_only(spark):
+    """Three hundred nodes of one prefix and forty of others in a head: each region looks back once, not each node."""
+    rows = [(1, 5, i, 10, 340) for i in range(300)] + [(1, (i + 10) << 32, 300 + i, 10, 340) for i in range(40)]
+    pairs = near_dedup.candidates(spark.createDataFrame(rows, "head long, rest long, node long, n int, c long")).collect()
+    inner = [(p["a"], p["b"]) for p in pairs if p["b"] < 300]
+    # A star around one node of the dense prefix, and nothing else within it.
+    assert len(inner) == 299 and len(set.intersection(*map(set, inner))) == 1
+    outer = [(p["a"], p["b"]) for p in pairs if p["b"] >= 300]
+    assert {b for _, b in outer} == set(range(300, 340)) and len(outer) == 40 * near_dedup.NEAR
+
+
 def test_estimates_follow_similarity():
     rng = np.random.default_rng(0)
     whole = rng.integers(0, 2**63, 1000, dtype=np.uint64)
