@@ -97,34 +97,31 @@ def _known(spark: SparkSession) -> DataFrame:
 LIKENESS = "aggregate(forms, 0D, (a, f) -> greatest(a, size(array_intersect(f, bigrams)) / size(f)))"
 
 
-def _drawn(docs: DataFrame, cued: bool, wanted: int) -> DataFrame:
-    """A bounded sample of distinct passages and their hash ``h``, of the texts below a bound of their hash."""
-    texts = docs.filter(F.col("text").rlike(CUES)) if cued else docs
-    share = min(1.0, wanted / max(1, texts.count()))
-    texts = texts.filter(F.xxhash64("text") / F.lit(2.0**64) + 0.5 <= share)
-    return settle(passages(texts, cued=cued).filter("passage <> ''").select("passage", F.xxhash64("passage").alias("h")).distinct().orderBy("h", "passage").limit(wanted))
+def train(docs: DataFrame, features: int = 1 << 14) -> tuple[PipelineModel, float]:
+    """The classifier and its threshold, from the templates and all distinct passages with a cue and no template.
 
-
-def train(docs: DataFrame, negatives: int = 1500, features: int = 1 << 14) -> tuple[PipelineModel, float]:
-    """The classifier and its threshold, from the templates and bounded samples of passages without a cue and with a cue but no template.
-
-    ``docs`` (rid, text). Statements are also put between words of the corpus. The threshold is the 99th percentile of the
-    families' probability over held-out passages that hold a cue but no template, and 0.5 at least.
+    ``docs`` (rid, text). Two thirds of the passages, by a hash, are examples of no family; over the others the threshold is the 99th percentile of the
+    families' probability, and 0.5 at least. Passages without a cue are never scored, so none is an example; statements are also put
+    between the first words of four of them.
     """
     spark = docs.sparkSession
-    plain = _drawn(docs, False, negatives)
-    stated = _rows(spark, templates())
-    context = plain.orderBy("h").limit(4).select(F.concat_ws(" ", F.slice(F.split("passage", " "), 1, 8)).alias("before"))
+    stated = settle(_rows(spark, templates()))
+    # All forms of all families as one row.
+    forms = _grams(stated).agg(F.collect_set("bigrams").alias("forms"))
+    every = passages(docs, cued=True).filter("passage <> ''").select("passage").distinct()
+    cued = settle(_grams(every).crossJoin(F.broadcast(forms)).filter(F.expr(LIKENESS) < 0.75).select("passage", F.xxhash64("passage").alias("h")))
+    plain = passages(docs, cued=False).filter("passage <> ''").select("passage", F.xxhash64("passage").alias("h"))
+    # The first by their hash: every task keeps a short list, so no passage is shuffled.
+    context = settle(plain.orderBy("h", "passage").limit(64).distinct().orderBy("h", "passage").limit(4).select(F.concat_ws(" ", F.slice(F.split("passage", " "), 1, 8)).alias("before")))
     mixed = stated.crossJoin(F.broadcast(context)).select("family", F.concat_ws(" ", "before", "passage").alias("passage"))
-    nearest = _grams(_drawn(docs, True, negatives)).crossJoin(F.broadcast(_known(spark).select("forms"))).groupBy("h", "passage").agg(F.max(F.expr(LIKENESS)).alias("likeness"))
-    cued = settle(nearest.filter("likeness < 0.75").select("passage", "h"))
-    none = plain.unionByName(cued.filter("pmod(h, 3) > 0")).select(F.lit(UNKNOWN).alias("family"), "passage").unionByName(_rows(spark, [(UNKNOWN, s) for s in NO_FAMILY]))
+    apart = _rows(spark, [(UNKNOWN, s) for s in NO_FAMILY])
+    none = cued.filter("pmod(h, 3) > 0").select(F.lit(UNKNOWN).alias("family"), "passage").unionByName(apart)
     examples = _grams(stated.unionByName(mixed).unionByName(none))
     label = F.array_position(F.array(*map(F.lit, NAMES)), F.col("family")) - 1
     ready = settle(examples.select(label.cast("double").alias("label"), "grams"))
     steps = [HashingTF(inputCol="grams", outputCol="features", numFeatures=features, binary=True), LogisticRegression(maxIter=60, regParam=1e-4, family="multinomial")]
     model = Pipeline(stages=steps).fit(ready)
-    held = model.transform(_grams(cued.filter("pmod(h, 3) = 0").join(_rows(spark, [(UNKNOWN, s) for s in NO_FAMILY]).select("passage"), "passage", "left_anti")))
+    held = model.transform(_grams(cued.filter("pmod(h, 3) = 0").join(apart.select("passage"), "passage", "left_anti")))
     bar = held.select((1 - vector_to_array("probability")[0]).alias("b")).agg(F.percentile_approx("b", 0.99, 10_000)).first()[0]
     return model, max(0.5, bar or 0.5)
 

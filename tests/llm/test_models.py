@@ -146,6 +146,23 @@ def test_all_licences_of_a_line(write):
     assert {got[i] for i in range(50, 90)} == {("", 0, 1)}
 
 
+def test_all_passages_with_a_cue_are_learnt_from(write, monkeypatch):
+    """Two thirds of the distinct passages with a cue are examples, the others give the threshold; repeats count once."""
+    seen, put = {}, licence.settle
+
+    def kept(df):
+        out = put(df)
+        seen[tuple(out.columns)] = out
+        return out
+
+    monkeypatch.setattr(licence, "settle", kept)
+    docs = write([(i, f"The license fee number w{i % 2100} is due in w{i % 2100 * 7}", None, None) for i in range(2400)])
+    licence.train(docs.select(F.col("doc_id").alias("rid"), "text"))
+    assert seen["passage", "h"].count() == 2100
+    unknown = seen["label", "grams"].filter("label = 0").count() - len(licence.NO_FAMILY)
+    assert unknown == seen["passage", "h"].filter("pmod(h, 3) > 0").count() > 1300
+
+
 def test_every_template_has_a_cue_and_its_own_family(spark, write):
     import re
 
