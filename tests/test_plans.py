@@ -48,3 +48,20 @@ def test_dense_regions_are_counted_over_prefixes(spark, monkeypatch):
     assert "rest" in joins[0] and "q6" not in joins[0]
     got = {(x.c4, x.c5, x.c6) for x in dense.collect()}
     assert dense.count() == len(rests) and got == {(24, 12, 4)}
+
+
+def test_flow_models_are_joined_by_sorted_merges(spark):
+    """Settled nodes and flows look small as files: no task may hold one of them whole."""
+    kinds = [("event", "Start", "", "start", ""), ("activity", "A", "a", "", ""), ("sequence", "", "", "", "A"), ("activity", "B", "b", "", "A"), ("gateway", "G", "g", "", "B"), ("activity", "C", "c", "", "G"), ("event", "End", "", "end", "")]
+    rows = [(p, i, kind, node, name, form, "r", source, "", "", "", "") for p in ("p", "q") for i, (kind, node, name, form, source) in enumerate(kinds)]
+    elements = spark.createDataFrame(rows, "proc_id string, pos long, element_type string, id string, name string, type string, role string, source string, target string, condition string, description string, instruction string")
+    nodes, seqs = flows.split_elements(elements)
+    nodes, mapping = flows.normalize_ids(nodes)
+    nodes = flows.normalize_types(nodes).select(*flows.NODE)
+    ends = flows.infer_sequence_ends(nodes, seqs, mapping)
+    assert [(r.source, r.target) for r in ends.where("proc_id = 'p'").collect()] == [("a", "b")]
+    for found in (ends, flows.source_pointer_edges(nodes, ends), flows.connect_consecutive(nodes, ends), flows.connect_end_events(nodes, ends), flows.sync_elements(nodes, nodes)):
+        assert "Broadcast" not in _plan(found)
+    gates, split = flows.insert_branch_gateways(nodes, ends)
+    for found in (split, *flows.collapse_single_branch_gateways(gates, split), *flows.fill_branch_conditions(gates, split), *flows.gateway_decisions(gates, split)):
+        assert "Broadcast" not in _plan(found)
