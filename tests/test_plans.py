@@ -1,7 +1,7 @@
 """Joins of large tables build no table on the driver."""
 
 from procweave.llm import near_dedup as nd
-from procweave.operators import flows
+from procweave.operators import flows, graph
 from procweave.operators.contain import contained_in
 from procweave.sources.snapshots import integrated_of_task
 
@@ -65,3 +65,17 @@ def test_flow_models_are_joined_by_sorted_merges(spark):
     gates, split = flows.insert_branch_gateways(nodes, ends)
     for found in (split, *flows.collapse_single_branch_gateways(gates, split), *flows.fill_branch_conditions(gates, split), *flows.gateway_decisions(gates, split)):
         assert "Broadcast" not in _plan(found)
+
+
+def test_agents_meet_skills_of_their_name_in_parts(spark):
+    asked = [(a, n) for a in ("a", "b", "c", None) for n in ("Red", "blue ", "", None)] + [("a", "red"), ("d", "green")]
+    skills = [("s1", "red"), ("s2", " RED"), ("s2", "red"), ("s3", "red"), ("s3", "blue"), ("s4", "blue"), (None, "blue"), (None, "red"), ("s5", ""), ("s6", "black")]
+    agents = spark.createDataFrame(asked, "agent_id string, skill_name string")
+    found = graph.agent_skill_edges(agents, spark.createDataFrame(skills, "skill_id string, name string"), agents)
+    key = lambda n: (n or "").strip().lower()
+    want = {(a, s) for a, n in asked for s, m in skills if key(n) and key(n) == key(m)}
+    got = [(r.src_id, r.dst_id) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    # Only pairs of skills with several names are made distinct; all others go out as they meet.
+    top = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert top[0].startswith("Union") and "Aggregate" not in top[1]
