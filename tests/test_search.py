@@ -80,3 +80,17 @@ def test_approximate_join_reaches_its_recall(spark):
     assert {i: r["n_exact"] for i, r in measured.items()} == {i: int(near[i].sum()) for i in range(0, 600, 5)}
     assert sum(r["n_found"] for r in measured.values()) >= 0.9 * sum(r["n_exact"] for r in measured.values())
     assert vectors.bands_for(0.7, 0.95, 8) > vectors.bands_for(0.7, 0.5, 8) >= 1
+
+
+def test_pairs_of_queries_and_entities_are_no_rows(spark, monkeypatch):
+    """Sums are made in cells of entities, which give a query's best ones only; copies tie by id, across cells as well."""
+    seen = []
+    settle = vectors.settle
+    monkeypatch.setattr(vectors, "settle", lambda df: seen.append(df.columns) or settle(df))
+    monkeypatch.setattr(vectors, "TERMS_PER_BLOCK", 3, raising=False)
+    entities = [(f"e{i:03d}", "all common red" if i % 2 else f"all blue x{i}") for i in range(120)]
+    queries = [(f"q{i}", t) for i, t in enumerate(["red common", "all", "blue x8 nowhere", "nowhere", "common x10 x12 all"])]
+    index = vectors.name_index(spark.createDataFrame(entities, "entity_id string, text string"))
+    got = vectors.search_names(spark.createDataFrame(queries, "query_id string, text string"), index, 4, 25)
+    assert sorted((r["query_id"], r["entity_id"], r["score"], r["rank"]) for r in got.collect()) == brute(queries, entities, 4)
+    assert not [c for c in seen if {"query_id", "entity_id"} <= set(c)]
