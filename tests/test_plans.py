@@ -79,3 +79,16 @@ def test_agents_meet_skills_of_their_name_in_parts(spark):
     # Only pairs of skills with several names are made distinct; all others go out as they meet.
     top = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
     assert top[0].startswith("Union") and "Aggregate" not in top[1]
+
+
+def test_skills_of_an_only_role_are_not_made_distinct(spark):
+    has_task = [("p", "t1"), ("p", "t2"), ("q", "t3"), ("q", "t4"), (None, "t5"), (None, "t6"), ("r", "t7")]
+    does = [("t1", "a"), ("t2", "a"), ("t3", "a"), ("t4", "b"), ("t5", "a"), ("t6", "b"), ("t7", "c"), ("t7", "b"), ("t7", None)]
+    can = [("a", "s1"), ("a", "s2"), ("a", "s2"), ("b", "s2"), ("b", None)]
+    rows = [("process", a, "HAS_TASK", "task", b, None) for a, b in has_task] + [("task", a, "PERFORMED_BY", "role", b, None) for a, b in does] + [("role", a, "HAS_SKILL", "skill", b, None) for a, b in can]
+    found = graph.process_skill_edges(spark.createDataFrame(rows, "src_type string, src_id string, rel string, dst_type string, dst_id string, condition string"))
+    want = {(p, s) for p, t in has_task for u, role in does if u == t for q, s in can if q == role}
+    got = [(x.src_id, x.dst_id) for x in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    top = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert top[0].startswith("Union") and "Aggregate" not in top[1]
