@@ -6,10 +6,14 @@ comparison of every role with every person.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from procweave.functions import fixed
 from procweave.functions.text import blank, compact, form_id, human_required, normalize, null_if_blank, or_blank, skill_key, strip
@@ -174,25 +178,98 @@ def apply_plan(activities: DataFrame, decisions: DataFrame, agents: DataFrame) -
 # Skills ---------------------------------------------------------------------------------------------
 
 
-def _word_set(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(text, " "), lambda t: F.length(t) >= 2))
+#: Characters of left texts that a cell holds, and of skills that it reads; rows that it gives at once.
+HELD_CHARS, READ_CHARS, CELL_ROWS = 4_000_000, 32_000_000, 100_000
+
+
+def _words(text: str) -> set[str]:
+    return {t for t in text.split(" ") if len(t) >= 2}
+
+
+def _cells(batches):
+    """Pairs of the cells' left texts and skills; see ``_met``."""
+    cell, left, post = None, None, {}
+    for batch in batches:
+        kinds = [batch.schema.field(c).type for c in ("left_id", "skill")]
+        out, count = [], 0
+        for r in batch.to_pylist():
+            if r["cell"] != cell:
+                if out:
+                    yield _pairs(out, left, kinds)
+                    out, count = [], 0
+                cell, left, post = r["cell"], {"id": [], "text": [], "unit": [], "n": []}, {}
+            if r["side"] == 0:
+                unit = left["unit"][-1] + 1 if left["unit"] else 0
+                for text in r["texts"]:
+                    words = _words(text)
+                    for w in words if r["left_id"] is not None else ():
+                        post.setdefault(w, []).append(unit)
+                    for c, v in (("id", r["left_id"]), ("text", text), ("unit", unit), ("n", len(words))):
+                        left[c].append(v)
+                continue
+            if not left["id"]:
+                continue
+            if isinstance(left["n"], list):
+                left["unit"], left["n"] = np.array(left["unit"]), np.array(left["n"])
+                post = {w: np.array(u) for w, u in post.items()}
+            skill, at, size = r["skill"], left["unit"], left["n"]
+            words = [_words(t) for t in r["texts"]]
+            met = [post[w] for ws in words for w in ws if w in post]
+            common = np.bincount(np.concatenate(met), minlength=at[-1] + 1) if met else np.zeros(at[-1] + 1, np.int64)
+            # A text within another shares all words with it but the first and the last, which may be parts of words.
+            near, held = common[at], np.zeros(len(common), bool)
+            for i in np.flatnonzero((near >= size - 2) | (near >= min(map(len, words)) - 2)):
+                text = left["text"][i]
+                held[at[i]] |= any((skill is not None and text in t) or (left["id"][i] is not None and t in text) for t in r["texts"])
+            # Containment decides alone, whatever the words give.
+            strong = np.searchsorted(at, np.flatnonzero(held))
+            rows = np.flatnonzero((near > 0) & ~held[at]) if skill is not None else strong[:0]
+            out.append((strong, np.zeros_like(strong), skill, 0, True))
+            out += [(rows, near[rows], skill, len(ws), False) for ws in words]
+            count += len(strong) + len(rows) * len(words)
+            if count >= CELL_ROWS:
+                yield _pairs(out, left, kinds)
+                out, count = [], 0
+        if out:
+            yield _pairs(out, left, kinds)
+
+
+def _pairs(out: list[tuple], left: dict, kinds: list[pa.DataType]) -> pa.RecordBatch:
+    """Rows of the left texts at the given places, each list of them met by one skill."""
+    at, sizes = np.concatenate([o[0] for o in out]), [len(o[0]) for o in out]
+    each = lambda values: np.repeat(values, sizes)
+    columns = [
+        pa.array(left["id"], kinds[0]).take(pa.array(at)), pa.array([o[2] for o in out], kinds[1]).take(pa.array(each(np.arange(len(out))))),
+        pa.array(np.concatenate([o[1] for o in out])), pa.array(left["n"][at]), pa.array(each([o[3] for o in out])), pa.array(each([o[4] for o in out])),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["left_id", "skill", "common", "nl", "ns", "held"])
+
+
+def _met(left: DataFrame, skills: DataFrame) -> DataFrame:
+    """Pairs (left_id, skill, common, nl, ns, held) that share a word or contain one another.
+
+    Both sides are dealt into a grid of cells. A cell holds its left texts under their words and reads its skills one by one, so neither
+    words nor windows of texts are rows. Texts of one id are one unit that shares the words of all.
+    """
+    # A one-element explode keeps the text from being worked out anew wherever it is used.
+    text = F.explode(F.array(normalize("text")))
+    l, s = (settle(t.select(c, text.alias("t")).where("t <> ''").groupBy(c).agg(F.collect_list("t").alias("texts"))) for t, c in ((left, "left_id"), (skills, "skill")))
+    chars = lambda d: d.agg(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.length(t)))).first()[0] or 0
+    rows, columns = math.ceil(chars(l) / HELD_CHARS) or 1, max(3 * left.sparkSession.sparkContext.defaultParallelism, math.ceil(chars(s) / READ_CHARS))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    none = lambda d, c: F.lit(None).cast(d.schema[c].dataType).alias(c)
+    a = l.withColumn("x", deal("left_id", rows)).withColumn("y", all_of(columns)).select((F.col("x") * columns + F.col("y")).alias("cell"), F.lit(0).alias("side"), "left_id", none(s, "skill"), "texts")
+    b = s.withColumn("y", deal("skill", columns)).withColumn("x", all_of(rows)).select((F.col("x") * columns + F.col("y")).alias("cell"), F.lit(1).alias("side"), none(l, "left_id"), "skill", "texts")
+    dealt = a.unionByName(b).repartition("cell").sortWithinPartitions("cell", "side")
+    kinds = [(c, d.schema[c].dataType) for d, c in ((l, "left_id"), (s, "skill"))] + [("common", T.LongType()), ("nl", T.LongType()), ("ns", T.LongType()), ("held", T.BooleanType())]
+    return dealt.mapInArrow(_cells, T.StructType([T.StructField(c, k) for c, k in kinds]))
 
 
 def _scored(left: DataFrame, skills: DataFrame, score) -> DataFrame:
     """Pairs that share a word or contain one another, with ``score`` over sizes; others score 0."""
-    l = left.select("left_id", normalize("text").alias("lt")).withColumn("lw", _word_set(F.col("lt"))).where("lt <> ''")
-    s = skills.select("skill", normalize("text").alias("st")).withColumn("sw", _word_set(F.col("st"))).where("st <> ''")
-    held = _either_way(l.select(F.col("left_id").alias("key_id"), F.col("lt").alias("key")), s.select(F.col("skill").alias("name_id"), F.col("st").alias("name")))
-    shared = (
-        l.select("left_id", F.explode("lw").alias("w")).join(s.select("skill", F.explode("sw").alias("w")), "w")
-        .groupBy("left_id", "skill").agg(F.count(F.lit(1)).alias("common"))
-    )
-    sizes = shared.join(l.select("left_id", F.size("lw").alias("nl")), "left_id").join(s.select("skill", F.size("sw").alias("ns")), "skill")
-    by_words = sizes.select("left_id", "skill", score(F.col("common"), F.col("nl"), F.col("ns")).alias("score"))
-    strong = held.select(F.col("key_id").alias("left_id"), F.col("name_id").alias("skill"), F.lit(0.95).alias("score"))
-    # Containment decides alone, whatever the words give.
-    rest = by_words.join(strong.select("left_id", "skill"), ["left_id", "skill"], "left_anti")
-    return strong.unionByName(rest)
+    by_words = score(F.col("common"), F.col("nl"), F.col("ns"))
+    return _met(left, skills).select("left_id", "skill", F.when(F.col("held"), F.lit(0.95)).otherwise(by_words).alias("score"))
 
 
 def skill_scores_for_activities(activities: DataFrame, skills: DataFrame) -> DataFrame:
