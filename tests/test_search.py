@@ -94,3 +94,38 @@ def test_pairs_of_queries_and_entities_are_no_rows(spark, monkeypatch):
     got = vectors.search_names(spark.createDataFrame(queries, "query_id string, text string"), index, 4, 25)
     assert sorted((r["query_id"], r["entity_id"], r["score"], r["rank"]) for r in got.collect()) == brute(queries, entities, 4)
     assert not [c for c in seen if {"query_id", "entity_id"} <= set(c)]
+
+
+@pytest.mark.parametrize("block_rows", [None, 30])
+def test_join_without_recall_finds_every_pair(spark, monkeypatch, block_rows):
+    """Pairs that no key would bring together and pairs of copies count as well; zero vectors are like none."""
+    monkeypatch.setattr(vectors, "TILE", 8)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(150)]
+    rows += [(150 + i, rows[i % 3][1]) for i in range(9)] + [(159, [0.0] * 8), (160, [0.0] * 8), (161, None), (None, rows[0][1])]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>")
+    a, b = (v.select(F.col("id").alias(f"{s}_id"), F.col("embedding").alias(s)) for s in ("left", "right"))
+    want = a.join(b, F.col("left_id") < F.col("right_id")).select("left_id", "right_id", F.round(vectors.cosine("left", "right"), 9).alias("score")).where("score >= 0.4")
+    got = vectors.ann_join(v, 0.4, bits=6, bucket_rows=block_rows)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.where("left_id in (150, 153) and right_id = 156").count() == 2
+
+
+@pytest.mark.parametrize("block_rows", [None, 40])
+@pytest.mark.parametrize("skip", [False, True])
+def test_top_k_equals_all_pairs(spark, monkeypatch, block_rows, skip):
+    """Copies tie by id, in any blocks, when bounds of groups tell which pairs are compared exactly."""
+    monkeypatch.setattr(vectors, "TILE", 16)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(6).tolist()) for i in range(280)]
+    rows += [(280 + i, rows[i % 2][1]) for i in range(40)] + [(320, [0.0] * 6), (321, None)]
+    v = spark.createDataFrame(rows, "id int, embedding array<float>")
+    q, c = v.where("id % 3 = 0").withColumnRenamed("id", "query_id"), v.withColumnRenamed("id", "chunk_id")
+    m = np.array(v.where("id < 321").orderBy("id").toPandas()["embedding"].tolist(), dtype=np.float64)
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    scores = np.round(m @ m.T, 9)
+    want = []
+    for i in range(0, 321, 3):
+        best = sorted((j for j in range(321) if not (skip and i == j)), key=lambda j: (-scores[i, j], j))[:4]
+        want += [(i, j, n, round(scores[i, j], 6) + 0.0) for n, j in enumerate(best, 1)]
+    got = vectors.top_k_similar(q, c, 4, block_rows, skip)
+    assert sorted((r["query_id"], r["chunk_id"], r["rank"], round(r["score"], 6) + 0.0) for r in got.collect()) == sorted(want)
