@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from procweave.functions import fixed
 from procweave.functions.text import blank, compact, form_id, human_required, normalize, null_if_blank, or_blank, skill_key, strip
 from procweave.operators.contain import contained_in
-from procweave.operators.graph import union_all
+from procweave.operators.graph import paired_by_name, union_all
 from procweave.operators.ordered import first_per_key, top_per_key
 from procweave.session import settle
 
@@ -88,6 +88,10 @@ def team_candidates(roles: DataFrame, teams: DataFrame, limit: int | None = None
     return top_per_key(pairs.select(F.col("key_id").alias("role_id"), F.col("name_id").alias("team_id")), ["role_id"], ["team_id"], limit, "rank")
 
 
+#: Keys of one end that meet its agents in one part.
+KEYS_PER_PART = 200
+
+
 def agent_candidates(roles: DataFrame, agents: DataFrame, limit: int | None = None, fallback: int = 20) -> DataFrame:
     """The agents (the best ``limit`` if given) of each role by score: 1.0 equal, 0.8 contained either way, 0.5 when the
     first or last three characters of the role occur; roles without any get the first ``fallback`` agents."""
@@ -100,17 +104,23 @@ def agent_candidates(roles: DataFrame, agents: DataFrame, limit: int | None = No
     exact = distinct.join(texts, F.col("key") == F.col("name")).select("key_id", "name", F.lit(1.0).alias("score"))
     near = _either_way(distinct, texts.select(F.col("name").alias("name_id"), "name")).select("key_id", F.col("name_id").alias("name"), F.lit(0.8).alias("score"))
     ends = distinct.where(F.length("key") >= 3).select("key_id", F.explode(F.array_distinct(F.array(F.substring("key", 1, 3), F.right("key", F.lit(3))))).alias("keyword"))
-    part = contained_in(texts.select(F.col("name").alias("text_id"), F.col("name").alias("text")), ends.select(F.col("key_id").alias("name_id"), "keyword"), shortest=3)
-    part = part.select(F.col("name_id").alias("key_id"), F.col("text_id").alias("name"), F.lit(0.5).alias("score"))
-    by_name = union_all([exact, near, part]).groupBy("key_id", "name").agg(F.max("score").alias("score"))
-    scored = by_name.join(names, "name").groupBy("key_id", "who").agg(F.max("score").alias("score"))
+    by_name = exact.unionByName(near).groupBy("key_id", "name").agg(F.max("score").alias("score")).join(names, "name").select("key_id", "who", "score")
+    # Very many keys and agents share three characters: agents are found for each such end, and keys come last.
+    held = contained_in(texts.select(F.col("name").alias("text_id"), F.col("name").alias("text")), ends.select(F.col("keyword").alias("name_id"), "keyword").distinct(), shortest=3)
+    held = held.select(F.col("text_id").alias("name"), F.col("keyword").alias("k")).join(names, "name").select(F.col("who").alias("skill_id"), "k").distinct()
+    part = paired_by_name(ends.select(F.col("key_id").alias("agent_id"), F.col("keyword").alias("k")), held, KEYS_PER_PART)
+    part = part.select(F.col("agent_id").alias("key_id"), F.col("skill_id").alias("who"), F.lit(0.5).alias("score"))
+    # Dealt by key once, for the scores, the ranks and the roles.
+    scored = by_name.unionByName(part).repartition("key_id").groupBy("key_id", "who").agg(F.max("score").alias("score"))
     top = top_per_key(scored, ["key_id"], [F.desc("score"), "who"], limit, "rank").select("key_id", F.col("who.id").alias("agent_id"), "score", "rank")
     # The fallback list is a fixed, small number of agents.
     first = agents.orderBy("pos", "id").limit(fallback).select(F.col("id").alias("agent_id"), "pos").withColumn("__one", F.lit(1))
-    bare = distinct.select("key_id").join(top.select("key_id"), "key_id", "left_anti").withColumn("__one", F.lit(1))
+    hit = by_name.select("key_id").unionByName(ends.join(held.select(F.col("k").alias("keyword")).distinct(), "keyword", "left_semi").select("key_id"))
+    bare = distinct.select("key_id").join(hit, "key_id", "left_anti").withColumn("__one", F.lit(1))
     listed = bare.join(F.broadcast(first), "__one").select("key_id", "agent_id", F.lit(0.0).alias("score"), "pos")
     listed = top_per_key(listed, ["key_id"], ["pos", "agent_id"], fallback, "rank").select("key_id", "agent_id", "score", "rank")
-    return keys.join(top.unionByName(listed), F.col("key") == F.col("key_id")).select("role_id", "agent_id", "score", "rank")
+    with_roles = lambda found: found.join(keys.hint("merge"), F.col("key") == F.col("key_id")).select("role_id", "agent_id", "score", "rank")
+    return with_roles(top).unionByName(with_roles(listed))
 
 
 def shortened(agents: DataFrame) -> DataFrame:

@@ -147,6 +147,38 @@ def test_equal_names_are_compared_once(spark, monkeypatch):
     assert len(seen) == 8 and all(n == distinct for n, distinct in seen)
 
 
+def test_agents_are_found_for_each_end_of_a_name_once(spark, monkeypatch):
+    """Keys that share their first or last three characters do not multiply the texts they are looked for in; candidates equal plain Python's."""
+    seen = []
+    plain = match.contained_in
+
+    def counted(texts, names, **more):
+        if "shortest" in more:
+            seen.append((names.count(), names.select("keyword").distinct().count()))
+        return plain(texts, names, **more)
+
+    monkeypatch.setattr(match, "contained_in", counted)
+    monkeypatch.setattr(match, "KEYS_PER_PART", 7, raising=False)
+    users = [(i, i % 5, f"user {i}", ("buyer", "clerk", None)[i % 3], "desk lead") for i in range(40)]
+    roles = [(i, f"user {i}") for i in range(30)] + [(30, "User 3"), (31, "buy"), (32, "lead"), (33, "zz"), (34, ""), (35, "qqqqq"), (36, "clerks of all")]
+    key = lambda x: x.lower().replace(" ", "")
+    want = []
+    for role, name in roles:
+        k, best = key(name), {}
+        for a, pos, *texts in users:
+            for t in (key(x) for x in texts if x):
+                score = 1.0 if t == k else 0.8 if t in k or k in t else 0.5 if len(k) >= 3 and (k[:3] in t or k[-3:] in t) else 0
+                if k and score > best.get((pos, a), 0):
+                    best[pos, a] = score
+        if k and not best:
+            best = {(pos, a): 0.0 for pos, a in sorted((u[1], u[0]) for u in users)[:20]}
+        want += [(role, at[1], score, n) for n, (at, score) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0])), 1)]
+    r = spark.createDataFrame(roles, "role_id int, name string")
+    u = spark.createDataFrame(users, "id int, pos int, username string, role string, alias string")
+    assert sorted(map(tuple, match.agent_candidates(r, u).collect())) == sorted(want)
+    assert len(seen) == 1 and all(n == distinct for n, distinct in seen)
+
+
 def test_unknown_relations_are_refused(spark):
     links = spark.createDataFrame([(1, 2)], "a int, b int")
     try:
